@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listingloom.functions.text import WS, or_empty, squash, strip
+from listingloom.functions.text import WS, let, or_empty, squash, strip
 
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -87,12 +87,10 @@ def am_pm_to_24h(text: Column) -> Column:
     rewritten = F.transform(
         pieces, lambda p: F.when(p.rlike(f"(?i)^{time}\\z"), _time_to_24h(p)).otherwise(p)
     )
-    return F.when(text.rlike(f"(?i){time}"), F.array_join(rewritten, "")).otherwise(text)
+    return F.array_join(rewritten, "")
 
 
-def normalise_hours(text: Column) -> Column:
-    """Hours text in English, 24-hour times, `` - `` in ranges, `` & `` between them."""
-    english = translate_day_words(text)
+def _clock_form(english: Column) -> Column:
     out = F.regexp_replace(english, "(?i)([0-9]+)(am|pm)", "$1 $2")
     out = F.regexp_replace(out, f"{_EDGE_L}AM{_EDGE_R}", "am")
     out = F.regexp_replace(out, f"{_EDGE_L}PM{_EDGE_R}", "pm")
@@ -102,41 +100,57 @@ def normalise_hours(text: Column) -> Column:
     out = F.regexp_replace(out, f"(?i){WS}+to{WS}+", " - ")
     out = F.regexp_replace(out, f"{WS}*,{WS}*", " & ")
     out = F.regexp_replace(out, f"(?i){WS}+and{WS}+", " & ")
-    out = strip(squash(out))
-    return (
-        F.when(english.rlike("(?i)open 24 hours?"), "Open 24 hours")
+    return strip(squash(out))
+
+
+def normalise_hours(text: Column) -> Column:
+    """Hours text in English, 24-hour times, `` - `` in ranges, `` & `` between them."""
+    return let(
+        translate_day_words(text),
+        lambda english: F.when(english.rlike("(?i)open 24 hours?"), "Open 24 hours")
         .when(english.rlike("(?i)closed"), "Closed")
-        .otherwise(out)
+        .otherwise(_clock_form(english)),
     )
 
 
-def hours_of_row(row_text: Column) -> Column:
-    """Hours of one row such as ``Montag: 9:00 – 18:00``, without its day word."""
-    text = strip(row_text)
-    day = detect_day(text)
-    named = F.lower(text).startswith(F.lower(day))
+def names_a_day(text: Column) -> Column:
+    return F.lower(text).rlike("|".join(word for words in DAY_WORDS.values() for word in words))
+
+
+def _without_day(text: Column, day: Column) -> Column:
     tail = F.regexp_replace(F.substr(text, F.length(day) + 1), f"^{WS}*:?{WS}*", "")
-    body = F.when(named, tail).otherwise(text)
+    body = F.when(F.lower(text).startswith(F.lower(day)), tail).otherwise(text)
     head = "".join(f"(?:{word}{WS}*:?{WS}*)?" for word in HEAD_WORDS)
-    body = normalise_hours(strip(F.regexp_replace(body, f"(?iu)^{head}", "")))
-    body = F.regexp_replace(body, f"{WS}+\\z", "")
-    return strip(F.regexp_replace(body, r"[^\x20-\x7EÀ-ſ]+\z", ""))
+    return strip(F.regexp_replace(body, f"(?iu)^{head}", ""))
+
+
+def row_of(row_text: Column) -> Column:
+    """``struct(day, hours)`` of one row such as ``Montag: 9:00 – 18:00``."""
+
+    def finished(row: Column) -> Column:
+        hours = F.regexp_replace(normalise_hours(row["body"]), f"{WS}+\\z", "")
+        hours = strip(F.regexp_replace(hours, r"[^\x20-\x7EÀ-ſ]+\z", ""))
+        return F.struct(row["day"].alias("day"), hours.alias("hours"))
 
+    def split(row: Column) -> Column:
+        body = _without_day(row["text"], row["day"])
+        return let(F.struct(row["day"].alias("day"), body.alias("body")), finished)
 
-def _pad_hour(hour: Column) -> Column:
-    return F.lpad(hour, 2, "0")
+    def detected(text: Column) -> Column:
+        return let(F.struct(text.alias("text"), detect_day(text).alias("day")), split)
 
+    return let(strip(row_text), detected)
 
-def _dotted_to_24h(hour: Column, minute: Column, period: Column) -> Column:
-    h = hour.cast("int")
+
+def hours_of_row(row_text: Column) -> Column:
+    """Hours of one row, without its day word."""
+    return row_of(row_text)["hours"]
+
+
+def _dotted_clock(hour: Column, minute: Column, period: Column) -> Column:
     afternoon = F.lower(period) == "p.m."
-    h = F.when(afternoon & (h != 12), h + 12).when(~afternoon & (h == 12), 0).otherwise(h)
-    h_text = h.cast("string")
-    return F.concat(
-        F.when(F.length(h_text) < 2, F.lpad(h_text, 2, "0")).otherwise(h_text),
-        F.lit(":"),
-        F.lpad(minute, 2, "0"),
-    )
+    shift = F.when(afternoon & (hour != 12), 12).when(~afternoon & (hour == 12), -12).otherwise(0)
+    return F.concat(F.format_string("%02d:", hour + shift), F.lpad(minute, 2, "0"))
 
 
 def format_hours(hours: Column, keep_all_ranges: bool = False) -> Column:
@@ -145,27 +159,41 @@ def format_hours(hours: Column, keep_all_ranges: bool = False) -> Column:
     Only the first range of a text is kept; ``keep_all_ranges=True`` keeps all
     24-hour ranges, joined with `` & ``.
     """
-    text = or_empty(hours)
-    english = translate_day_words(text)
+    return let(
+        translate_day_words(or_empty(hours)), lambda english: _format(english, keep_all_ranges)
+    )
+
+
+def _format(english: Column, keep_all_ranges: bool) -> Column:
     clock = r"([0-9]{1,2}):?([0-9]{0,2})" + WS + r"*(a\.m\.|p\.m\.)"
     dotted = f"(?i){clock}.*?{clock}"
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(english, dotted, i)
+    def dotted_range(found: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(found, dotted, i)
+
+        parts = F.struct(
+            *(
+                (part(i).cast("int") if i in (1, 4) else part(i)).alias(name)
+                for i, name in enumerate(("h1", "m1", "p1", "h2", "m2", "p2"), start=1)
+            )
+        )
+        return let(
+            parts,
+            lambda p: F.concat(
+                _dotted_clock(p["h1"], p["m1"], p["p1"]),
+                F.lit(" - "),
+                _dotted_clock(p["h2"], p["m2"], p["p2"]),
+            ),
+        )
 
-    dotted_range = F.concat(
-        _dotted_to_24h(part(1), part(2), part(3)),
-        F.lit(" - "),
-        _dotted_to_24h(part(4), part(5), part(6)),
-    )
     plain = rf"([0-9]{{1,2}}):([0-9]{{2}}){WS}*[-–—]{WS}*([0-9]{{1,2}}):([0-9]{{2}})"
 
     def range_of(c: Column) -> Column:
-        return F.concat(
-            _pad_hour(F.regexp_extract(c, plain, 1)), F.lit(":"), F.regexp_extract(c, plain, 2),
-            F.lit(" - "),
-            _pad_hour(F.regexp_extract(c, plain, 3)), F.lit(":"), F.regexp_extract(c, plain, 4),
-        )
+        found = F.regexp_extract(c, plain, 0)
+        bare = F.regexp_replace(found, plain, "0$1:$2 - 0$3:$4")
+        # of three digits the last two make the hour
+        return F.regexp_replace(bare, "0([0-9]{2}:)", "$1")
 
     if keep_all_ranges:
         every = F.regexp_extract_all(english, F.lit(plain), F.lit(0))
@@ -177,9 +205,9 @@ def format_hours(hours: Column, keep_all_ranges: bool = False) -> Column:
     # the kept class is ASCII word characters, whitespace, colon and hyphen
     cleaned = strip(F.regexp_replace(cleaned, f"[^A-Za-z0-9_{WS[1:-1]}:\\-]", ""))
     return (
-        F.when(strip(text) == "", "")
+        F.when(strip(english) == "", "")
         .when(F.lower(english).rlike("|".join(CLOSED_WORDS)), "Closed")
-        .when(english.rlike(dotted), dotted_range)
+        .when(english.rlike(dotted), dotted_range(F.regexp_extract(english, dotted, 0)))
         .when(english.rlike(plain), ranges)
         .otherwise(F.when(cleaned != "", cleaned).otherwise(strip(english)))
     )

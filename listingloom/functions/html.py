@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listingloom.functions.text import WS
+from listingloom.functions.text import WS, let
 
 _PART = re.compile(
     r"""(?P<tag>^[a-zA-Z][a-zA-Z0-9]*)
@@ -100,14 +100,10 @@ def compile_selector(css: str) -> Selector:
     literals += outer.literals
     inside = r"(?:(?!</\k<s>>).)*"
     joint = rf"{inside}</\k<s>>{WS}*" if sibling else rf"{inside}?"
+    literals = literals or [f"<{outer.tag}", f"<{element.tag}"]
     return Selector(_opening(outer, "s"), joint, _opening(element, "e"), tuple(literals))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _guarded(html: Column, selector: Selector, value: Column) -> Column:
     present = html.contains(selector.literals[0])
     for literal in selector.literals[1:]:
@@ -115,12 +111,17 @@ def _guarded(html: Column, selector: Selector, value: Column) -> Column:
     return F.when(present, value)
 
 
-def _cut_at_close(tail: Column, name: Column) -> Column:
-    """The part of ``tail`` inside the element ``name`` whose opening tag precedes it."""
-    to_first_close = F.call_function(
-        "substring_index", tail, F.concat(F.lit("</"), name), F.lit(1)
-    )
-    pieces = F.regexp_extract_all(tail, F.lit("(?s)[^<]*<[^>]*>"), F.lit(0))
+def _to_first_close(tail: Column, name: Column) -> Column:
+    return F.call_function("substring_index", tail, F.concat(F.lit("</"), name), F.lit(1))
+
+
+def _holds_same(markup: Column, name: Column) -> Column:
+    return markup.contains(F.concat(F.lit("<"), name))
+
+
+def _to_own_close(tail: Column, name: Column) -> Column:
+    """Part of ``tail`` up to the closing tag that belongs to the element ``name`` whose
+    opening tag stands before it: opening and closing tags of the name are counted."""
 
     def step(piece: Column) -> Column:
         tag = F.substring_index(piece, "<", -1)
@@ -133,36 +134,46 @@ def _cut_at_close(tail: Column, name: Column) -> Column:
         )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    balanced = let(
-        pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, walk)["n"]), "")
+    return let(
+        F.regexp_extract_all(tail, F.lit("(?s)[^<]*<[^>]*>"), F.lit(0)),
+        lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, walk)["n"]), ""),
     )
-    # only elements that hold another of the same name need the counting walk
-    nested = to_first_close.contains(F.concat(F.lit("<"), name))
-    return F.when(nested, balanced).otherwise(to_first_close)
 
 
-def _from_element(html: Column, css: str) -> Column:
-    """Page text from the first matching element's opening tag on; null if none."""
+def _cut_at_close(tail: Column, name: Column) -> Column:
+    short = _to_first_close(tail, name)
+    # only elements that hold another of the same name need the counting
+    return F.when(_holds_same(short, name), _to_own_close(tail, name)).otherwise(short)
+
+
+def from_element(html: Column, css: str) -> Column:
+    """The first matching element, cut at the first closing tag of its name; null if
+    there is none."""
     selector = compile_selector(css)
     head = f"{selector.scope}{selector.joint}" if selector.scope else ""
-    pattern = rf"(?s){head}({selector.opening}.*)\z"
+    pattern = rf"(?s){head}({selector.opening}.*?</\k<e>)"
     found = F.regexp_extract(html, pattern, 2 if selector.scope else 1)
     return _guarded(html, selector, F.nullif(found, F.lit("")))
 
 
-def _inner(element: Column) -> Column:
+def inner_markup(html: Column, element: Column) -> Column:
+    """Inner markup of an element that ``from_element`` found on the page."""
     name = F.regexp_extract(element, "^<([a-zA-Z0-9]+)", 1)
-    return _cut_at_close(F.substr(element, F.instr(element, ">") + 1), name)
+    start = F.instr(element, ">") + 1
+    short = _to_first_close(F.substr(element, start), name)
+    # an element around others of its name goes on behind what was cut out
+    tail = F.substr(html, F.instr(html, element) + start - 1)
+    return F.when(_holds_same(short, name), _to_own_close(tail, name)).otherwise(short)
 
 
 def decode_entities(c: Column) -> Column:
-    # The character references that matter in names and addresses.
+    # The character references browsers write, and the apostrophe's.
+    out = c
     for reference, character in {
-        "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"',
-        "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&amp;": "&",
+        "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&",
     }.items():
-        c = F.replace(c, F.lit(reference), F.lit(character))
-    return c
+        out = F.regexp_replace(out, reference, character)
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
 def text_of(markup: Column) -> Column:
@@ -170,9 +181,35 @@ def text_of(markup: Column) -> Column:
     return decode_entities(F.regexp_replace(markup, "(?s)<!--.*?-->|<[^>]*>", ""))
 
 
+def element_text(html: Column, element: Column) -> Column:
+    return text_of(inner_markup(html, element))
+
+
 def first_text(html: Column, css: str) -> Column:
     """Text of the first matching element; null if there is none."""
-    return let(_from_element(html, css), lambda e: text_of(_inner(e)))
+    return let(from_element(html, css), lambda e: element_text(html, e))
+
+
+def first_accepted(
+    html: Column, selectors: list[str], accept: Callable[[Column], Column]
+) -> Column:
+    """``accept`` of the first selector's element for which it is not null; a text.
+
+    A selector is only looked for while the ones before it gave nothing.
+    """
+
+    def element_no(i: Column) -> Column:
+        out = None
+        for no, css in enumerate(selectors, start=1):
+            found = from_element(html, css)
+            out = F.when(i == no, found) if out is None else out.when(i == no, found)
+        return out
+
+    return F.aggregate(
+        F.lit(list(range(1, len(selectors) + 1))),
+        F.lit(None).cast("string"),
+        lambda accepted, i: F.coalesce(accepted, let(element_no(i), accept)),
+    )
 
 
 def attribute_of(opening_tag: Column, name: str) -> Column:
@@ -180,42 +217,59 @@ def attribute_of(opening_tag: Column, name: str) -> Column:
     return decode_entities(value)
 
 
-def first_link(html: Column, css: str) -> Column:
-    """``struct(href, data_href, text)`` of the first matching element; null if none."""
-
-    def parts(element: Column) -> Column:
-        tag = F.concat(F.substring_index(element, ">", 1), F.lit(">"))
-        return F.when(
-            element.isNotNull(),
-            F.struct(
-                attribute_of(tag, "href").alias("href"),
-                attribute_of(tag, "data-href").alias("data_href"),
-                text_of(_inner(element)).alias("text"),
-            ),
-        )
+def element_attribute(element: Column, name: str) -> Column:
+    """Attribute of the element a piece of page begins with; empty if it has none."""
+    return attribute_of(F.concat(F.substring_index(element, ">", 1), F.lit(">")), name)
 
-    return let(_from_element(html, css), parts)
 
-
-def _elements(markup: Column, opening: str) -> Column:
-    """Inner markup of every element whose opening tag matches."""
+def _tails(markup: Column, opening: str) -> Column:
+    """``struct(names, tails)``: per matching element its name and what stands behind its
+    opening tag, up to the next matching one."""
     pattern = f"(?s){opening}"
-    names = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
     tails = F.split(markup, pattern)
-    tails = F.slice(tails, F.lit(2), F.greatest(F.size(tails) - 1, F.lit(0)))
-    return F.zip_with(tails, names, _cut_at_close)
+    return F.struct(
+        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)).alias("names"),
+        F.slice(tails, F.lit(2), F.greatest(F.size(tails) - 1, F.lit(0))).alias("tails"),
+    )
 
 
-def all_texts(html: Column, css: str) -> Column:
-    """Texts of all matching elements in page order; null if the page has none."""
-    selector = compile_selector(css)
-    markup = html
-    if selector.scope:
-        markup = F.array_join(_elements(html, selector.scope), "\n")
-    texts = let(
-        markup, lambda m: F.transform(_elements(m, selector.opening), lambda e: text_of(e))
+def _inner_of_all(found: Column) -> Column:
+    return F.zip_with(found["tails"], found["names"], _cut_at_close)
+
+
+def all_texts(html: Column, selectors: list[str]) -> Column:
+    """Per selector the texts of all matching elements in page order; null where the
+    page has none. ``array<array<string>>`` in the order of the selectors."""
+    compiled = [compile_selector(css) for css in selectors]
+    scopes = list(dict.fromkeys(c.scope for c in compiled if c.scope))
+    literals = {c.scope: c.literals for c in compiled}
+    # every ancestor is cut out once, however many selectors start from it
+    ancestors = F.transform(
+        F.array(
+            *(
+                F.when(html.contains(literals[scope][-1]), _tails(html, scope))
+                for scope in scopes
+            )
+        ),
+        lambda found: F.array_join(_inner_of_all(found), "\n"),
     )
-    return _guarded(html, selector, texts)
+
+    def per_selector(parts: Column) -> Column:
+        found = [
+            _guarded(
+                html,
+                c,
+                _tails(
+                    F.get(parts, F.lit(scopes.index(c.scope))) if c.scope else html, c.opening
+                ),
+            )
+            for c in compiled
+        ]
+        return F.transform(
+            F.array(*found), lambda f: F.transform(_inner_of_all(f), lambda e: text_of(e))
+        )
+
+    return let(ancestors, per_selector)
 
 
 def link_targets(html: Column) -> Column:

@@ -148,7 +148,7 @@ def with_maps_url(attempts: DataFrame) -> DataFrame:
 
 def search_variations(listings: DataFrame) -> DataFrame:
     """One row per spelling of ``name``, in order."""
-    found = F.posexplode_outer(T.search_variations(F.col("name"))).alias("_pos", "variation")
+    found = F.posexplode(T.search_variations(F.col("name"))).alias("_pos", "variation")
     return listings.select("*", found).select(
         *listings.columns, (F.col("_pos") + 1).alias("variation_no"), "variation"
     )

@@ -136,18 +136,24 @@ FIELDS = list(RULES)
 def page_class(html: Column) -> Column:
     """``results_page``, ``business_page`` or ``unknown``."""
 
-    def any_text(selectors: list[str], test: Callable[[Column], Column]) -> Column:
-        # `or` over the selectors stops at the first one that applies
-        out = F.lit(False)
-        for css in selectors:
-            hit = H.let(H.first_text(html, css), lambda t: (t != "") & test(t))
-            out = out | F.coalesce(hit, F.lit(False))
-        return out
-
-    results = any_text(RESULT_SELECTORS, lambda t: C.contains_any(t, RESULT_PAGE_WORDS))
-    business = any_text(BUSINESS_SELECTORS, lambda t: ~C.contains_any(t, BUSINESS_PAGE_NOT))
+    def shows(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def accept(element: Column) -> Column:
+            return T.let(H.element_text(html, element), lambda t: F.when(test(t), t))
+
+        return accept
+
+    results = H.first_accepted(
+        html, RESULT_SELECTORS, shows(lambda t: C.contains_any(t, RESULT_PAGE_WORDS))
+    )
+    business = H.first_accepted(
+        html,
+        BUSINESS_SELECTORS,
+        shows(lambda t: (t != "") & ~C.contains_any(t, BUSINESS_PAGE_NOT)),
+    )
     return (
-        F.when(results, "results_page").when(business, "business_page").otherwise("unknown")
+        F.when(C.contains_any(html, RESULT_PAGE_WORDS) & results.isNotNull(), "results_page")
+        .when(business.isNotNull(), "business_page")
+        .otherwise("unknown")
     )
 
 
@@ -159,27 +165,39 @@ def extract_candidates(
     captures: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Long table ``keys, field, selector_rank, selector, raw`` of all candidates found."""
+    html = F.col("html")
     rows = [
         F.struct(
             F.lit(field).alias("field"),
             F.lit(rank).alias("selector_rank"),
             F.lit(css).alias("selector"),
-            H.first_text(F.col("html"), css).alias("raw"),
+            H.from_element(html, css).alias("element"),
         )
         for field, css_list in (selectors or SELECTORS).items()
         for rank, css in enumerate(css_list, start=1)
     ]
-    found = F.filter(F.array(*rows), lambda c: c["raw"].isNotNull())
-    return captures.select(*keys, F.explode(found).alias("_c")).select(*keys, "_c.*")
+    found = F.filter(F.array(*rows), lambda c: c["element"].isNotNull())
+    named = ("field", "selector_rank", "selector")
+    texts = F.transform(
+        found,
+        lambda c: F.struct(
+            *(c[n].alias(n) for n in named), H.element_text(html, c["element"]).alias("raw")
+        ),
+    )
+    return captures.select(*keys, F.explode(texts).alias("_c")).select(*keys, "_c.*")
 
 
 def validate_candidates(candidates: DataFrame) -> DataFrame:
     """Add ``value``: the accepted form of ``raw`` under its field's rule, or null."""
-    raw, value = F.col("raw"), None
-    for field, rule in RULES.items():
-        hit = F.col("field") == field
-        value = F.when(hit, rule(raw)) if value is None else value.when(hit, rule(raw))
-    return candidates.withColumn("value", value.otherwise(C.valid_text(raw)))
+
+    def value_of(raw: Column) -> Column:
+        value = None
+        for field, rule in RULES.items():
+            hit = F.col("field") == field
+            value = F.when(hit, rule(raw)) if value is None else value.when(hit, rule(raw))
+        return value.otherwise(C.valid_text(raw))
+
+    return candidates.withColumn("value", T.let(F.col("raw"), value_of))
 
 
 def first_valid(candidates: DataFrame, keys: list[str], wide: bool = False) -> DataFrame:
@@ -206,23 +224,25 @@ def first_valid(candidates: DataFrame, keys: list[str], wide: bool = False) -> D
 
 def field_value(html: Column, field: str) -> Column:
     """First accepted candidate of a field on a page, or the empty string."""
-    options = [H.let(H.first_text(html, css), RULES[field]) for css in SELECTORS[field]]
-    return F.coalesce(*options, F.lit(""))
+    found = H.first_accepted(
+        html, SELECTORS[field], lambda e: T.let(H.element_text(html, e), RULES[field])
+    )
+    return F.coalesce(found, F.lit(""))
 
 
 def website_of(html: Column) -> Column:
     """Website link: per selector ``href``, then ``data-href``, then a web address as text."""
 
-    def pick(link: Column) -> Column:
-        href, data, text = link["href"], link["data_href"], link["text"]
+    def pick(element: Column) -> Column:
+        href, data = (H.element_attribute(element, name) for name in ("href", "data-href"))
+        text = H.element_text(html, element)
         return (
             F.when(href.startswith("http") & ~href.contains("google.com"), href)
             .when(data.startswith("http"), data)
             .when(text.startswith("http"), T.strip(text))
         )
 
-    options = [H.let(H.first_link(html, css), pick) for css in WEBSITE_SELECTORS]
-    return F.coalesce(*options, F.lit(""))
+    return F.coalesce(H.first_accepted(html, WEBSITE_SELECTORS, pick), F.lit(""))
 
 
 def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -> Column:
@@ -265,7 +285,7 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
     options = [pair(*p) for p in pairs]
     first_meta = F.when(html.contains("<meta") & html.contains("geo"), F.get(usable, F.lit(0)))
     # page data with a zero in it counts as not found
-    nonzero = H.let(
+    nonzero = T.let(
         F.coalesce(options[2], first_meta),
         lambda p: F.when((p["lat"].cast("double") != 0) & (p["lng"].cast("double") != 0), p),
     )
@@ -281,35 +301,33 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
             )
         )
 
-    return H.let(F.coalesce(*options), as_text)
+    return T.let(F.coalesce(*options), as_text)
 
 
 def hours_of_page(html: Column) -> Column:
     """Map from English day to hours; the last row of a day wins."""
-
-    def rows_to_map(texts: Column) -> Column:
-        rows = F.transform(
-            F.filter(texts, lambda t: T.strip(t) != ""),
-            lambda t: F.struct(O.detect_day(t).alias("day"), O.hours_of_row(t).alias("hours")),
-        )
-        named = F.filter(rows, lambda r: r["day"].isNotNull())
-        return hours_map(named)
-
-    maps = [H.let(H.all_texts(html, css), rows_to_map) for css in HOURS_SELECTORS]
-    options = [H.let(m, lambda found: F.when(F.size(found) > 0, found)) for m in maps]
-    return F.coalesce(*options, F.create_map().cast("map<string,string>"))
+    # the first selector with a row that names a day decides
+    usable = F.filter(
+        H.all_texts(html, HOURS_SELECTORS), lambda rows: F.exists(rows, O.names_a_day)
+    )
+    texts = F.filter(F.get(usable, F.lit(0)), O.names_a_day)
+    found = T.let(F.transform(texts, O.row_of), hours_map)
+    return F.coalesce(found, F.create_map().cast("map<string,string>"))
 
 
 def hours_map(rows: Column) -> Column:
     """Map from ``array<struct<day, hours>>``; of a repeated day the last row is kept."""
-
-    def last(day: str) -> Column:
-        return H.let(
-            F.filter(rows, lambda r: r["day"] == day),
-            lambda found: F.when(F.size(found) > 0, F.element_at(found, -1)),
-        )
-
-    return F.map_from_entries(F.array_compact(F.array(*(last(day) for day in O.DAYS))))
+    latest_first = F.reverse(rows)
+    days = F.array_distinct(F.transform(latest_first, lambda r: r["day"]))
+    # array_position finds the first row of a day, which is the last of the page
+    row_days = F.transform(latest_first, lambda r: r["day"])
+    return F.map_from_arrays(
+        days,
+        F.transform(
+            days,
+            lambda d: F.element_at(latest_first, F.array_position(row_days, d).cast("int"))["hours"],
+        ),
+    )
 
 
 def social_of_page(html: Column) -> Column:
@@ -324,7 +342,7 @@ def social_of_page(html: Column) -> Column:
             return out
 
         def last(platform: str) -> Column:
-            return H.let(
+            return T.let(
                 F.filter(links, lambda link: platform_of(link) == platform),
                 lambda found: F.when(
                     F.size(found) > 0,
@@ -335,7 +353,7 @@ def social_of_page(html: Column) -> Column:
         return F.map_from_entries(F.array_compact(F.array(*(last(p) for p in PLATFORMS))))
 
     present = C.contains_any(html, PLATFORMS)
-    return F.when(present, H.let(H.link_targets(html), platform_map)).otherwise(
+    return F.when(present, T.let(H.link_targets(html), platform_map)).otherwise(
         F.create_map().cast("map<string,string>")
     )
 
@@ -348,7 +366,7 @@ def extract_fields(captures: DataFrame, share_url: str | None = None) -> DataFra
     """
     html, url = F.col("html"), F.col("url")
     share = F.col(share_url) if share_url else None
-    phone = H.let(
+    phone = T.let(
         field_value(html, "phone"),
         lambda p: F.when(p != "", p).otherwise(C.scan_phone(H.page_text(html))),
     )

@@ -177,12 +177,16 @@ def plan_searches(jobs: DataFrame) -> DataFrame:
     return with_maps_url(build_attempts(with_locale(detect_country(jobs))))
 
 
-def hours_columns(hours: Column, keep_all_ranges: bool = False) -> dict[str, Column]:
-    """The seven export columns of a day map."""
-    return {
-        f"{day} Hours": format_hours(F.element_at(hours, F.lit(day)), keep_all_ranges)
-        for day in DAYS
-    }
+def with_hours_columns(
+    df: DataFrame, hours: str = "openingHours", keep_all_ranges: bool = False
+) -> DataFrame:
+    """Add the seven export columns of a day map."""
+    of_days = F.array(*(F.element_at(hours, F.lit(day)) for day in DAYS))
+    shown = df.withColumn(
+        "_hours", F.transform(of_days, lambda h: format_hours(h, keep_all_ranges))
+    )
+    columns = {f"{day} Hours": F.get("_hours", F.lit(i)) for i, day in enumerate(DAYS)}
+    return shown.withColumns(columns).drop("_hours")
 
 
 def export17(places: DataFrame, keys: list[str] | None = None, keep_all_ranges: bool = False) -> DataFrame:
@@ -199,12 +203,12 @@ def export17(places: DataFrame, keys: list[str] | None = None, keep_all_ranges:
         "Category": F.col("category"),
         "Latitude": F.col("latitude"),
         "Longitude": F.col("longitude"),
-        **hours_columns(F.col("openingHours"), keep_all_ranges),
+        **{f"{day} Hours": F.col(f"`{day} Hours`") for day in DAYS},
     }
     status = F.when(failed, "failed").otherwise(
         F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("unknown"))
     )
-    return places.select(
+    return with_hours_columns(places, "openingHours", keep_all_ranges).select(
         *(keys or []),
         *(F.when(failed, "").otherwise(T.csv_text(c)).alias(n) for n, c in cells.items()),
         status.alias("Status"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from listingloom.functions import contact as C
 from listingloom.functions import hours as O
@@ -660,7 +661,8 @@ def _run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str) -> Dat
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(df.schema.add("epoch", "bigint")).parquet(f"{folder}/out").drop("part")
+    schema = T_.StructType([*df.schema.fields, T_.StructField("epoch", T_.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out").drop("part")
 
 
 def _latest(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -53,7 +53,7 @@ def iso(x: str) -> str:
 
 def values(rows: list[tuple], columns: list[str]) -> str:
     body = ", ".join(
-        "(" + ", ".join(q(v) if isinstance(v, str) else f"{v!r}" for v in row) + ")" for row in rows
+        "(" + ", ".join(q(v) if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v!r}" for v in row) + ")" for row in rows
     )
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(columns)}))"
 
@@ -424,9 +424,9 @@ _HOURS_LONG = f"""(SELECT job_id, rank, day, arg_max(hours, pos) AS hours FROM (
     SELECT job_id, rank, day, pos, {row_hours('row_text', 'day')} AS hours FROM {_HOURS_ROWS} h WHERE day IS NOT NULL) x GROUP BY job_id, rank, day)"""
 
 
-def _hours_wide(made: str = "{}") -> str:
+def _hours_wide() -> str:
     cols = ", ".join(
-        f"coalesce(max(CASE WHEN day = '{d}' THEN {made.format('hours')} END), '') AS {d.lower()}" for d in O.DAYS
+        f"max(CASE WHEN day = '{d}' THEN hours END) AS {d.lower()}" for d in O.DAYS
     )
     return f"(SELECT job_id, rank, {cols} FROM {_HOURS_LONG} h GROUP BY job_id, rank)"
 
@@ -485,7 +485,7 @@ ORACLES |= {
         FROM {LISTINGS} l WHERE job_id NOT IN (SELECT job_id FROM {_FIRST_SUCCESS} s)""",
     "enrich": f"""SELECT job_id, batch_id, {', '.join(f'"{c}"' for c in P.SCRAPED_COLUMNS[:13])},
         CASE WHEN got AND k % 8 = 1 THEN 'https://facebook.com/p' || job_id END AS facebook,
-        nullif(monday, '') AS monday, nullif(friday, '') AS friday, status, error FROM {_PLACES} p""",
+        monday, friday, status, error FROM {_PLACES} p""",
     "result_list_guard": f"""SELECT c.job_id,
         CASE WHEN k % 6 = 4 THEN CASE WHEN c.name = '' THEN {q(P.NAMELESS_RESULT_LIST)} ELSE c.name END
              WHEN k % 6 = 3 THEN NULL WHEN k % 5 = 3 THEN 'Search' WHEN k % 5 = 4 THEN '4.5' ELSE c.name END AS "fullName",

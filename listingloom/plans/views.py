@@ -2,7 +2,8 @@
 
 The supplied tables hold no listings. Each view is one SELECT over one of them, in
 SQL that both engines read alike, so that a query and its counterpart start from the
-same rows. ``{table}`` stands for a supplied table. All rows of a table are used.
+same rows. ``{table}`` stands for a supplied table and ``{ranks}`` for the engine's way
+to make two rows of one. All rows of a table are used.
 """
 
 from __future__ import annotations
@@ -159,15 +160,16 @@ SELECT k, job_id, batch_id, r AS rank,
        CASE WHEN k % 6 = 4 AND r = 1
             THEN '<html><body><div role="main"><h1>Ergebnisse für ' || {_NAME_HTML} || '</h1></div></body></html>'
             WHEN k % 6 = 3 AND r = 1 THEN '<html><body><p>Nothing</p></body></html>'
-            ELSE {_BUSINESS_HTML} END AS html,
+            ELSE business_html END AS html,
        name, address, city, postal_code, phone, rating_text, reviews_text, website_text,
        category_text, hours_text, hours_text_2, lat_text, lng_text
-FROM (SELECT *, CASE WHEN name <> '' AND address <> '' AND city <> '' THEN 5
-                     WHEN name <> '' AND city <> '' THEN 2
-                     WHEN name <> '' AND address <> '' OR address <> '' AND city <> '' THEN 1
-                     ELSE 0 END AS n_attempts
-      FROM ({LISTINGS}) l0) l1
-CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r) ranks
+FROM (SELECT *, {{ranks}} AS r
+      FROM (SELECT *, {_BUSINESS_HTML} AS business_html,
+                   CASE WHEN name <> '' AND address <> '' AND city <> '' THEN 5
+                        WHEN name <> '' AND city <> '' THEN 2
+                        WHEN name <> '' AND address <> '' OR address <> '' AND city <> '' THEN 1
+                        ELSE 0 END AS n_attempts
+            FROM ({LISTINGS}) l0) l1) l2
 WHERE r <= n_attempts AND k % 6 <> 5 AND (r = 1 OR k % 6 IN (3, 4))
 """
 
@@ -227,19 +229,24 @@ FROM {events}
 """
 
 _H = _pick("k", ["09:00 - 20:00", "Closed", "", "9 am", "Open 24 hours", "", "1221:00 - 5 pm", "10:00 - 12:00 pm"])
+_WEEK = ",\n       ".join(
+    f"CASE WHEN failed OR k % 2 = 1 THEN '' ELSE {_H} END AS \"{day} Hours\""
+    for day in ("Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+)
 EXPORT = f"""
 SELECT job_id, CASE WHEN failed THEN '' ELSE name END AS "Name",
-       CASE WHEN failed OR k % 4 = 0 THEN '' ELSE rating_text END AS "Rating",
+       CASE WHEN failed OR k % 4 = 0 OR k % 10 = 7 THEN '' ELSE rating_text END AS "Rating",
        CASE WHEN failed THEN '' ELSE reviews_text END AS "Reviews Count",
-       CASE WHEN failed OR k % 3 = 0 THEN '' ELSE phone END AS "Phone",
+       CASE WHEN failed OR k % 3 = 0 OR k % 10 = 7 THEN '' ELSE phone END AS "Phone",
        CASE WHEN failed THEN '' ELSE address || CASE k % 6 WHEN 0 THEN ', Switzerland' WHEN 1 THEN ', Schweiz'
             WHEN 2 THEN ', Colombia' WHEN 3 THEN ', Spain' WHEN 4 THEN ', Germany' ELSE '' END END AS "Address",
        CASE WHEN failed OR k % 5 = 0 THEN '' ELSE website_text END AS "Website",
        CASE WHEN failed THEN '' ELSE category_text END AS "Category",
        CASE WHEN failed OR k % 7 = 0 THEN '' ELSE lat_text END AS "Latitude",
        CASE WHEN failed OR k % 7 = 0 THEN '' ELSE lng_text END AS "Longitude",
-       CASE WHEN failed THEN '' ELSE {_H} END AS "Monday Hours",
+       CASE WHEN failed OR k % 10 = 7 THEN '' ELSE {_H} END AS "Monday Hours",
        CASE WHEN failed OR k % 2 = 0 THEN '' ELSE {_H} END AS "Tuesday Hours",
+       {_WEEK},
        CASE WHEN failed THEN 'failed' WHEN k % 13 = 6 THEN 'partial' ELSE 'success' END AS "Status"
 FROM (SELECT *, k % 9 = 2 AS failed FROM ({LISTINGS}) l0) l1
 """
@@ -264,10 +271,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, tables = VIEWS[name]
     # double quotes enclose names in standard SQL and backticks do here
     sql = re.sub(r'AS "([^"]+)"', r"AS `\1`", sql)
+    sql = sql.replace("{ranks}", "explode(array(1, 2))")
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def view_sql(name: str) -> str:
     """The view as a subquery over tables of the same names."""
     sql, tables = VIEWS[name]
-    return f"({sql.format(**{t: t for t in tables})})"
+    return f"({sql.format(ranks='unnest([1, 2])', **{t: t for t in tables})})"

@@ -17,6 +17,11 @@ RUNTIME_CONF = {
 }
 
 
+# Fixed when the session starts: call sites are not recorded for every column
+# expression, which is most of the time it takes to build the extraction plans.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs need to a session that already exists."""
     for key, value in RUNTIME_CONF.items():
@@ -42,6 +47,6 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return prepare_session(builder.getOrCreate())
