@@ -111,12 +111,23 @@ def _guarded(html: Column, selector: Selector, value: Column) -> Column:
     return F.when(present, value)
 
 
+# Elements an opening tag of their own name closes.
+_NEVER_NESTED = ["p", "a", "button", "option"]
+
+
+def _before(text: Column, head: str, name: Column, end: str = "") -> Column:
+    mark = F.concat(F.lit(head), name, F.lit(end))
+    return F.call_function("substring_index", text, mark, F.lit(1))
+
+
 def _to_first_close(tail: Column, name: Column) -> Column:
-    return F.call_function("substring_index", tail, F.concat(F.lit("</"), name), F.lit(1))
+    short = _before(tail, "</", name)
+    reopened = _before(_before(short, "<", name, ">"), "<", name, " ")
+    return F.when(name.isin(_NEVER_NESTED), reopened).otherwise(short)
 
 
 def _holds_same(markup: Column, name: Column) -> Column:
-    return markup.contains(F.concat(F.lit("<"), name))
+    return markup.contains(F.concat(F.lit("<"), name)) & ~name.isin(_NEVER_NESTED)
 
 
 def _to_own_close(tail: Column, name: Column) -> Column:

@@ -454,7 +454,7 @@ _PAGE_PATTERNS = {
     "div.ad": r'(?s)<div class="ad">(.*?)</div>',
     "h1": r"(?s)<h1>(.*?)</h1>",
     "title": r"(?s)<title>(.*?)</title>",
-    "article p": r"(?s)<article>.*?<p>(.*?)</p>",
+    "article p": r"(?s)<article>.*?<p>(.*?)(?:</p>|<p>)",
 }
 _PAGE_CANDIDATES = "(" + " UNION ALL ".join(
     f"SELECT page_id, 'name' AS field, {i} AS selector_rank, {q(css)} AS selector, {entities(sub(ext('html', _PAGE_PATTERNS[css], 1), '(?s)<[^>]*>', ''))} AS raw FROM pages WHERE {has('html', _PAGE_PATTERNS[css])}"
