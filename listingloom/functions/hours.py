@@ -91,11 +91,9 @@ def am_pm_to_24h(text: Column) -> Column:
 
 
 def _clock_form(english: Column) -> Column:
-    out = F.regexp_replace(english, "(?i)([0-9]+)(am|pm)", "$1 $2")
-    out = F.regexp_replace(out, f"{_EDGE_L}AM{_EDGE_R}", "am")
-    out = F.regexp_replace(out, f"{_EDGE_L}PM{_EDGE_R}", "pm")
-    out = F.regexp_replace(out, f"(?i)([0-9]+{WS}*(?:am|pm))([0-9]+)", "$1 $2")
-    out = am_pm_to_24h(strip(squash(out)))
+    out = let(
+        english, lambda t: F.when(t.rlike("(?i)[ap]m"), _am_pm_form(t)).otherwise(strip(squash(t)))
+    )
     out = F.regexp_replace(out, f"{WS}*[-–—]{WS}*", " - ")
     out = F.regexp_replace(out, f"(?i){WS}+to{WS}+", " - ")
     out = F.regexp_replace(out, f"{WS}*,{WS}*", " & ")
@@ -103,6 +101,14 @@ def _clock_form(english: Column) -> Column:
     return strip(squash(out))
 
 
+def _am_pm_form(text: Column) -> Column:
+    out = F.regexp_replace(text, "(?i)([0-9]+)(am|pm)", "$1 $2")
+    out = F.regexp_replace(out, f"{_EDGE_L}AM{_EDGE_R}", "am")
+    out = F.regexp_replace(out, f"{_EDGE_L}PM{_EDGE_R}", "pm")
+    out = F.regexp_replace(out, f"(?i)([0-9]+{WS}*(?:am|pm))([0-9]+)", "$1 $2")
+    return am_pm_to_24h(strip(squash(out)))
+
+
 def normalise_hours(text: Column) -> Column:
     """Hours text in English, 24-hour times, `` - `` in ranges, `` & `` between them."""
     return let(

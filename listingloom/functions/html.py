@@ -289,11 +289,17 @@ def link_targets(html: Column) -> Column:
     return F.transform(found, decode_entities)
 
 
-def page_text(html: Column) -> Column:
-    """Readable text of a page: no scripts, styles or head; blocks start a new line."""
-    # Elements that are not read, and elements that break the line.
-    unread = "script|style|noscript|template|head"
+def readable(html: Column) -> Column:
+    """A page without scripts, styles and comments. They make up most of a page and hold
+    no elements, so every later look at the page gets shorter."""
+    unread = "script|style|svg|noscript|template"
+    return F.regexp_replace(html, rf"(?s)<!--.*?-->|<({unread})\b.*?</\1>", " ")
+
+
+def page_text(body: Column) -> Column:
+    """Text of a ``readable`` page; blocks start a new line."""
+    # Elements that break the line.
     blocks = "p|div|li|ul|ol|br|tr|table|h[1-6]|nav|article|section|header|footer|main"
-    out = F.regexp_replace(html, rf"(?s)<!--.*?-->|<({unread})\b.*?</\1>", " ")
+    out = F.regexp_replace(body, r"(?s)<head\b.*?</head>", " ")
     out = F.regexp_replace(out, rf"</?(?:{blocks})\b[^>]*>", "\n")
     return decode_entities(F.regexp_replace(out, "(?s)<[^>]*>", ""))

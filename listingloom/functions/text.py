@@ -76,8 +76,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+_WS_BUT_SPACE = WS_CHARS.replace(" ", "")
+
+
 def squash(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+", " ")
+    """Every run of whitespace to one space. Mapping the rare kinds to spaces first
+    leaves a pattern that is several times faster than the whole class."""
+    return F.regexp_replace(F.translate(c, _WS_BUT_SPACE, " " * len(_WS_BUT_SPACE)), "  +", " ")
 
 
 def _map_letters(c: Column, one: dict[str, str], two: dict[str, str]) -> Column:
@@ -89,8 +94,11 @@ def _map_letters(c: Column, one: dict[str, str], two: dict[str, str]) -> Column:
 
 def fold_full(c: Column) -> Column:
     """Plain-letter form for searching; a removed last character leaves a space."""
-    out = squash(strip(_map_letters(c, FOLD_ONE, FOLD_TWO)))
-    return squash(F.regexp_replace(out, r"[^A-Za-z0-9_ \-.]", " "))
+    out = strip(_map_letters(c, FOLD_ONE, FOLD_TWO))
+    # runs of spaces and removed characters become one space; single spaces, the bulk
+    # of all that is not kept, are left alone
+    other, rest = r"[^A-Za-z0-9_ \-.]", r"[^A-Za-z0-9_\-.]*"
+    return F.regexp_replace(out, f" ?{other}{rest}|  {rest}", " ")
 
 
 def fold_light(c: Column) -> Column:

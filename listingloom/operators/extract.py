@@ -134,7 +134,7 @@ FIELDS = list(RULES)
 
 
 def page_class(html: Column) -> Column:
-    """``results_page``, ``business_page`` or ``unknown``."""
+    """``results_page``, ``business_page`` or ``unknown``, for a ``readable`` page."""
 
     def shows(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
         def accept(element: Column) -> Column:
@@ -157,15 +157,21 @@ def page_class(html: Column) -> Column:
     )
 
 
+def with_body(captures: DataFrame) -> DataFrame:
+    """Add ``_body``, the page that the selectors look at."""
+    return captures.withColumn("_body", H.readable(F.col("html")))
+
+
 def classify_pages(captures: DataFrame) -> DataFrame:
-    return captures.withColumn("page_class", page_class(F.col("html")))
+    classified = with_body(captures).withColumn("page_class", page_class(F.col("_body")))
+    return classified.drop("_body")
 
 
 def extract_candidates(
     captures: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Long table ``keys, field, selector_rank, selector, raw`` of all candidates found."""
-    html = F.col("html")
+    html = F.col("_body")
     rows = [
         F.struct(
             F.lit(field).alias("field"),
@@ -184,7 +190,8 @@ def extract_candidates(
             *(c[n].alias(n) for n in named), H.element_text(html, c["element"]).alias("raw")
         ),
     )
-    return captures.select(*keys, F.explode(texts).alias("_c")).select(*keys, "_c.*")
+    found_on_page = with_body(captures).select(*keys, F.explode(texts).alias("_c"))
+    return found_on_page.select(*keys, "_c.*")
 
 
 def validate_candidates(candidates: DataFrame) -> DataFrame:
@@ -358,28 +365,45 @@ def social_of_page(html: Column) -> Column:
     )
 
 
-def extract_fields(captures: DataFrame, share_url: str | None = None) -> DataFrame:
-    """Replace ``html`` by the values found on the page.
-
-    ``phone`` is the first accepted candidate or else the first number in the page
-    text; it is not yet in international form, which needs the listing's country.
-    """
-    html, url = F.col("html"), F.col("url")
-    share = F.col(share_url) if share_url else None
+def page_record(url: Column, html: Column, body: Column, share_url: Column | None = None) -> Column:
+    """``struct`` of the values found on a page. ``phone`` is the first accepted candidate
+    or else the first number in the page text; it is not yet in international form,
+    which needs the listing's country."""
     phone = T.let(
-        field_value(html, "phone"),
-        lambda p: F.when(p != "", p).otherwise(C.scan_phone(H.page_text(html))),
+        field_value(body, "phone"),
+        lambda p: F.when(p != "", p).otherwise(C.scan_phone(H.page_text(body))),
+    )
+    values = {
+        "found_name": field_value(body, "name"),
+        "full_address": field_value(body, "address"),
+        "found_phone": phone,
+        "rating": field_value(body, "rating"),
+        "reviews_count": field_value(body, "reviews"),
+        "website": website_of(body),
+        "category": field_value(body, "category"),
+        "coordinates": coordinates_of(url, html, share_url),
+        "social_media": social_of_page(body),
+        "opening_hours": hours_of_page(body),
+    }
+    return F.struct(*(value.alias(name) for name, value in values.items()))
+
+
+def extract_fields(captures: DataFrame, share_url: str | None = None) -> DataFrame:
+    """Replace ``html`` by the values found on the page."""
+    record = page_record(
+        F.col("url"), F.col("html"), F.col("_body"), F.col(share_url) if share_url else None
     )
-    return captures.select(
-        *(c for c in captures.columns if c != "html"),
-        field_value(html, "name").alias("found_name"),
-        field_value(html, "address").alias("full_address"),
-        phone.alias("found_phone"),
-        field_value(html, "rating").alias("rating"),
-        field_value(html, "reviews").alias("reviews_count"),
-        website_of(html).alias("website"),
-        field_value(html, "category").alias("category"),
-        coordinates_of(url, html, share).alias("coordinates"),
-        social_of_page(html).alias("social_media"),
-        hours_of_page(html).alias("opening_hours"),
+    kept = [c for c in captures.columns if c != "html"]
+    return with_body(captures).select(*kept, record.alias("_r")).select(*kept, "_r.*")
+
+
+def business_records(captures: DataFrame) -> DataFrame:
+    """``job_id, rank, record`` of every capture; the record is null unless the capture is
+    a business page, and only then is the page read."""
+    record = page_record(F.col("url"), F.col("html"), F.col("_body"))
+    business = page_class(F.col("_body")) == "business_page"
+    # told apart inside the projection: as a filter, the test would be pushed to where
+    # the page is not yet cut down and would cut it down for every selector again
+    return with_body(captures.select("job_id", "rank", "url", "html")).select(
+        "job_id", "rank", F.when(business, record).alias("record")
     )

@@ -15,7 +15,7 @@ from listingloom.operators.attempts import (
     with_maps_url,
     with_phone_prefix,
 )
-from listingloom.operators.extract import extract_fields, page_class
+from listingloom.operators.extract import business_records, classify_pages
 
 # Error texts of failed records.
 NOT_FOUND = "Business not found with any search strategy"
@@ -40,19 +40,15 @@ _EMPTY_MAP = "map<string,string>"
 def first_success(attempts: DataFrame, captures: DataFrame) -> DataFrame:
     """Per job the lowest-ranked attempt whose capture is a business page.
 
-    ``captures`` holds ``job_id, rank`` and either ``page_class`` or ``html``. Only
-    the job and rank go through the shuffles, not the pages.
+    ``captures`` holds ``job_id, rank`` and either ``page_class`` or ``html``, for ranks
+    that are among the attempts. Only job and rank are shuffled, not the pages.
     """
     if "page_class" not in captures.columns:
-        captures = captures.withColumn("page_class", page_class(F.col("html")))
-    business = captures.where(F.col("page_class") == "business_page").select("job_id", "rank")
+        captures = classify_pages(captures)
+    business = F.when(F.col("page_class") == "business_page", F.col("rank"))
+    first = captures.groupBy("job_id").agg(F.min(business).alias("rank"))
     tried = attempts.select("job_id", "rank", "strategy", "query")
-    return (
-        tried.join(business, ["job_id", "rank"])
-        .groupBy("job_id")
-        .agg(F.min_by(F.struct("rank", "strategy", "query"), "rank").alias("_first"))
-        .select("job_id", "_first.*")
-    )
+    return tried.join(first, ["job_id", "rank"])
 
 
 def _originals() -> list[Column]:
@@ -113,14 +109,8 @@ def enrich(jobs: DataFrame, captures: DataFrame, scraped_at: Column | None = Non
     classified and read where they are scanned; what is shuffled is the short record.
     """
     scraped_at = F.lit(None).cast("timestamp") if scraped_at is None else scraped_at
-    business = captures.select("job_id", "rank", "url", "html").where(
-        page_class(F.col("html")) == "business_page"
-    )
-    records = extract_fields(business)
-    first = records.groupBy("job_id").agg(
-        F.min_by(
-            F.struct(*(c for c in records.columns if c not in ("job_id", "rank"))), "rank"
-        ).alias("_p")
+    first = business_records(captures).groupBy("job_id").agg(
+        F.min_by("record", F.when(F.col("record").isNotNull(), F.col("rank"))).alias("_p")
     )
     # one join serves both: jobs without a capture come out with a null record
     joined = with_phone_prefix(detect_country(jobs)).join(first, "job_id", "left")

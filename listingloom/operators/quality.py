@@ -173,8 +173,12 @@ def combined_terms(terms: DataFrame) -> DataFrame:
     ``lang_no`` and ``pos`` tell where a term comes first, which is its order in the
     combined list. The list stays in rows, so a field may have any number of terms.
     """
-    return (
-        terms.groupBy("field", "term")
-        .agg(F.min(F.struct("lang_no", "pos")).alias("_first"))
-        .select("field", "term", "_first.lang_no", "_first.pos")
+    # one number per occurrence keeps the aggregate in hash tables
+    place = F.shiftleft(F.col("lang_no").cast("bigint"), 32) + F.col("pos")
+    first = terms.groupBy("field", "term").agg(F.min(place).alias("_first"))
+    return first.select(
+        "field",
+        "term",
+        F.shiftright("_first", 32).alias("lang_no"),
+        F.col("_first").bitwiseAND(0xFFFFFFFF).alias("pos"),
     )

@@ -278,16 +278,15 @@ def first_valid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def capture_first_valid(spark: SparkSession, d: str) -> DataFrame:
-    """All fields of the business pages through the long table of candidates."""
-    pages = E.classify_pages(view(spark, d, "captures")).where("page_class = 'business_page'")
-    found = E.extract_candidates(pages, ["job_id", "rank"])
+    """All fields of all captures through the long table of candidates."""
+    found = E.extract_candidates(view(spark, d, "captures"), ["job_id", "rank"])
     return E.first_valid(found, ["job_id", "rank"], wide=True)
 
 
 @query
 def page_phone(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(
-        "page_id", C.scan_phone(H.page_text(F.col("html"))).alias("phone")
+        "page_id", C.scan_phone(H.page_text(H.readable(F.col("html")))).alias("phone")
     )
 
 

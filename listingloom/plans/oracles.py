@@ -361,7 +361,7 @@ ORACLES: dict[str, str] = {
     "char_census": f"SELECT count(*) AS total, count(DISTINCT letter) AS distinct_letters, array_to_string(list_sort(list(DISTINCT letter)), ', ') AS letters FROM {_LETTERS} x",
     "char_counts": f"SELECT letter, count(*) AS n FROM {_LETTERS} x GROUP BY letter",
     "phone_scan": f"SELECT doc_id, {scan('text')} AS phone FROM documents",
-    "combined_terms": """SELECT field, term, min(p).l AS lang_no, min(p).p AS pos FROM (
+    "combined_terms": """SELECT field, term, min(p).l AS lang_no, CAST(min(p).p AS BIGINT) AS pos FROM (
         SELECT source AS field, w[i] AS term, {'l': CAST(list_position(['de', 'en', 'es', 'fr'], lang) AS BIGINT), 'p': CAST(i - 1 AS INT)} AS p
         FROM (SELECT source, lang, w, unnest(range(1, len(w) + 1)) AS i FROM (
             SELECT source, lang, string_split_regex(lower(text), '[^a-zäöüßéèêçñáíóú]+') AS w FROM documents) d) e) x GROUP BY field, term""",
@@ -473,12 +473,10 @@ ORACLES |= {
         CAST(NULL AS VARCHAR) AS linkedin, CAST(NULL AS VARCHAR) AS youtube FROM (SELECT *, {_BUSINESS} AND k % 8 = 1 AS s FROM {CAPTURES} c) x""",
     "hours_map": f"SELECT c.job_id, c.rank, {', '.join(f'''coalesce(h.{d}, '') AS {d}''' for d in _DAY_COLS)} FROM {CAPTURES} c LEFT JOIN {_hours_wide()} h ON h.job_id = c.job_id AND h.rank = c.rank",
     "page_fields": f"SELECT job_id, rank, {', '.join(_FIELDS)} FROM {_PAGE_FIELDS} f",
-    "capture_first_valid": f"""SELECT job_id, rank, found_name AS name, full_address AS address,
-        CASE WHEN k % 5 <= 2 THEN {_OR(valid_phone('phone'))} ELSE '' END AS phone, rating, reviews_count AS reviews, category
-        FROM (SELECT job_id, rank, k, phone, {', '.join(f'{_FIELDS[f]} AS {f}' for f in ('found_name', 'full_address', 'rating', 'reviews_count', 'category'))}
-              FROM {CAPTURES} c WHERE {_BUSINESS}) x
-        WHERE found_name <> '' OR full_address <> '' OR rating <> '' OR reviews_count <> '' OR category <> ''
-           OR (k % 5 <= 2 AND {valid_phone('phone')} IS NOT NULL)""",
+    "capture_first_valid": f"""SELECT job_id, rank, found_name AS name, full_address AS address, accepted AS phone, rating, reviews_count AS reviews, category
+        FROM (SELECT job_id, rank, {', '.join(_field(f) for f in ('found_name', 'full_address', 'rating', 'reviews_count', 'category'))},
+              CASE WHEN {_BUSINESS} AND k % 5 <= 2 THEN {_OR(valid_phone('phone'))} ELSE '' END AS accepted FROM {CAPTURES} c) x
+        WHERE concat(found_name, full_address, accepted, rating, reviews_count, category) <> ''""",
     "first_success": f"SELECT * FROM {_FIRST_SUCCESS} s",
     "missing_places": f"""SELECT job_id, batch_id, name AS "originalName", address AS "originalAddress", city AS "originalCity", postal_code AS "originalPostalCode",
         {', '.join(f"'' AS \"{c}\"" for c in P.SCRAPED_COLUMNS[4:13])}, 'failed' AS status, {q(P.NOT_FOUND)} AS error
