@@ -74,13 +74,12 @@ def normalise_phone(
     are. ``known_codes=True`` splits after a known calling code instead.
     """
     bare = cleaned_phone(phone)
-    code = rf"\+(?:{'|'.join(CALLING_CODES)})" if known_codes else r"\+[0-9]{1,3}+"
+    known = f"{'|'.join(CALLING_CODES)}|" if known_codes else ""
+    code = rf"(?>\+(?:{known}[0-9]{{1,3}}))"
     spaced = F.regexp_replace(
         bare, rf"^({code})(.{{2}})(.{{3}})(.{{2}})(.{{2,}})\z", "$1 $2 $3 $4 $5"
     )
     spaced = F.regexp_replace(spaced, rf"^({code})([^ ].*)\z", "$1 $2")
-    if known_codes:
-        spaced = F.regexp_replace(spaced, r"^(\+[0-9]{1,3}+)([^ ].*)\z", "$1 $2")
     # a plus sign without digits after it is no country code
     spaced = F.regexp_replace(spaced, r"^(\+[^0-9 ])(.{3})(.{2})(.{2,})\z", "$1 $2 $3 $4")
 

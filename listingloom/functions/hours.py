@@ -77,12 +77,12 @@ def _time_to_24h(token: Column) -> Column:
 
 
 def am_pm_to_24h(text: Column) -> Column:
-    """Rewrite every am/pm time inside a text.
+    """Rewrite every am/pm time inside a text whose only whitespace is spaces.
 
     The text is cut into times, digit runs and the rest, the times are rewritten
     and the pieces joined again.
     """
-    time = f"[0-9]+(?::[0-9]+)?{WS}*(?:am|pm)"
+    time = "[0-9]+(?::[0-9]+)? *(?:am|pm)"
     pieces = F.regexp_extract_all(text, F.lit(f"(?i)(?:{time}|[0-9]+|[^0-9]+)"), F.lit(0))
     rewritten = F.transform(
         pieces, lambda p: F.when(p.rlike(f"(?i)^{time}\\z"), _time_to_24h(p)).otherwise(p)
@@ -90,23 +90,27 @@ def am_pm_to_24h(text: Column) -> Column:
     return F.array_join(rewritten, "")
 
 
+def _single_spaces(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "  +", " "))
+
+
 def _clock_form(english: Column) -> Column:
-    out = let(
-        english, lambda t: F.when(t.rlike("(?i)[ap]m"), _am_pm_form(t)).otherwise(strip(squash(t)))
-    )
-    out = F.regexp_replace(out, f"{WS}*[-–—]{WS}*", " - ")
-    out = F.regexp_replace(out, f"(?i){WS}+to{WS}+", " - ")
-    out = F.regexp_replace(out, f"{WS}*,{WS}*", " & ")
-    out = F.regexp_replace(out, f"(?i){WS}+and{WS}+", " & ")
-    return strip(squash(out))
+    # behind this line spaces are the only whitespace
+    spaced = strip(squash(english))
+    out = let(spaced, lambda t: F.when(t.rlike("(?i)[ap]m"), _am_pm_form(t)).otherwise(t))
+    out = F.regexp_replace(out, " *[-–—] *", " - ")
+    out = F.regexp_replace(out, "(?i) +to +", " - ")
+    out = F.regexp_replace(out, " *, *", " & ")
+    out = F.regexp_replace(out, "(?i) +and +", " & ")
+    return _single_spaces(out)
 
 
 def _am_pm_form(text: Column) -> Column:
     out = F.regexp_replace(text, "(?i)([0-9]+)(am|pm)", "$1 $2")
     out = F.regexp_replace(out, f"{_EDGE_L}AM{_EDGE_R}", "am")
     out = F.regexp_replace(out, f"{_EDGE_L}PM{_EDGE_R}", "pm")
-    out = F.regexp_replace(out, f"(?i)([0-9]+{WS}*(?:am|pm))([0-9]+)", "$1 $2")
-    return am_pm_to_24h(strip(squash(out)))
+    out = F.regexp_replace(out, "(?i)([0-9]+ *(?:am|pm))([0-9]+)", "$1 $2")
+    return am_pm_to_24h(_single_spaces(out))
 
 
 def normalise_hours(text: Column) -> Column:
