@@ -158,12 +158,18 @@ def progress_events(progress_rows: DataFrame, at: Column) -> DataFrame:
 def recent_activity(
     events: DataFrame, window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes"
 ) -> DataFrame:
-    """Completions per time window, overall."""
-    done = events.where(F.col("event") == "completed")
+    """Completions per time window, overall; windows without any are left out.
+
+    All events are counted through, not only completions, so that every event moves the
+    watermark and closes windows.
+    """
     if events.isStreaming:
-        done = done.withWatermark("event_ts", late)
+        events = events.withWatermark("event_ts", late)
     span = F.window("event_ts", window, slide) if slide else F.window("event_ts", window)
-    return done.groupBy(span.alias("_w")).agg(F.count(F.lit(1)).alias("completed")).select(
+    counts = events.groupBy(span.alias("_w")).agg(
+        F.count_if(F.col("event") == "completed").alias("completed")
+    )
+    return counts.where("completed > 0").select(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "completed"
     )
 
