@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listingloom.sources.tables import read_table, spread
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -262,8 +264,13 @@ VIEWS = {
 }
 
 
+# tables whose rows are worked on one by one at some cost
+_COSTLY = {"customer", "documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _COSTLY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
