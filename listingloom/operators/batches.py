@@ -244,13 +244,15 @@ def keep_latest(jobs: DataFrame, keep: dict[str, int] | None = None) -> DataFram
     The optimizer limits each partition to N rows per state before the shuffle.
     """
     keep = QUEUE_KEEP if keep is None else keep
-    finished = F.col("state").isin(list(keep))
+    finished = F.coalesce(F.col("state").isin(list(keep)), F.lit(False))
     newest = Window.partitionBy("state").orderBy(F.col("processed_at").desc(), "job_id")
-    out = jobs.where(~finished)
-    for state, limit in keep.items():
-        ranked = jobs.where(F.col("state") == state).withColumn("_n", F.row_number().over(newest))
-        out = out.unionByName(ranked.where(F.col("_n") <= limit).drop("_n"))
-    return out
+    limit = F.lit(None).cast("int")
+    for state, count in keep.items():
+        limit = F.when(F.col("state") == state, count).otherwise(limit)
+    ranked = jobs.where(finished).withColumn("_n", F.row_number().over(newest))
+    # the constant limit is what is applied before the shuffle
+    kept = ranked.where((F.col("_n") <= max(keep.values())) & (F.col("_n") <= limit)).drop("_n")
+    return jobs.where(~finished).unionByName(kept)
 
 
 def recent_jobs(jobs: DataFrame, state: str, limit: int = 10) -> DataFrame:

@@ -32,12 +32,18 @@ def position_in_group(
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # at most one row per group and slice is left here
     offsets = sizes.select(
-        *group, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        *(F.col(column).alias(f"_group_{column}") for column in group),
+        F.col("_slice").alias("_of_slice"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
+    same = F.col("_slice") == F.col("_of_slice")
+    for column in group:
+        # rows without a group are a group as well
+        same = same & F.col(column).eqNullSafe(F.col(f"_group_{column}"))
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     return (
         sliced.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*group, "_slice"])
+        .join(offsets, same)
         .withColumn(name, F.col("_row") + F.col("_offset") - 1 + start)
-        .drop("_slice", "_row", "_offset")
+        .drop("_slice", "_row", "_offset", "_of_slice", *(f"_group_{c}" for c in group))
     )

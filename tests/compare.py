@@ -39,9 +39,8 @@ def duckdb_on(folder: str):
     return con
 
 
-def compare(spark, con, folder: str, fn, sql: str | None) -> str:
+def compare(con, df, sql: str | None) -> str:
     """Empty text if both sides agree, else what differs."""
-    df = fn(spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return "" if got else "no rows"
@@ -76,7 +75,7 @@ if __name__ == "__main__":
             continue
         start = time.perf_counter()
         try:
-            problem = compare(spark, con, folder, fn, sqls.get(name))
+            problem = compare(con, fn(spark, folder), sqls.get(name))
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += bool(problem)
