@@ -66,7 +66,7 @@ def detect_day(text: Column) -> Column:
 
 def _time_to_24h(token: Column) -> Column:
     """``7:30 pm`` to ``19:30``; hours outside 1 to 12 leave the token as it is."""
-    hour = F.regexp_extract(token, "^([0-9]+)", 1).cast("int")
+    hour = F.regexp_extract(token, "^([0-9]+)", 1).try_cast("int")
     minute = F.regexp_extract(token, ":([0-9]+)", 1)
     minute = F.when(F.length(minute) < 2, F.lpad(minute, 2, "0")).otherwise(minute)
     hour24 = hour % 12 + F.when(F.lower(token).endswith("pm"), 12).otherwise(0)

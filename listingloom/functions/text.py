@@ -164,7 +164,7 @@ def number_text(c: Column) -> Column:
     """Shortest plain text of a double: no exponent, no trailing ``.0``."""
     plain = F.when(
         (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), c.cast("string")
-    ).otherwise(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"0+$", ""))
+    ).otherwise(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"0+$", ""))
     return F.regexp_replace(plain, r"\.0?$", "")
 
 

@@ -171,7 +171,7 @@ _SUMMARY = {
 
 def batch_summary(jobs: DataFrame, job_results: DataFrame) -> DataFrame:
     """Scrape outcomes per batch. Records that say ``failed`` themselves are in none of
-    the three reference counts; ``not_found`` counts them."""
+    the first three counts; ``not_found`` counts them."""
     return (
         job_result_rows(jobs, job_results)
         .groupBy("batch_id")

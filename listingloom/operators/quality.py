@@ -23,13 +23,14 @@ def _has(column: str) -> Column:
     return ~is_blank(F.col(column))
 
 
-_SUCCESS = lambda: F.col("Status") == "success"
+def _success() -> Column:
+    return F.col("Status") == "success"
 
 
 def _partial() -> Column:
     """Success with coordinates but without rating, phone and Monday hours."""
     data = _has("Rating") | _has("Phone") | _has("Monday Hours")
-    return _SUCCESS() & ~data & _has("Latitude") & _has("Longitude")
+    return _success() & ~data & _has("Latitude") & _has("Longitude")
 
 
 def hours_issue() -> Column:
@@ -41,21 +42,21 @@ def hours_issue() -> Column:
         .when(hours.rlike("(?i)am|pm"), AM_PM)
         .when(hours.rlike("[0-9]{4}:[0-9]{2}"), GLUED)
     )
-    return F.when(_SUCCESS() & _has("Monday Hours"), reason)
+    return F.when(_success() & _has("Monday Hours"), reason)
 
 
 def quality_profile(export: DataFrame) -> DataFrame:
     """One row: totals, completeness of successful rows, and whole percents."""
     counts = {
         "total": F.count(F.lit(1)),
-        "success": F.count_if(_SUCCESS()),
+        "success": F.count_if(_success()),
         "failed": F.count_if(F.col("Status") == "failed"),
         "partial": F.count_if(_partial()),
-        "with_hours": F.count_if(_SUCCESS() & (_has("Monday Hours") | _has("Tuesday Hours"))),
-        "with_rating": F.count_if(_SUCCESS() & _has("Rating")),
-        "with_reviews": F.count_if(_SUCCESS() & _has("Reviews Count")),
-        "with_phone": F.count_if(_SUCCESS() & _has("Phone")),
-        "with_website": F.count_if(_SUCCESS() & _has("Website")),
+        "with_hours": F.count_if(_success() & (_has("Monday Hours") | _has("Tuesday Hours"))),
+        "with_rating": F.count_if(_success() & _has("Rating")),
+        "with_reviews": F.count_if(_success() & _has("Reviews Count")),
+        "with_phone": F.count_if(_success() & _has("Phone")),
+        "with_website": F.count_if(_success() & _has("Website")),
         "hours_issues": F.count_if(hours_issue().isNotNull()),
     }
     flat = export.agg(*(c.alias(n) for n, c in counts.items()))
@@ -90,7 +91,7 @@ def region_completeness(export: DataFrame) -> DataFrame:
     """Successful rows per region and the share that has rating, phone and hours."""
     complete = _has("Rating") & _has("Phone") & _has("Monday Hours")
     return (
-        export.where(_SUCCESS())
+        export.where(_success())
         .groupBy(region_of(F.col("Address")).alias("region"))
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(complete).alias("with_all_data"))
         .withColumn("completeness_pct", percent(F.col("with_all_data"), F.col("total")))
@@ -121,7 +122,7 @@ def recommendations(export: DataFrame) -> DataFrame:
 
 def success_grade(export: DataFrame) -> DataFrame:
     """Success rate in percent and its grade."""
-    rate = F.count_if(_SUCCESS()) / F.count(F.lit(1)) * 100
+    rate = F.try_divide(F.count_if(_success()), F.count(F.lit(1))) * 100
     return export.agg(rate.alias("success_rate")).select(
         "success_rate",
         F.when(F.col("success_rate") >= 70, "Good")

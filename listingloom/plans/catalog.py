@@ -18,7 +18,7 @@ from listingloom.operators import batches as B
 from listingloom.operators import extract as E
 from listingloom.operators import places as P
 from listingloom.operators import quality as Q
-from listingloom.plans.views import table, view
+from listingloom.plans.views import JOB_EVENTS, table, view
 from listingloom.session import checkpoint_dir, prepare_session
 from listingloom.sources import listings as L
 from listingloom.sources import sinks
@@ -634,12 +634,10 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     for key, value in S.STATE_STORE_CONF.items():
         spark.conf.set(key, value)
     raw = table(spark, d, "events")
-    stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(raw.schema).parquet(f"{d}/events.parquet")
     # the same projection as the view, over the stream
     name = f"events_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(name)
-    from listingloom.plans.views import JOB_EVENTS
-
     return spark.sql(JOB_EVENTS.format(events=name))
 
 

@@ -56,7 +56,7 @@ def _standing() -> Column:
 
 def _state(standing: Column) -> Column:
     states = F.lit(list(EVENT_STATES.values()))
-    return F.element_at(states, standing.bitwiseAND(7).cast("int"))
+    return F.get(states, standing.bitwiseAND(7).cast("int") - 1)
 
 
 def job_states(events: DataFrame) -> DataFrame:

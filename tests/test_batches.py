@@ -132,6 +132,7 @@ def test_hours_issues_regions_and_grade(spark):
     }
     assert {r.region: r.total for r in Q.region_completeness(df).collect()} == {"Switzerland": 2, "Spain": 2, "Colombia": 1, "Unknown": 1}
     assert Q.success_grade(df).first().grade == "Good"
+    assert Q.success_grade(df.limit(0)).first().grade is None
     assert [r.rule_no for r in Q.recommendations(df).orderBy("rule_no").collect()] == [2, 3]
     assert Q.quality_profile(export(spark, [{"Status": "failed"}])).first().with_hours_pct is None
 

@@ -27,6 +27,7 @@ def test_worker_hours(apply):
         "Dimanche : Fermé": "Closed",
         "9 am – 5 pm  ": "09:00 - 17:00",
         "9 am7 pm": "09:00 19:00",
+        "99999999999 pm": "99999999999 pm",
     }
     assert apply(O.hours_of_row, list(table)) == list(table.values())
 
