@@ -634,7 +634,8 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     for key, value in S.STATE_STORE_CONF.items():
         spark.conf.set(key, value)
     raw = table(spark, d, "events")
-    stream = spark.readStream.schema(raw.schema).parquet(f"{d}/events.parquet")
+    # as a pattern, for the stream to take the table as one file or as a folder of them
+    stream = spark.readStream.schema(raw.schema).parquet(f"{d}/[e]vents.parquet")
     # the same projection as the view, over the stream
     name = f"events_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(name)
