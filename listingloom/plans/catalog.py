@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,7 @@ from listingloom.operators import extract as E
 from listingloom.operators import places as P
 from listingloom.operators import quality as Q
 from listingloom.plans.views import JOB_EVENTS, table, view
-from listingloom.session import checkpoint_dir, prepare_session
+from listingloom.session import prepare_session, scratch_folder
 from listingloom.sources import listings as L
 from listingloom.sources import sinks
 from listingloom.streaming import jobs as S
@@ -46,11 +45,6 @@ def _at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """Fresh folder where every executor can write."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- listings -------------------------------------------------------------------
 
 
@@ -102,7 +96,7 @@ def search_variations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ingest_listings(spark: SparkSession, d: str) -> DataFrame:
     """Listings written as CSV files and read back as an upload."""
-    folder = _scratch(spark, "listings")
+    folder = scratch_folder(spark, "listings")
     rows = view(spark, d, "listings").select(*L.LISTING_COLUMNS, "job_id")
     (
         rows.withColumnRenamed("name", " Name ")
@@ -416,7 +410,7 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
 @query
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The export written with its byte order mark and read back."""
-    folder = _scratch(spark, "export")
+    folder = scratch_folder(spark, "export")
     rows = view(spark, d, "export")
     sinks.write_export(rows.select(*(T.csv_text(F.col(f"`{c}`")).alias(c) for c in P.EXPORT_COLUMNS)), folder)
     read = spark.read.option("header", True).option("escape", '"').csv(folder)
@@ -644,7 +638,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over what is there and return all it has put out, with ``epoch``."""
-    folder = _scratch(spark, name)
+    folder = scratch_folder(spark, name)
 
     def write(rows: DataFrame, epoch: int) -> None:
         rows.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Read at run time by the jobs; none of them is about sizing, which stays with
 # whoever owns the cluster.
@@ -29,16 +29,46 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Only for sessions whose executors live in the driver's own process.
+LOCAL_SCRATCH = "/tmp/checkpoints"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the cluster; a fresh one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a fixed folder; any other session
+    without it is refused, because executors could not see each other's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = LOCAL_SCRATCH
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="listingloom-"))
-    return spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder; Spark's file system drops it when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    handle.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(handle)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`scratch_folder` whose readers are done."""
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    handle.getFileSystem(spark._jsc.hadoopConfiguration()).delete(handle, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result below the shared folder and read it back: computed once, lineage cut."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def build_session(

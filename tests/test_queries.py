@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from listingloom.plans.catalog import CATALOG
+from listingloom.plans.oracles import ORACLES
 from tests.compare import compare, duckdb_on
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,17 +16,17 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(CATALOG) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(CATALOG))
 def test_query(spark, con, name):
-    df = queries()[name](spark, FOLDER)
+    df = CATALOG[name](spark, FOLDER)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # all work stays in the engine, and nothing is paired with everything
     for word in ("PythonUDF", "ArrowEval", "InPandas", "Join Cross", "CartesianProduct"):
         assert word not in plan
-    assert compare(con, df, oracle_sql()[name]) == ""
+    assert compare(con, df, ORACLES[name]) == ""
 
 
 def test_entry(spark):
