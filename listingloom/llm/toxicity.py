@@ -18,11 +18,11 @@ import heapq
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,22 +72,35 @@ def class_table() -> np.ndarray:
 # --- character model --------------------------------------------------------------
 
 
+def _blocks(texts_: Iterator[str], size: int = 1 << 20) -> Iterator[str]:
+    """Texts set apart by a line break, in blocks of about a million characters."""
+    pending, weight = [], 0
+    for text in texts_:
+        for k in range(0, len(text), size):
+            pending.append(text[k : k + size])
+            weight += len(pending[-1])
+            if weight >= size:
+                yield "\n".join(pending)
+                pending, weight = [], 0
+    if pending:
+        yield "\n".join(pending)
+
+
 def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``gram`` and ``n``: four-character sequences over all texts, counted per task first."""
     schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = class_table(), np.zeros(GRAMS, np.int64)
-        for (text,) in rows(parts, "text"):
-            for k in range(0, len(text), 1 << 20):
-                units = np.frombuffer(text[k : k + (1 << 20)].encode("utf-16-le", "surrogatepass"), np.uint16)
-                classes = np.concatenate([[0], table[units], [0]]).astype(np.int32)
-                classes = classes[(classes > 0) | (np.roll(classes, 1) > 0)]
-                classes = np.concatenate([[0, 0, 0], classes])
-                grams = classes[:-3]
-                for later in (classes[1:-2], classes[2:-1], classes[3:]):
-                    grams = grams * CLASSES + later
-                counts += np.bincount(grams, minlength=GRAMS)
+        for block in _blocks(text for (text,) in rows(parts, "text")):
+            units = np.frombuffer(block.encode("utf-16-le", "surrogatepass"), np.uint16)
+            classes = np.concatenate([[0], table[units], [0]]).astype(np.int32)
+            classes = classes[(classes > 0) | (np.roll(classes, 1) > 0)]
+            classes = np.concatenate([[0, 0, 0], classes])
+            grams = classes[:-3]
+            for later in (classes[1:-2], classes[2:-1], classes[3:]):
+                grams = grams * CLASSES + later
+            counts += np.bincount(grams, minlength=GRAMS)
         seen = np.flatnonzero(counts)
         columns = [pa.array(seen.astype(np.int32)), pa.array(counts[seen])]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -186,12 +199,15 @@ def restore_text(text: str, restorer: Restorer) -> str:
 # --- evidence ---------------------------------------------------------------------
 
 
-def parts_of(word: str) -> list[int]:
-    """Hashes of a word, of its beginnings and of its endings."""
+HEADS, TAILS = range(3, 8), range(4, 7)
+
+
+def parts_of(word: str) -> list[str]:
+    """A word, its beginnings and its endings, each with a mark of its kind."""
     found = ["=" + word]
-    found += ["^" + word[:n] for n in range(3, min(8, len(word)))]
-    found += ["$" + word[-n:] for n in range(4, min(7, len(word)))]
-    return [xxhash.xxh64_intdigest(part) >> 1 for part in found]
+    found += ["^" + word[:n] for n in HEADS if n < len(word)]
+    found += ["$" + word[-n:] for n in TAILS if n < len(word)]
+    return found
 
 
 class Words:
@@ -218,13 +234,28 @@ class Words:
 class Evidence(dict):
     """A token's log odds, worked out once per task for each token that is met."""
 
-    def __init__(self, model: np.ndarray, odds: dict[int, float]) -> None:
+    def __init__(self, model: np.ndarray, odds: dict[str, float]) -> None:
         super().__init__()
-        self.words, self.odds = Words(model), odds
+        self.words = Words(model)
+        # by kind and length, so that a word is looked up by plain slices of it
+        self.whole = {p[1:]: v for p, v in odds.items() if p[0] == "="}
+        self.heads = [(n, {p[1:]: v for p, v in odds.items() if p[0] == "^" and len(p) == n + 1}) for n in HEADS]
+        self.tails = [(n, {p[1:]: v for p, v in odds.items() if p[0] == "$" and len(p) == n + 1}) for n in TAILS]
+
+    def of_word(self, word: str) -> float:
+        value, size = self.whole.get(word, 0.0), len(word)
+        for n, table in self.heads:
+            if n >= size:
+                break
+            value = max(value, table.get(word[:n], 0.0))
+        for n, table in self.tails:
+            if n >= size:
+                break
+            value = max(value, table.get(word[-n:], 0.0))
+        return value
 
     def __missing__(self, token: str) -> float:
-        found = [self.odds[p] for w in self.words.of_token(token) for p in parts_of(w) if p in self.odds]
-        value = max(found, default=0.0)
+        value = max(map(self.of_word, self.words.of_token(token)), default=0.0)
         if len(self) >= REMEMBERED:
             self.clear()
         self[token] = value
@@ -243,23 +274,19 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -
     return np.log((toxic + share) / n_toxic) - np.log((other + 1 - share) / n_other)
 
 
-def part_counts(sample: DataFrame, model: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+def part_counts(sample: DataFrame, model: np.ndarray, only: frozenset[str] | None = None) -> DataFrame:
     """``part`` and ``n``: documents of a sample that have it, counted per task first."""
-    schema = pa.schema([("part", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.string()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(model), {}
+        words, counts = Words(model), Counter()
         for (text,) in rows(parts, "text"):
             seen = {w for token in Words.tokens(text) for w in words.of_token(token)}
-            own = np.unique(np.array([p for w in seen for p in parts_of(w)], np.int64))
-            if only is not None and len(only):
-                own = own[only[np.minimum(np.searchsorted(only, own), len(only) - 1)] == own]
-            for part in own.tolist():
-                counts[part] = counts.get(part, 0) + 1
-        columns = [pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            own = {p for w in seen for p in parts_of(w)}
+            counts.update(own if only is None else own & only)
+        yield from batches(schema, iter(counts.items()), 1 << 16)
 
-    return sample.select("text").mapInArrow(run, "part LONG, n LONG").groupBy("part").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(run, "part STRING, n LONG").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -305,12 +332,9 @@ def learn(
         part_counts(toxic, model).filter(F.col("n") >= MIN_TOXIC)
         .orderBy(F.desc("n"), "part").limit(MAX_PARTS).toPandas().sort_values("part")
     )
-    parts, t = of_toxic["part"].to_numpy(np.int64), of_toxic["n"].to_numpy(float)
-    o = np.zeros(len(parts))
-    of_other = part_counts(other, model, parts).toPandas() if len(parts) else None
-    if of_other is not None:
-        of_other = of_other[of_other["part"].isin(parts)]
-        o[np.searchsorted(parts, of_other["part"].to_numpy(np.int64))] = of_other["n"]
+    parts, t = of_toxic["part"].tolist(), of_toxic["n"].to_numpy(float)
+    of_other = dict(part_counts(other, model, frozenset(parts)).collect())
+    o = np.array([of_other.get(part, 0) for part in parts], float)
     odds = log_odds(t, o, n_toxic, n_other)
     if_toxic = log_odds(t - 1, o, n_toxic, n_other)
     if_other = log_odds(t, np.maximum(o - 1, 0), n_toxic, n_other)
@@ -318,9 +342,8 @@ def learn(
     fit_schema = pa.schema([("y", pa.int32()), ("top", pa.float64()), ("next", pa.float64())])
 
     def run(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_parts = parts.tolist()
         scorers = [
-            Evidence(model, dict(zip(known_parts, values.tolist()))) for values in (if_other, if_toxic)
+            Evidence(model, dict(zip(parts, values.tolist()))) for values in (if_other, if_toxic)
         ]
         for part in parts_:
             made = (
@@ -333,8 +356,7 @@ def learn(
     weights = logistic(x, (fit["y"] == 1).to_numpy(float))
     # the sample's share of toxic documents is not the corpus's
     weights[0] += math.log(all_toxic / all_other) - math.log(n_toxic / n_other)
-    telling = odds > 0
-    return dict(zip(parts[telling].tolist(), odds[telling].tolist())), weights
+    return {part: value for part, value in zip(parts, odds.tolist()) if value > 0}, weights
 
 
 def toxicity(
