@@ -22,8 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from listingloom.llm.common import batches, rows, texts
 from listingloom.session import scratch_folder
@@ -33,10 +35,8 @@ MAX_DEPTH = 16
 BUCKET_ENTRIES = 4096
 BUCKET_BYTES = 16 << 20
 
-ENTRY = "bucket INT, key LONG, text STRING, top_id LONG, top_rows LONG, n LONG"
-CHAINED = (
-    "bucket INT, key LONG, chain INT, keep_id LONG, keep_rows LONG, group_size LONG, text STRING"
-)
+ENTRY = "bucket INT, key LONG, text STRING, top_id LONG, n LONG"
+CHAINED = "bucket INT, key LONG, chain INT, keep_id LONG, group_size LONG, text STRING"
 
 
 @dataclass
@@ -114,63 +114,63 @@ def build_index(
     max_bytes: int = BUCKET_BYTES,
     key_bits: int = 64,
     path: str | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Write the index and return it: one row per distinct text, one folder per bucket.
 
     Columns: ``bucket``; ``key``; ``chain``, the entry's place among different texts of
-    one key; ``keep_id``, the largest id; ``keep_rows``, how often that id is repeated;
-    ``group_size``; ``text``.
+    one key; ``keep_id``, the largest id; ``group_size``; ``text``; with ``carry`` also
+    ``row``, the other columns of a row with that id.
     """
     spark = docs.sparkSession
-    keyed = texts(docs, id_col, text_col).withColumn("key", text_key(F.col("text"), key_bits))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    row = [F.struct(*others, F.col(text_col).isNull().alias("_no_text")).alias("row")] if carry else []
+    keyed = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text, key_bits).alias("key"), *row
+    )
     directory = plan_directory(keyed, max_entries, max_bytes)
-
-    combined_schema = pa.schema(
-        [("bucket", pa.int32()), ("key", pa.int64()), ("text", pa.string()),
-         ("top_id", pa.int64()), ("top_rows", pa.int64()), ("n", pa.int64())]
-    )
+    given = ["doc_id", "text", "key", *(["row"] if carry else [])]
+    entry, chained = (
+        T.StructType([*T.StructType.fromDDL(ddl).fields, *(keyed.schema[c] for c in given[3:])])
+        for ddl in (ENTRY, CHAINED)
+    )
+    entry_schema, chained_schema = to_arrow_schema(entry), to_arrow_schema(chained)
 
     def combine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             seen: dict[tuple[int, str], list] = {}
-            for doc_id, text, key in rows(iter([part]), "doc_id", "text", "key"):
-                _add(seen, (key, text), doc_id, 1, 1)
+            for doc_id, text, key, *rest in rows(iter([part]), *given):
+                _add(seen, (key, text), doc_id, 1, rest)
             keys = np.array([key for key, _ in seen], np.int64)
             found = zip(directory.bucket(keys).tolist(), seen.items())
-            made = ((b, key, text, *entry) for b, ((key, text), entry) in found)
-            yield from batches(combined_schema, made)
-
-    chained_schema = pa.schema(
-        [("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()),
-         ("keep_id", pa.int64()), ("keep_rows", pa.int64()), ("group_size", pa.int64()),
-         ("text", pa.string())]
-    )
+            made = ((b, key, text, top, n, *rest) for b, ((key, text), (top, n, rest)) in found)
+            yield from batches(entry_schema, made)
 
     def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(chained_schema, _chain(rows(parts, *combined_schema.names)))
+        yield from batches(chained_schema, _chain(rows(parts, *entry_schema.names)))
 
     path = path or scratch_folder(spark, "exact-index")
     (
-        keyed.mapInArrow(combine, ENTRY)
+        keyed.mapInArrow(combine, entry)
         .repartitionById(len(directory.local_depth), "bucket")
         .sortWithinPartitions("bucket", "key")
-        .mapInArrow(own, CHAINED)
+        .mapInArrow(own, chained)
         .write.partitionBy("bucket")
         .parquet(path)
     )
-    return spark.read.schema(CHAINED).parquet(path)
+    return spark.read.schema(chained).parquet(path)
 
 
-def _add(seen: dict, key, top_id: int | None, top_rows: int, n: int) -> None:
+def _add(seen: dict, key, top_id: int | None, n: int, rest: list) -> None:
+    """Count a text's rows, and keep the id and the columns of the one with the largest id."""
     entry = seen.get(key)
     if entry is None:
-        seen[key] = [top_id, top_rows, n]
+        seen[key] = [top_id, n, rest]
         return
-    entry[2] += n
-    if top_id == entry[0]:
-        entry[1] += top_rows
-    elif entry[0] is None or (top_id is not None and top_id > entry[0]):
-        entry[0], entry[1] = top_id, top_rows
+    entry[1] += n
+    if top_id is not None and (entry[0] is None or top_id > entry[0]):
+        entry[0], entry[2] = top_id, rest
 
 
 def _chain(entries: Iterator[tuple]) -> Iterator[tuple]:
@@ -178,16 +178,17 @@ def _chain(entries: Iterator[tuple]) -> Iterator[tuple]:
     here, chain = None, {}
 
     def flush() -> Iterator[tuple]:
-        for place, (text, entry) in enumerate(sorted(chain.items())):
-            yield (*here, place, *entry, text)
+        for place, text in enumerate(sorted(chain)):
+            top_id, n, rest = chain[text]
+            yield (*here, place, top_id, n, text, *rest)
 
-    for bucket, key, text, top_id, top_rows, n in entries:
+    for bucket, key, text, top_id, n, *rest in entries:
         if (bucket, key) != here:
             if here is not None:
                 yield from flush()
             here, chain = (bucket, key), {}
         # a dictionary hit means equal text, byte by byte; another text is chained
-        _add(chain, text, top_id, top_rows, n)
+        _add(chain, text, top_id, n, rest)
     if here is not None:
         yield from flush()
 
@@ -195,7 +196,7 @@ def _chain(entries: Iterator[tuple]) -> Iterator[tuple]:
 def copy_groups(index: DataFrame) -> DataFrame:
     """Groups of more than one row: ``key``, ``text_sha256``, ``keep_id``, sizes."""
     return index.filter("group_size > 1").select(
-        "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "keep_rows", "group_size"
+        "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"
     )
 
 
@@ -227,40 +228,13 @@ def exact_duplicates(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per distinct text, the one with the largest id."""
-    groups = copy_groups(build_index(docs, id_col, text_col))
-    copies = exact_copies_to_drop(docs, groups, id_col, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("_sha256", F.sha2(text, 256))
-    same_row = F.col(id_col).cast("long").eqNullSafe(F.col("_copy_id")) & (
-        F.col("_sha256") == F.col("_copy_sha256")
-    )
-    left = marked.join(copies, same_row, "left_anti")
-    repeated = groups.filter("keep_rows > 1").select(F.col("text_sha256").alias("_copy_sha256"))
-    if not repeated.isEmpty():
-        again = F.col("_sha256") == F.col("_copy_sha256")
-        once = left.join(repeated, again, "left_anti")
-        left = once.unionByName(
-            left.join(repeated, again, "left_semi").dropDuplicates(["_sha256"])
-        )
-    return left.drop("_sha256")
-
-
-def exact_copies_to_drop(
-    docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Id and text hash of the rows that go, written down so that its size is known."""
-    from listingloom.session import stored
+    """``docs`` with one row per distinct text, the one with the largest id.
 
-    members = texts(docs, id_col, text_col).select(
-        "doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256")
-    )
-    gone = members.join(groups, ["key", "text_sha256"]).filter(
-        ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    )
-    return stored(
-        gone.select(
-            F.col("doc_id").alias("_copy_id"), F.col("text_sha256").alias("_copy_sha256")
-        ).distinct(),
-        "exact-copies",
+    The rows come out of the index, which carries the other columns of each text's last
+    row, so that texts are shuffled once and joined with nothing.
+    """
+    index = build_index(docs, id_col, text_col, carry=True)
+    text = F.when(~F.col("row._no_text"), F.col("text")).cast(docs.schema[text_col].dataType)
+    return index.select(
+        *(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
     )
