@@ -38,17 +38,20 @@ class _Element(NamedTuple):
 def _attribute(name: str, op: str, value: str | None) -> str:
     if value is None:
         return rf"(?=[^>]*?\s{name}[\s=>])"
-    any_, text = "[^Q>]*?", re.escape(value)
-    around = {
-        "": ("", ""),
-        "^": ("", any_),
-        "*": (any_, any_),
-        "word": (r"(?:[^Q>]*?\s)?", r"(?:\s[^Q>]*)?"),
-    }[op]
-    quoted = "|".join(
-        f"Q{around[0]}{text}{around[1]}Q".replace("Q", quote) for quote in ('"', "'")
-    )
-    return rf"(?=[^>]*?\s{name}=(?:{quoted}))"
+    text = re.escape(value)
+
+    def in_quotes(quote: str) -> str:
+        any_ = f"[^{quote}>]*?"
+        before, after = {
+            "": ("", ""),
+            "^": ("", any_),
+            "*": (any_, any_),
+            "word": (rf"(?:{any_}\s)?", rf"(?:\s{any_})?"),
+        }[op]
+        return f"{quote}{before}{text}{after}{quote}"
+
+    either = "|".join(in_quotes(quote) for quote in ('"', "'"))
+    return rf"(?=[^>]*?\s{name}=(?:{either}))"
 
 
 def _parse(compound: str, group: str) -> _Element:
@@ -80,7 +83,7 @@ def _opening(element: _Element, group: str) -> str:
 
 class Selector(NamedTuple):
     scope: str | None  # opening tag of the ancestor, if any
-    joint: str  # what may stand between ancestor (or sibling) and element
+    sibling: bool  # whether the scope stands right before the element, not around it
     opening: str  # opening tag of the element
     literals: tuple[str, ...]
 
@@ -95,13 +98,11 @@ def compile_selector(css: str) -> Selector:
     element = _parse(compounds[-1], "e")
     literals = list(element.literals)
     if len(compounds) == 1:
-        return Selector(None, "", _opening(element, "e"), tuple(literals or [f"<{element.tag}"]))
+        return Selector(None, False, _opening(element, "e"), tuple(literals or [f"<{element.tag}"]))
     outer = _parse(compounds[0], "s")
     literals += outer.literals
-    inside = r"(?:(?!</\k<s>>).)*"
-    joint = rf"{inside}</\k<s>>{WS}*" if sibling else rf"{inside}?"
     literals = literals or [f"<{outer.tag}", f"<{element.tag}"]
-    return Selector(_opening(outer, "s"), joint, _opening(element, "e"), tuple(literals))
+    return Selector(_opening(outer, "s"), sibling, _opening(element, "e"), tuple(literals))
 
 
 def _guarded(html: Column, selector: Selector, value: Column) -> Column:
@@ -157,14 +158,29 @@ def _cut_at_close(tail: Column, name: Column) -> Column:
     return F.when(_holds_same(short, name), _to_own_close(tail, name)).otherwise(short)
 
 
+def _behind_close(tail: Column, name: Column) -> Column:
+    """What stands in ``tail`` behind the closing tag that belongs to ``name``."""
+    return let(_to_own_close(tail, name), lambda own: F.substr(tail, F.length(own) + 1))
+
+
 def from_element(html: Column, css: str) -> Column:
     """The first matching element, cut at the first closing tag of its name; null if
-    there is none."""
+    there is none. An ancestor reaches to the closing tag of its own, whatever it holds."""
     selector = compile_selector(css)
-    head = f"{selector.scope}{selector.joint}" if selector.scope else ""
-    pattern = rf"(?s){head}({selector.opening}.*?</\k<e>)"
-    found = F.regexp_extract(html, pattern, 2 if selector.scope else 1)
-    return _guarded(html, selector, F.nullif(found, F.lit("")))
+    start = rf"^{WS}*" if selector.sibling else ""
+    pattern = rf"(?s){start}({selector.opening}.*?</\k<e>)"
+
+    def first_in(text: Column) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+    if not selector.scope:
+        return _guarded(html, selector, first_in(html))
+    reach = _behind_close if selector.sibling else _cut_at_close
+    places = let(
+        _tails(html, selector.scope), lambda f: F.zip_with(f["tails"], f["names"], reach)
+    )
+    found = F.get(F.array_compact(F.transform(places, first_in)), F.lit(0))
+    return _guarded(html, selector, found)
 
 
 def inner_markup(html: Column, element: Column) -> Column:

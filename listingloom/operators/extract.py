@@ -257,12 +257,15 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
     meta tag or share address, in that order; empty texts if there are none."""
     at = r"@(-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+),[0-9]+\.?[0-9]*z"
     bang = r"!3d(-?[0-9]+\.[0-9]+)!4d(-?[0-9]+\.[0-9]+)"
-    # a pair of long decimals counts only inside the page's own start-up data
-    state = r"(?s)APP_INITIALIZATION_STATE.*?(-?[0-9]+\.[0-9]{6,}),(-?[0-9]+\.[0-9]{6,})"
+    # a pair of long decimals counts only inside the page's own start-up data, which
+    # ends with its script
+    start = F.instr(html, "APP_INITIALIZATION_STATE")
+    script = F.substring_index(F.substr(html, F.greatest(start, F.lit(1))), "</script", 1)
+    state = r"(-?[0-9]+\.[0-9]{6,}),(-?[0-9]+\.[0-9]{6,})"
     pairs = [
         (url, at, None),
         (url, bang, None),
-        (html, state, "APP_INITIALIZATION_STATE"),
+        (script, state, "APP_INITIALIZATION_STATE"),
     ]
 
     def pair(text: Column, pattern: str, literal: str | None) -> Column:

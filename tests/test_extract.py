@@ -54,6 +54,19 @@ def test_nested_elements_are_cut_at_their_own_close(select):
     assert select("<p class='k'>one<p>two</p>", ".k") == "one"
 
 
+def test_ancestors_reach_to_their_own_close(select):
+    pages = [
+        ('<div class="F7nice"><div>x</div><span class="ceNzKf">4.5</span></div>', ".F7nice .ceNzKf", "4.5"),
+        ('<div data-item-id="address"><div class="icon"></div><div class="body">Neugasse 5</div></div>', '[data-item-id="address"] .body', "Neugasse 5"),
+        ('<div role="img"><div>*</div></div> <span>4.5</span>', 'div[role="img"] + span', "4.5"),
+        ('<div class="a"><i>no</i></div><div class="a"><div></div><b>yes</b></div><b>out</b>', ".a b", "yes"),
+        ('<div class="a"></div><b>out</b>', ".a b", None),
+        ('<b aria-label="FAQ">q</b>', 'b[aria-label*="FAQ"]', "q"),
+    ]
+    for page, css, want in pages:
+        assert select(page, css) == want, css
+
+
 def classes(spark, *pages):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i INT, html STRING")
     return [r.page_class for r in E.classify_pages(df).orderBy("i").collect()]
@@ -101,6 +114,15 @@ def test_coordinates(spark):
     assert E.extract_fields(shared, "s").first().coordinates == ("1.5", "2.5")
 
 
+def test_page_data_ends_with_its_script(spark):
+    page = (
+        "<script>APP_INITIALIZATION_STATE=[1]</script><script>x=[11.123456,22.123456]</script>"
+        '<meta property="geo" content="47.5,8.5">'
+    )
+    row = spark.range(1).select(E.coordinates_of(F.lit("https://m/"), F.lit(page)).alias("c")).first().c
+    assert (row.latitude, row.longitude) == ("47.5", "8.5")
+
+
 def test_phone_from_page_text_only_as_fallback(spark):
     assert extracted(spark, "<p>Tel. +41 44 123 45 67</p>").found_phone == "+41 44 123 45 67"
     page = '<a href="tel:1">4.5(12)</a><script>+41 11 111 11 11</script><p>044 123 45 67</p>'
