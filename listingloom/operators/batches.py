@@ -34,6 +34,11 @@ def jobs_of_batch(jobs: DataFrame, batch_id: str) -> DataFrame:
     return jobs.where(F.col("batch_id") == batch_id)
 
 
+def jobs_in_states(jobs: DataFrame, states: list[str] = STATES) -> DataFrame:
+    """The jobs that are in one of the states, in one scan."""
+    return jobs.where(F.col("state").isin(states))
+
+
 def union_of_states(*lists: DataFrame) -> DataFrame:
     """One jobs table from the lists of waiting, active, completed and failed jobs."""
     out = lists[0]
@@ -238,20 +243,29 @@ def envelope_of_run(attempts: DataFrame) -> DataFrame:
     )
 
 
+# slices of a state that are cut down on their own
+RETENTION_SLICES = 1024
+
+
 def keep_latest(jobs: DataFrame, keep: dict[str, int] | None = None) -> DataFrame:
     """Finished jobs beyond the newest N of their state are dropped, others stay.
 
-    The optimizer limits each partition to N rows per state before the shuffle.
+    A state is cut to its newest N in slices first, and what is left is then numbered in
+    ranges, so no task holds a whole state, whatever N is.
     """
     keep = QUEUE_KEEP if keep is None else keep
     finished = F.coalesce(F.col("state").isin(list(keep)), F.lit(False))
-    newest = Window.partitionBy("state").orderBy(F.col("processed_at").desc(), "job_id")
+    order = [F.col("processed_at").desc(), F.col("job_id")]
+    in_slice = Window.partitionBy("state", "_part").orderBy(*order)
     limit = F.lit(None).cast("int")
     for state, count in keep.items():
         limit = F.when(F.col("state") == state, count).otherwise(limit)
-    ranked = jobs.where(finished).withColumn("_n", F.row_number().over(newest))
-    # the constant limit is what is applied before the shuffle
-    kept = ranked.where((F.col("_n") <= max(keep.values())) & (F.col("_n") <= limit)).drop("_n")
+    part = F.pmod(F.xxhash64("job_id"), F.lit(RETENTION_SLICES))
+    sliced = jobs.where(finished).withColumn("_part", part)
+    sliced = sliced.withColumn("_n", F.row_number().over(in_slice))
+    newest = sliced.where(F.col("_n") <= limit).drop("_part", "_n")
+    ranked = position_in_group(newest, ["state"], order, "_n", start=1)
+    kept = ranked.where(F.col("_n") <= limit).drop("_n")
     return jobs.where(~finished).unionByName(kept)
 
 

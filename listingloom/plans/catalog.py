@@ -433,9 +433,7 @@ def jobs_of_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def union_of_states(spark: SparkSession, d: str) -> DataFrame:
-    jobs = view(spark, d, "jobs")
-    lists = [jobs.where(F.col("state") == state) for state in B.STATES]
-    return B.union_of_states(*lists).select("job_id", "batch_id", "state")
+    return B.jobs_in_states(view(spark, d, "jobs")).select("job_id", "batch_id", "state")
 
 
 @query
@@ -678,6 +676,15 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return _latest(_run_stream(spark, rows, "progress", "update"), ["batch_id"])
 
 
+@query
+def stream_complete(spark: SparkSession, d: str) -> DataFrame:
+    """The event that ends each finished batch, as the stream puts it out."""
+    rows = S.progress(_event_stream(spark, d), _event_totals(spark, d))
+    events = S.progress_events(rows, _at(EVENTS_AS_OF)).where("event = 'complete'")
+    out = _run_stream(spark, events, "complete", "update")
+    return out.select("event", "batch_id", "payload_json").distinct()
+
+
 @query
 def stream_results(spark: SparkSession, d: str) -> DataFrame:
     out = _run_stream(spark, S.finished_once(_event_stream(spark, d)), "results", "append")

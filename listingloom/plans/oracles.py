@@ -627,8 +627,8 @@ _STATES = f"(SELECT batch_id, job_id, arg_max({_STATE}, {{'t': {_TERM}, 'ts': ev
 _FINISHED = f"""(SELECT batch_id, job_id, arg_min({{'event': event, 'progress': progress, 'failed_reason': failed_reason, 'event_ts': event_ts}}, {{'ts': event_ts, 'e': event}}) AS v
     FROM {EVENTS} e WHERE {_TERM} GROUP BY batch_id, job_id)"""
 _PROGRESS = f"""(SELECT batch_id, completed, total, {pct('completed', 'total')} AS percentage, completed >= total AS done FROM (
-    SELECT batch_id, count(*) AS completed FROM {_FINISHED} f GROUP BY batch_id) c
-    JOIN (SELECT batch_id, count(DISTINCT job_id) AS total FROM {EVENTS} e GROUP BY batch_id) t USING (batch_id))"""
+    SELECT batch_id, count(DISTINCT job_id) FILTER ({_TERM}) AS completed, count(DISTINCT job_id) AS total
+    FROM {EVENTS} e GROUP BY batch_id) c)"""
 _JSON = "'{\"batchId\":\"' || batch_id || '\",\"completed\":' || CAST(completed AS VARCHAR) || ',\"total\":' || CAST(total AS VARCHAR)"
 _EVENTS_TS = f"strftime(TIMESTAMP '{EVENTS_AS_OF}', '%Y-%m-%dT%H:%M:%S.%gZ')"
 _SPELLS = f"""(SELECT batch_id, job_id, arg_max({_STATE}, {{'t': {_TERM}, 'ts': event_ts, 'e': event}}) AS state, max(event_ts) + INTERVAL 6 HOUR AS ended FROM (
@@ -649,6 +649,7 @@ ORACLES |= {
     "stalled_spells": f"SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active'",
     "stream_job_states": f"SELECT batch_id, job_id, state, {iso('last_event_at')} AS last_event_at FROM {_STATES} s",
     "stream_progress": f"SELECT * FROM {_PROGRESS} p",
+    "stream_complete": f"""SELECT 'complete' AS event, batch_id, {_JSON} || ',"message":"All jobs completed"}}' AS payload_json FROM {_PROGRESS} p WHERE done""",
     "stream_results": f"SELECT batch_id, job_id FROM {_FINISHED} f",
     "stream_recent_activity": _RECENT,
     "stream_stalled_spells": f"SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active' AND ended <= (SELECT max(event_ts) FROM {EVENTS} e) - INTERVAL 10 MINUTE",

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingloom.sources.tables import read_table, spread
+from listingloom.sources.tables import read_table
 
 
 def _text(value: str) -> str:
@@ -222,8 +222,10 @@ FROM {orders}
 JOB_EVENTS = """
 SELECT 'u' || CAST(user_id AS STRING) AS batch_id,
        'u' || CAST(user_id AS STRING) || '-' || CAST(event_id % 50 AS STRING) AS job_id,
-       CASE event_type WHEN 'signup' THEN 'waiting' WHEN 'click' THEN 'active' WHEN 'view' THEN 'progress'
-            WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS event,
+       CASE WHEN user_id % 10 = 5 AND event_type <> 'error' THEN 'completed'
+            WHEN user_id % 10 = 3 AND event_type IN ('purchase', 'error') THEN 'active'
+            ELSE CASE event_type WHEN 'signup' THEN 'waiting' WHEN 'click' THEN 'active' WHEN 'view' THEN 'progress'
+            WHEN 'purchase' THEN 'completed' ELSE 'failed' END END AS event,
        CAST(CASE WHEN event_type = 'view' THEN 10 + (event_id % 9) * 10 END AS INT) AS progress,
        CASE WHEN event_type = 'error' THEN 'code ' || CAST(event_id % 5 AS STRING) END AS failed_reason,
        CAST(ts AS TIMESTAMP) AS event_ts
@@ -264,13 +266,8 @@ VIEWS = {
 }
 
 
-# tables whose rows are worked on one by one at some cost
-_COSTLY = {"customer", "documents", "pages"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = read_table(spark, f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in _COSTLY else df
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,11 +39,29 @@ def encoding_of(content: Column) -> Column:
     )
 
 
-def _cells_per_line(content: Column) -> Column:
-    """Upper bound of the cells in any line: one more than its commas."""
-    lines = F.split(F.decode(content, "ISO-8859-1"), "\n")
-    commas = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
-    return F.array_max(commas) + 1
+def _commas(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+
+def _cells_per_row(content: Column) -> Column:
+    """Upper bound of the cells in any row: one more than the commas of its line, or than
+    those outside quotes where quoted line breaks make a row of several lines."""
+    text = F.decode(content, "ISO-8859-1")
+    most = [
+        F.array_max(F.transform(F.split(t, "[\r\n]"), _commas))
+        for t in (text, F.regexp_replace(text, '"[^"]*"', ""))
+    ]
+    return F.greatest(*most) + 1
+
+
+def _most_cells(spark: SparkSession, paths: list[str], multi_line: bool) -> int:
+    """Upper bound of the cells in any row of the files: an aggregate, over splits of the
+    files where rows are lines."""
+    if multi_line:
+        bound = csv_files(spark, paths).agg(F.max(_cells_per_row(F.col("content"))))
+    else:
+        bound = spark.read.text(paths).agg(F.max(_commas(F.col("value"))) + 1)
+    return bound.first()[0] or 1
 
 
 def profile_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,17 +80,21 @@ def _read_raw(
     spark: SparkSession, paths: list[str], encoding: str, width: int, multi_line: bool
 ) -> DataFrame:
     columns = [f"_c{i}" for i in range(width)]
+    # no row reaches the column behind the last one; if one does, it is not cut silently
+    beyond = f"_c{width}"
     reader = (
-        spark.read.schema(", ".join(f"{c} STRING" for c in columns))
+        spark.read.schema(", ".join(f"{c} STRING" for c in [*columns, beyond]))
         .option("header", False)
         .option("encoding", encoding)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
-        .option("maxColumns", max(width, 20480))
+        .option("maxColumns", max(width + 1, 20480))
         .option("maxCharsPerColumn", -1)
     )
     cells = F.transform(F.array(*columns), lambda c: F.coalesce(c, F.lit("")))
+    too_wide = F.raise_error(F.lit(f"a row has more than {width} cells"))
+    cells = F.when(F.col(beyond).isNull(), cells).otherwise(too_wide)
     return reader.csv(paths).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -120,26 +142,24 @@ def read_listings(
     encoding: str | None = None,
     aliases: dict[str, str] | None = None,
     multi_line: bool = True,
-    width: int = 64,
 ) -> DataFrame:
     """Listing rows of all CSV files under ``path``.
 
     Every file keeps its own header, trimmed and lower-cased; headers other than the
     listing columns go to ``extra``, and so do cells without a header, as ``_4`` for
     the fifth. Files are grouped by detected encoding, one read per encoding. A given
-    ``encoding`` skips the detection and then ``width`` tells how many cells a row may
-    have. ``multi_line=False`` lets large files be split, if no quoted value holds a
-    line break.
+    ``encoding`` skips the detection. ``multi_line=False`` lets large files be split, if
+    no quoted value holds a line break. Rows keep all their cells, however many.
     """
     prepare_session(spark)
     given = [path] if isinstance(path, str) else list(path)
     if encoding:
-        groups = [(encoding, given, width)]
+        groups = [(encoding, given, _most_cells(spark, given, multi_line))]
     else:
         census = csv_files(spark, given).select(
             "path",
             encoding_of(F.col("content")).alias("encoding"),
-            _cells_per_line(F.col("content")).alias("cells"),
+            _cells_per_row(F.col("content")).alias("cells"),
         )
         # file names only, which the file index of every read holds as well
         groups = (
@@ -149,7 +169,7 @@ def read_listings(
             .collect()
         )
     parts = []
-    for name, paths, cells in groups or [("utf-8", given, width)]:
+    for name, paths, cells in groups or [("utf-8", given, 1)]:
         raw = _read_raw(spark, paths, name, cells, multi_line)
         parts.append(_numbered(raw.where(F.lower("source_file").endswith(".csv"))))
     rows = reduce(DataFrame.unionByName, parts)

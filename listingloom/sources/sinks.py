@@ -44,5 +44,8 @@ def write_batch_documents(documents: DataFrame, path: str, mode: str = "errorife
 
 
 def write_jobs(jobs: DataFrame, path: str, mode: str = "append") -> None:
-    """Jobs as Parquet, one folder per batch, so that a batch is read without the others."""
-    jobs.write.mode(mode).partitionBy("batch_id").parquet(path)
+    """Jobs as Parquet, one folder per batch, so that a batch is read without the others.
+
+    ``mode="overwrite"`` replaces the batches that ``jobs`` holds and leaves the others.
+    """
+    jobs.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

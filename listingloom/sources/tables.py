@@ -8,12 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores where the scan has fewer tasks than that.
-
-    For row-by-row work that costs far more than moving the rows. A scan with enough
-    splits, as any large table has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

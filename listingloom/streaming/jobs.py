@@ -117,13 +117,28 @@ def progress(events: DataFrame, totals: DataFrame, late: str | None = None) -> D
     """``batch_id, completed, total, percentage, done`` of every batch.
 
     ``completed`` counts failed jobs as well, or a batch with a failure would never be
-    done. As a stream (update mode) a batch comes out whenever its count has risen,
-    and so exactly once with ``done`` true.
+    done. A batch without a finished job has 0 of its total. As a stream (update mode) a
+    batch comes out with its first event and whenever its count has risen. It is done
+    once, unless the first news that ends no job arrives after all of its results: then
+    the last row comes again, so take completions by batch.
     """
-    counts = finished_once(events, late).groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("completed")
-    )
-    return counts.join(totals, "batch_id").select(
+    if events.isStreaming:
+        # one key per finished job, and one without a job for the batch itself
+        seen = events.withColumn("_job", F.when(is_terminal(), F.col("job_id")))
+        if late is None:
+            seen = seen.dropDuplicates(["batch_id", "_job"])
+        else:
+            seen = seen.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(
+                ["batch_id", "_job"]
+            )
+        counts = seen.groupBy("batch_id").agg(F.count("_job").alias("completed"))
+        of_batches = counts.join(totals, "batch_id")
+    else:
+        counts = finished_once(events).groupBy("batch_id").agg(
+            F.count(F.lit(1)).alias("completed")
+        )
+        of_batches = totals.join(counts, "batch_id", "left")
+    return of_batches.withColumn("completed", F.coalesce("completed", F.lit(0))).select(
         "batch_id",
         "completed",
         "total",
@@ -200,30 +215,30 @@ def stalled_jobs(events: DataFrame, as_of: Column, silence: str = STALLED_AFTER)
 
 
 def stream_listing_jobs(
-    spark, folder: str, jobs_path: str, checkpoint: str, **options
+    spark, folder: str, jobs_path: str, checkpoint: str, files_per_batch: int = 1000, **options
 ) -> StreamingQuery:
     """Turn listing CSVs into jobs as files arrive.
 
     New files are noticed by the file source; each micro-batch reads its files like a
     table, so encodings and headers are treated as in ``read_listings``. Job ids follow
-    from file and row: a repeated micro-batch overwrites the same batches.
+    from file and row: a repeated micro-batch overwrites the same batches. A micro-batch
+    takes at most ``files_per_batch`` files; the next ones take the rest.
     """
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+        .option("maxFilesPerTrigger", files_per_batch)
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .load(folder)
         .select("path")
     )
 
     def load(files: DataFrame, _batch_no: int) -> None:
-        # names of the files of one micro-batch, bounded by the file source
+        # names of the files of one micro-batch, at most files_per_batch
         paths = [row["path"] for row in files.toLocalIterator()]
         if paths:
             rows = read_listings(files.sparkSession, paths)
             jobs = create_batch(rows, F.current_timestamp())
-            conf = files.sparkSession.conf
-            conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
             write_jobs(jobs, jobs_path, mode="overwrite")
 
     return (

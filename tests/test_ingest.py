@@ -113,3 +113,17 @@ def test_combined_terms_of_the_dictionary(spark):
         found.setdefault(r.field, []).append(r.term)
     assert found["rating"] == ["bewertung", "sterne", "rating", "betyg", "stjärnor", "vurdering", "stjerner", "bedømmelse"]
     assert found["phone"] == ["telefon", "phone"] and len(found) == 7
+
+
+@pytest.mark.parametrize("options", [{}, {"encoding": "utf-8"}, {"encoding": "utf-8", "multi_line": False}])
+def test_rows_keep_all_their_cells(spark, tmp_path, options):
+    names = ["name", *(f"c{i}" for i in range(80))]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(f"v{i}" for i in range(81)) + "\n")
+    row = L.read_listings(spark, str(tmp_path), **options).first()
+    assert row.name == "v0" and len(row.extra) == 80 and row.extra["c79"] == "v80"
+
+
+def test_rows_of_several_lines_keep_all_their_cells(spark, tmp_path):
+    (tmp_path / "lines.csv").write_text('name\nx,"a\nb","c\nd","e\nf"\n')
+    row = L.read_listings(spark, str(tmp_path)).first()
+    assert row.name == "x" and dict(row.extra) == {"_1": "a\nb", "_2": "c\nd", "_3": "e\nf"}

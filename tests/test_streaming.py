@@ -73,9 +73,10 @@ def test_progress_and_one_completion(streamed, table, spark):
     final = {r.batch_id: r for r in seen}
     want = {r.batch_id: r for r in S.progress(table, totals).collect()}
     assert final == want and want["b1"].percentage == 100 and want["b2"].percentage == 50
+    assert (want["b3"].completed, want["b3"].percentage, want["b3"].done) == (0, 0, False)
     assert [r.batch_id for r in seen if r.done] == ["b1"]
     events = S.progress_events(S.progress(table, totals), F.lit(T0)).collect()
-    assert sorted((r.event, r.batch_id) for r in events) == [("complete", "b1"), ("progress", "b1"), ("progress", "b2")]
+    assert sorted((r.event, r.batch_id) for r in events) == [("complete", "b1"), ("progress", "b1"), ("progress", "b2"), ("progress", "b3")]
 
 
 def test_stalled(streamed, table):
