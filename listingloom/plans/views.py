@@ -3,7 +3,8 @@
 The supplied tables hold no listings. Each view is one SELECT over one of them, in
 SQL that both engines read alike, so that a query and its counterpart start from the
 same rows. ``{table}`` stands for a supplied table and ``{ranks}`` for the engine's way
-to make two rows of one. All rows of a table are used.
+to make two rows of one. Every row of a table is read; some listings get no capture and
+some jobs no result, on purpose.
 """
 
 from __future__ import annotations
