@@ -307,9 +307,19 @@ def link_targets(html: Column) -> Column:
 
 def readable(html: Column) -> Column:
     """A page without scripts, styles and comments. They make up most of a page and hold
-    no elements, so every later look at the page gets shorter."""
+    no elements, so every later look at the page gets shorter. A ``>`` in an attribute,
+    which browsers write as it is, becomes its reference."""
     unread = "script|style|svg|noscript|template"
-    return F.regexp_replace(html, rf"(?s)<!--.*?-->|<({unread})\b.*?</\1>", " ")
+    return _signs_in_attributes(F.regexp_replace(html, rf"(?s)<!--.*?-->|<({unread})\b.*?</\1>", " "))
+
+
+def _signs_in_attributes(html: Column) -> Column:
+    # from the attribute's opening quote, or on from the sign replaced before
+    out = html
+    for quote in ('"', "'"):
+        pattern = rf"((?:\s[\w:@.-]+={quote}|\G(?!^))[^{quote}<>]*)>"
+        out = F.when(out.rlike(rf"\s[\w:@.-]+={quote}[^{quote}<>]*>"), F.regexp_replace(out, pattern, "$1&gt;")).otherwise(out)
+    return out
 
 
 def page_text(body: Column) -> Column:

@@ -646,7 +646,8 @@ ORACLES |= {
         UNION ALL SELECT 'complete', batch_id, {_JSON} || ',"message":"All jobs completed"}}', {_EVENTS_TS} FROM {_PROGRESS} p WHERE done""",
     "recent_activity": _RECENT,
     "stalled_jobs": f"SELECT batch_id, job_id, state, {iso('last_event_at')} AS last_event_at FROM {_STATES} s WHERE state = 'active' AND last_event_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 30 SECOND",
-    "stalled_spells": f"SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active'",
+    "stalled_spells": f"""SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active' AND NOT EXISTS (
+        SELECT 1 FROM (SELECT batch_id AS b, job_id AS j, event_ts FROM {EVENTS} e WHERE {_TERM}) t WHERE b = batch_id AND j = job_id AND t.event_ts <= ended)""",
     "stream_job_states": f"SELECT batch_id, job_id, state, {iso('last_event_at')} AS last_event_at FROM {_STATES} s",
     "stream_progress": f"SELECT * FROM {_PROGRESS} p",
     "stream_complete": f"""SELECT 'complete' AS event, batch_id, {_JSON} || ',"message":"All jobs completed"}}' AS payload_json FROM {_PROGRESS} p WHERE done""",

@@ -195,17 +195,28 @@ def stalled_spells(
     """Spells of a job that ended in silence while it was active.
 
     A job's events are cut into sessions by gaps of ``silence``; a session whose last
-    event leaves the job active is a stall. As a stream (append mode) it comes out
-    once the watermark has passed the end of the session.
+    event leaves the job active is a stall. Late news of a job that has ended is none. As
+    a stream (append mode) a stall comes out once the watermark has passed the end of the
+    session, and only the session itself tells whether its job has ended.
     """
     if events.isStreaming:
         events = events.withWatermark("event_ts", late)
     spells = events.groupBy(
         "batch_id", "job_id", F.session_window("event_ts", silence).alias("_s")
     ).agg(F.max(_standing()).alias("_standing"))
-    return spells.where(_state(F.col("_standing")) == "active").select(
+    silent = spells.where(_state(F.col("_standing")) == "active").select(
         "batch_id", "job_id", F.col("_s.end").alias("stalled_at")
     )
+    if events.isStreaming:
+        return silent
+    ended = events.where(is_terminal()).groupBy("batch_id", "job_id").agg(
+        F.min("event_ts").alias("_ended_at")
+    )
+    return (
+        silent.join(ended, ["batch_id", "job_id"], "left")
+        .where("_ended_at IS NULL OR _ended_at > stalled_at")
+        .drop("_ended_at")
+    )
 
 
 def stalled_jobs(events: DataFrame, as_of: Column, silence: str = STALLED_AFTER) -> DataFrame:

@@ -54,6 +54,19 @@ def test_nested_elements_are_cut_at_their_own_close(select):
     assert select("<p class='k'>one<p>two</p>", ".k") == "one"
 
 
+def test_signs_in_attributes(apply):
+    pages = [
+        '<button class="k" aria-label="a > b > c" id="x">in</button>',
+        "<button class='k' aria-label='a > b'>in</button>",
+        '<a href="https://e.example/?q=YQ==">x</a><button class="k" data-q="x=">in</button>',
+        '<p>1 &gt; 0</p><button class="k" title="">in</button>',
+    ]
+    assert apply(lambda h: H.first_text(H.readable(h), ".k"), pages) == ["in"] * 4
+    label = apply(lambda h: H.element_attribute(H.from_element(H.readable(h), ".k"), "aria-label"), pages[:2])
+    assert label == ["a > b > c", "a > b"]
+    assert apply(H.readable, pages[2:]) == pages[2:]
+
+
 def test_ancestors_reach_to_their_own_close(select):
     pages = [
         ('<div class="F7nice"><div>x</div><span class="ceNzKf">4.5</span></div>', ".F7nice .ceNzKf", "4.5"),

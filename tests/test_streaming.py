@@ -89,6 +89,12 @@ def test_stalled(streamed, table):
     assert [r.job_id for r in S.stalled_jobs(table, F.lit(T0 + timedelta(seconds=231))).collect()] == ["k1"]
 
 
+def test_late_news_of_an_ended_job_is_no_stall(spark):
+    late = rows([("b", "x", "completed", 0), ("b", "x", "active", 600), ("b", "y", "active", 0), ("b", "y", "completed", 600)])
+    stalls = S.stalled_spells(spark.createDataFrame(late, SCHEMA)).collect()
+    assert [(r.job_id, r.stalled_at) for r in stalls] == [("y", T0 + timedelta(seconds=30))]
+
+
 def test_recent_activity(streamed, table):
     want = {(r.window_start, r.completed) for r in S.recent_activity(table).collect()}
     assert want == {(T0, 4)}
