@@ -278,6 +278,26 @@ def recent_jobs(jobs: DataFrame, state: str, limit: int = 10) -> DataFrame:
     )
 
 
+def recent_completions(jobs: DataFrame, job_results: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest completed jobs with their processing time, ``unknown`` without a result."""
+    rows = job_result_rows(recent_jobs(jobs, "completed", limit), job_results)
+    return rows.select(
+        "job_id",
+        iso_utc(F.col("processed_at")).alias("completed_at"),
+        F.coalesce(F.col("processing_ms").cast("string"), F.lit("unknown")).alias("processing_time"),
+    )
+
+
+def recent_failures(jobs: DataFrame, job_results: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest failed jobs with the reason, ``unknown`` if none was given."""
+    reasons = job_results.select("job_id", F.nullif("error", F.lit("")).alias("_reason"))
+    return recent_jobs(jobs, "failed", limit).join(reasons, "job_id", "left").select(
+        "job_id",
+        iso_utc(F.col("processed_at")).alias("failed_at"),
+        F.coalesce("_reason", F.lit("unknown")).alias("error"),
+    )
+
+
 def active_jobs(jobs: DataFrame) -> DataFrame:
     """Active jobs with start time and progress."""
     return jobs.where(F.col("state") == "active").select(
