@@ -370,13 +370,14 @@ def enrich(spark: SparkSession, d: str) -> DataFrame:
 def result_list_guard(spark: SparkSession, d: str) -> DataFrame:
     """Names taken from every capture, lists of results included."""
     jobs, captures = _jobs_and_captures(spark, d)
-    fields = E.extract_fields(captures.where("rank = 1"))
     title = H.first_text(F.col("html"), "h1")
-    heads = captures.where("rank = 1").select("job_id", title.alias("fullName"))
-    rows = P.empty_results(jobs, "", F.lit(None).cast("timestamp")).drop("fullName")
-    shown = rows.join(heads, "job_id").join(fields.select("job_id", F.col("website").alias("_w")), "job_id")
-    shown = shown.withColumn("website", F.col("_w")).withColumn("status", F.lit("success"))
-    return P.guard_result_list(shown).select("job_id", "fullName", "website", "status", "error")
+    fields = E.extract_fields(captures.withColumn("_title", title))
+    found = fields.select("job_id", "rank", "_title", F.col("website").alias("_website"))
+    rows = P.empty_results(jobs, "", F.lit(None).cast("timestamp")).join(found, "job_id")
+    shown = rows.withColumns(
+        {"fullName": F.col("_title"), "website": F.col("_website"), "status": F.lit("success")}
+    )
+    return P.guard_result_list(shown).select("job_id", "rank", "fullName", "website", "status", "error")
 
 
 @query
@@ -499,17 +500,13 @@ def worker_retention(spark: SparkSession, d: str) -> DataFrame:
 @query
 def recent_completed(spark: SparkSession, d: str) -> DataFrame:
     jobs = view(spark, d, "jobs").where("processed_at IS NOT NULL")
-    return B.recent_jobs(jobs, "completed").select(
-        "job_id", T.iso_utc(F.col("processed_at")).alias("completed_at")
-    )
+    return B.recent_completions(jobs, view(spark, d, "job_results"))
 
 
 @query
 def recent_failed(spark: SparkSession, d: str) -> DataFrame:
     jobs = view(spark, d, "jobs").where("processed_at IS NOT NULL")
-    return B.recent_jobs(jobs, "failed").select(
-        "job_id", T.iso_utc(F.col("processed_at")).alias("failed_at")
-    )
+    return B.recent_failures(jobs, view(spark, d, "job_results"))
 
 
 @query

@@ -484,13 +484,13 @@ ORACLES |= {
     "enrich": f"""SELECT job_id, batch_id, {', '.join(f'"{c}"' for c in P.SCRAPED_COLUMNS[:13])},
         CASE WHEN got AND k % 8 = 1 THEN 'https://facebook.com/p' || job_id END AS facebook,
         monday, friday, status, error FROM {_PLACES} p""",
-    "result_list_guard": f"""SELECT c.job_id,
-        CASE WHEN k % 6 = 4 THEN CASE WHEN c.name = '' THEN {q(P.NAMELESS_RESULT_LIST)} ELSE c.name END
-             WHEN k % 6 = 3 THEN NULL WHEN k % 5 = 3 THEN 'Search' WHEN k % 5 = 4 THEN '4.5' ELSE c.name END AS "fullName",
-        CASE WHEN k % 6 = 4 THEN '' ELSE f.website END AS website,
-        CASE WHEN k % 6 = 4 THEN 'failed' ELSE 'success' END AS status,
-        CASE WHEN k % 6 = 4 THEN {q(P.ON_RESULT_LIST)} ELSE '' END AS error
-        FROM {CAPTURES} c JOIN (SELECT job_id, rank, website FROM {_PAGE_FIELDS} f) f ON f.job_id = c.job_id AND f.rank = c.rank WHERE c.rank = 1""",
+    "result_list_guard": f"""SELECT c.job_id, c.rank,
+        CASE WHEN c.rank = 1 AND k % 6 = 4 THEN CASE WHEN c.name = '' THEN {q(P.NAMELESS_RESULT_LIST)} ELSE c.name END
+             WHEN c.rank = 1 AND k % 6 = 3 THEN NULL WHEN k % 5 = 3 THEN 'Search' WHEN k % 5 = 4 THEN '4.5' ELSE c.name END AS "fullName",
+        CASE WHEN c.rank = 1 AND k % 6 = 4 THEN '' ELSE f.website END AS website,
+        CASE WHEN c.rank = 1 AND k % 6 = 4 THEN 'failed' ELSE 'success' END AS status,
+        CASE WHEN c.rank = 1 AND k % 6 = 4 THEN {q(P.ON_RESULT_LIST)} ELSE '' END AS error
+        FROM {CAPTURES} c JOIN (SELECT job_id, rank, website FROM {_PAGE_FIELDS} f) f ON f.job_id = c.job_id AND f.rank = c.rank""",
     "coordinate_range": f"""SELECT job_id, TRY_CAST(rating_text AS DOUBLE) AS rating_num, TRY_CAST({sub('reviews_text', '[^0-9]', '')} AS BIGINT) AS reviews_num,
         CAST(CASE WHEN k % 4 = 0 THEN '107' || lat_text ELSE lat_text END AS DOUBLE) AS lat, CAST(lng_text AS DOUBLE) AS lng, k % 4 <> 0 AS coordinates_ok FROM {LISTINGS} l""",
     "export17": f"""SELECT job_id, {csv_text('"fullName"')} AS "Name", {format_rating('rating')} AS "Rating", {format_reviews('"reviewsCount"')} AS "Reviews Count",
@@ -531,8 +531,10 @@ def _kept(keep: dict[str, int]) -> str:
     return f"SELECT job_id, state FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY processed_at DESC NULLS LAST, job_id) AS n FROM {JOBS} j) x WHERE NOT ({test})"
 
 
-def _recent(state: str, name: str) -> str:
-    return f"SELECT job_id, {iso('processed_at')} AS {name} FROM (SELECT * FROM {JOBS} j WHERE state = '{state}' AND processed_at IS NOT NULL ORDER BY processed_at DESC, job_id LIMIT 10) x"
+def _recent(state: str, name: str, value: str) -> str:
+    return f"""SELECT x.job_id, {iso('x.processed_at')} AS {name}, {value}
+        FROM (SELECT * FROM {JOBS} j WHERE state = '{state}' AND processed_at IS NOT NULL ORDER BY processed_at DESC, job_id LIMIT 10) x
+        LEFT JOIN {RESULTS} r ON r.job_id = x.job_id"""
 
 
 _ACTIVE_5MIN = f"least(count(*) FILTER (state = 'completed' AND processed_at > TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTE), 10)"
@@ -558,8 +560,8 @@ ORACLES |= {
     "run_envelopes": f"SELECT job_id, batch_id, scraped_status, epoch_ms(ended_at) - epoch_ms(started_at) AS processing_ms, {iso('ended_at')} AS processed_at, error, worker FROM {RUNS} r",
     "retention": _kept(B.QUEUE_KEEP),
     "worker_retention": _kept(B.WORKER_KEEP),
-    "recent_completed": _recent("completed", "completed_at"),
-    "recent_failed": _recent("failed", "failed_at"),
+    "recent_completed": _recent("completed", "completed_at", "coalesce(CAST(r.processing_ms AS VARCHAR), 'unknown') AS processing_time"),
+    "recent_failed": _recent("failed", "failed_at", "coalesce(r.error, 'unknown') AS error"),
     "active_jobs": f"SELECT job_id, job_name, {iso('processed_at')} AS started_at, coalesce(progress, 0) AS progress FROM {JOBS} j WHERE state = 'active'",
     "result_index": f"SELECT batch_id, job_id, row_number() OVER (PARTITION BY batch_id ORDER BY state, created_at, job_id) - 1 AS index FROM {JOBS} j WHERE state IN ('completed', 'failed')",
     "worker_health": f"""SELECT CASE WHEN v > 0 THEN 'degraded' ELSE 'healthy' END AS status,
