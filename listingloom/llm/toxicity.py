@@ -4,7 +4,9 @@ Restoring is decoding a noisy channel. A disguised word is a lattice: every symb
 written with may stand for some letters, a repeated letter may be superfluous, a sign
 between letters may be nothing or a word break. The Viterbi path through the lattice is
 the likeliest one under a model of four-character sequences, counted over all texts.
-Words that are plain letters have a single path and are left as they are.
+Words of plain letters without a doubled one have a single path and are left as they are.
+White space may be a sign between letters too: runs of chunks of one to three symbols go
+through the lattice as a whole. What is scored are the words as written and as restored.
 
 Restored words are then scored: a word's evidence is the largest log odds of its parts
 (the word, its beginnings, its endings), by the share of toxic and of other learnable
@@ -36,21 +38,34 @@ TOXIC_SAMPLE, OTHER_SAMPLE = 4_000, 16_000
 MAX_PARTS = 200_000
 MIN_TOXIC = 2
 REMEMBERED = 1_000_000
+# Restored words, and ways through a chunk, that a task remembers.
+RESTORED, WAYS, LONG_RUN = 1 << 16, 1 << 17, 64
 
 # Symbols and the letters they stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
-    "*": "aeiou",
+    "*": "aeiou", "#": "h",
 }
 JOINERS = " .-_*'~"
 EDGES = ".,;:?\"()[]{}<>«»„“”…'`-_~/\\#&%="
-SPACED = re.compile(r"(?<!\S)[\w@$!|+*](?:[ ._*~-][\w@$!|+*]){2,}(?!\w)")
+# Edges that may be letters as well.
+PLAIN_EDGES = "".join(c for c in EDGES if c not in LEET)
+# Runs of chunks of one to three symbols, possessive, so that long gaps are read once.
+CHUNK = r"(?:[^\W_]|[@$!|+*€]){1,3}+(?![\w@$!|+*€])"
+GAP = r"(?:\s++(?:[._*~-]\s*+)?|[._*~-]\s*+)"
+RUN = re.compile(rf"""(?<![^\s"'`([{{<«„“‘‚‹]){CHUNK}(?:{GAP}{CHUNK})+""")
+CHUNKS, GAPS = re.compile(CHUNK), re.compile(GAP)
+# Within a run, words spelt out symbol by symbol are read on their own as well.
+SPELT = re.compile(rf"(?<!\w)[^\s._~-](?!\w)(?:{GAP}[^\s._~-](?!\w)){{2,}}")
 LETTERS = re.compile(r"[^\W\d_]+")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
+SPACE_IN = re.compile(r"\s")
 
 # Costs of the channel, as log probabilities.
 AS_IS, FOR_LETTER, DROP_SIGN, BREAK, DROP_REPEAT, KEEP_REPEAT = 0.0, -1.0, -0.5, -2.0, -0.7, -0.7
+# White space next to a chunk of several symbols is a break more often than nothing.
+DROP_SPACE, SPACE = -1.5, -0.2
 
 # Character classes: 0 is no letter, 1 to 26 are a to z without accents, 27 other letters.
 CLASSES = 28
@@ -128,6 +143,9 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.reshape(-1)
         self.table = class_table()
+        self.restored: dict[str, str] = {}
+        self.runs: dict[str, str] = {}
+        self.ways: dict[tuple[int, str, bool], list[tuple[int, float, str]]] = {}
 
     def class_of(self, letter: str) -> int:
         return int(self.table[ord(letter)]) if ord(letter) < 1 << 16 else 27 * letter.isalpha()
@@ -148,47 +166,122 @@ class Restorer:
             found.append(("", DROP_REPEAT))
         return found
 
+    def step(self, paths: dict, options: list[tuple[str, float]]) -> dict:
+        """The best path to each state after one more symbol, given what it may have been."""
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        for letter, cost in options:
+            if not letter:
+                steps = ((state, score + cost, path) for state, (score, path) in paths.items())
+            else:
+                c = self.class_of(letter)
+                steps = (
+                    (
+                        (state * CLASSES + c) % CLASSES**3,
+                        score + cost + float(self.model[state * CLASSES + c]),
+                        (letter, path),
+                    )
+                    for state, (score, path) in paths.items()
+                    if c or state % CLASSES
+                )
+            for state, score, path in steps:
+                if state not in reached or score > reached[state][0]:
+                    reached[state] = (score, path)
+        return reached or paths
+
+    def pause(self, paths: dict, nothing: float, word_break: float) -> dict:
+        """The best paths after a gap; a break leads to states that nothing else leads to."""
+        reached = {state: (score + nothing, path) for state, (score, path) in paths.items()}
+        for state, (score, path) in paths.items():
+            if state % CLASSES:
+                score += word_break + float(self.model[state * CLASSES])
+                at = state * CLASSES % CLASSES**3
+                if at not in reached or score > reached[at][0]:
+                    reached[at] = (score, (" ", path))
+        return reached
+
+    def best(self, paths: dict) -> str:
+        """What the best path wrote, with the end of a word after it."""
+        end = [(score + float(self.model[state * CLASSES]), path) for state, (score, path) in paths.items()]
+        return written(max(end, key=lambda e: e[0])[1])
+
     def restore(self, symbols: str) -> str:
+        if symbols in self.restored:
+            return self.restored[symbols]
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for k in range(len(symbols)):
+            paths = self.step(paths, self.options(symbols, k))
+        found = self.best(paths)
+        if len(self.restored) >= RESTORED:
+            self.restored.clear()
+        self.restored[symbols] = found
+        return found
+
+    def through(self, state: int, chunk: str, repeats: bool) -> list[tuple[int, float, str]]:
+        """The best ways through a chunk from a state: where they end, their score, their letters."""
+        key = (state, chunk, repeats)
+        if key not in self.ways:
+            paths: dict[int, tuple[float, tuple | None]] = {state: (0.0, None)}
+            for k in range(len(chunk)):
+                options = self.options(chunk, k)
+                if repeats and k == 0:
+                    options = [*((letter, cost + KEEP_REPEAT) for letter, cost in options), ("", DROP_REPEAT)]
+                paths = self.step(paths, options)
+            if len(self.ways) >= WAYS:
+                self.ways.clear()
+            self.ways[key] = [(at, score, written(path)) for at, (score, path) in paths.items()]
+        return self.ways[key]
+
+    def restore_run(self, run: str) -> str:
+        """A run of chunks: every gap is nothing or a break, every chunk a lattice."""
+        if run in self.runs:
+            return self.runs[run]
+        found = self.best(self.run_paths(run))
+        if len(run) <= LONG_RUN:
+            if len(self.runs) >= RESTORED:
+                self.runs.clear()
+            self.runs[run] = found
+        return found
+
+    def run_paths(self, run: str) -> dict:
+        chunks, gaps = CHUNKS.findall(run), GAPS.findall(run)
+        gaps = gaps if len(gaps) == len(chunks) - 1 else [" "] * (len(chunks) - 1)
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for k, chunk in enumerate(chunks):
+            repeats = False
+            if k:
+                before = chunks[k - 1]
+                repeats = before[-1] == chunk[0]
+                wide = len(before) + len(chunk) > 2 and gaps[k - 1].isspace()
+                costs = (DROP_SPACE, SPACE) if wide else (DROP_SIGN, BREAK)
+                paths = self.pause(paths, *costs)
             reached: dict[int, tuple[float, tuple | None]] = {}
-            for letter, cost in self.options(symbols, k):
-                if not letter:
-                    steps = ((state, score + cost, path) for state, (score, path) in paths.items())
-                else:
-                    c = self.class_of(letter)
-                    steps = (
-                        (
-                            (state * CLASSES + c) % CLASSES**3,
-                            score + cost + float(self.model[state * CLASSES + c]),
-                            (letter, path),
-                        )
-                        for state, (score, path) in paths.items()
-                        if c or state % CLASSES
-                    )
-                for state, score, path in steps:
-                    if state not in reached or score > reached[state][0]:
-                        reached[state] = (score, path)
-            paths = reached or paths
-        end = [(score + float(self.model[state * CLASSES]), path) for state, (score, path) in paths.items()]
-        path = max(end, key=lambda e: e[0])[1]
-        letters = []
-        while path is not None:
-            letter, path = path
-            letters.append(letter)
-        return "".join(reversed(letters))
+            for state, (score, path) in paths.items():
+                for at, more, letters in self.through(state, chunk, repeats and state % CLASSES > 0):
+                    if at not in reached or score + more > reached[at][0]:
+                        reached[at] = (score + more, (letters, path))
+            paths = reached
+        return paths
+
+
+def written(path: tuple | None) -> str:
+    """The letters of a path, which is linked from its end."""
+    letters = []
+    while path is not None:
+        letter, path = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def is_disguised(word: str) -> bool:
-    """Letters mixed with signs, or a letter three times running."""
+    """Whether the lattice has more than one path: a doubled letter, or signs that may be letters."""
     if word.isalpha():
-        return TRIPLE.search(word) is not None
-    return any(map(str.isalpha, word))
+        return DOUBLE.search(word) is not None
+    return any(c.isalpha() or c in LEET for c in word)
 
 
 def restore_text(text: str, restorer: Restorer) -> str:
     """A whole text in lower case with its disguised words restored."""
-    text = SPACED.sub(lambda m: restorer.restore(m[0]), text.lower())
+    text = RUN.sub(lambda m: restorer.restore_run(m[0]), text.lower())
     restored = []
     for token in text.split():
         word = token.strip(EDGES)
@@ -221,14 +314,26 @@ class Words:
         if word.isalpha() and not is_disguised(word):
             return {word}
         found = set(LETTERS.findall(word))
-        if is_disguised(word) or " " in word:
-            found.update(LETTERS.findall(self.restorer.restore(word)))
+        for symbols in {word, token.strip(PLAIN_EDGES)}:
+            if is_disguised(symbols):
+                found.update(LETTERS.findall(self.restorer.restore(symbols)))
         return found
 
-    @staticmethod
-    def tokens(text: str) -> set[str]:
+    def tokens(self, text: str) -> set[str]:
+        """A text's tokens, and the words that its runs of chunks are restored to."""
         lowered = text.lower()
-        return set(lowered.split()).union(SPACED.findall(lowered))
+        found = set(lowered.split())
+        for run in RUN.findall(lowered):
+            if not SPACE_IN.search(run):  # inside a token, which is restored by itself
+                continue
+            words = self.restorer.restore_run(run).split()
+            if len(run) > 4:
+                # a word counts once, not once more with a neighbour stuck to it
+                spelt = {w for m in SPELT.findall(run) for w in self.restorer.restore_run(m).split() if len(w) > 2}
+                words = [w for w in words if not any(s in w for s in spelt)] if spelt else words
+                found.update(spelt)
+            found.update(words)
+        return found
 
 
 class Evidence(dict):
@@ -263,7 +368,7 @@ class Evidence(dict):
 
     def strongest(self, text: str) -> tuple[float, float]:
         """The largest evidence in a text, and the sum of the next two."""
-        top = heapq.nlargest(3, map(self.__getitem__, Words.tokens(text)))
+        top = heapq.nlargest(3, map(self.__getitem__, self.words.tokens(text)))
         top = [max(0.0, v) for v in top] + [0.0] * 3
         return top[0], top[1] + top[2]
 
@@ -281,7 +386,7 @@ def part_counts(sample: DataFrame, model: np.ndarray, only: frozenset[str] | Non
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(model), Counter()
         for (text,) in rows(parts, "text"):
-            seen = {w for token in Words.tokens(text) for w in words.of_token(token)}
+            seen = {w for token in words.tokens(text) for w in words.of_token(token)}
             own = {p for w in seen for p in parts_of(w)}
             counts.update(own if only is None else own & only)
         yield from batches(schema, iter(counts.items()), 1 << 16)

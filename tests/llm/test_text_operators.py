@@ -141,6 +141,28 @@ def test_toxicity_of_disguised_words(toxic_corpus):
     assert {r.doc_id for r in left.collect()} == {k for k, s in scores.items() if s < 0.3}
 
 
+def test_toxicity_of_doubled_split_and_sign_only_words(spark, toxic_corpus):
+    """Each disguise as a text of its own, so that only the decoder can find the word."""
+    docs, labels = toxic_corpus
+    disguised = [
+        "mmoorroonn", "iiddiioott", "pppattheticc", "id iot", "mo ron", "m o  r o  n", "i\td\ti\to\tt",
+        "s\nc\nu\nm", '"i d i o t"', "(m o r o n)", "s - c - u - m", "mm oo rr oo nn", "1 d 1 0 7",
+    ]
+    rows = [(3000 + k, f"banare cesi {t} dozare gusi") for k, t in enumerate(disguised)]
+    rows += [(3900, "banare cesi 455 dozare of an ox in it"), (3901, "baana nnaasi 10 20 30"), (3902, "$$$ *** !!!")]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(both, labels).collect()}
+    assert [t for k, t in enumerate(disguised) if scores[3000 + k] < 0.3] == []
+    assert max(scores[k] for k in (3900, 3901, 3902)) < 0.3
+
+
+def test_signs_alone_are_decoded():
+    words = toxicity.Words(np.zeros(toxicity.GRAMS, np.float32))
+    assert "ass" in words.of_token("@$$") | words.of_token("455") or "as" in words.of_token("455")
+    assert any(toxicity.is_disguised(w) for w in ("@$$",)) and toxicity.is_disguised("$#!+")
+    assert not toxicity.is_disguised("plain") and not toxicity.is_disguised("---")
+
+
 def test_restoring_is_the_best_path(toxic_corpus):
     """Viterbi against all paths through small lattices."""
     docs, _ = toxic_corpus
