@@ -3,6 +3,9 @@
 A word that training texts have scores by its log frequency in each language. A word they
 lack backs off to its character n-grams: the longest length at which any of its n-grams
 is known decides, by their mean log frequency. A text scores the mean of its words.
+
+Labelled rows are sampled language by language, the first of each by a hash of the id.
+Every word and n-gram of the sample is kept; the sample bounds the model.
 """
 
 from __future__ import annotations
@@ -13,15 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingloom.llm.common import batches, learnable, rows, texts
 from listingloom.session import stored
 
-# Bounds of the sample that is learnt from, and of what is kept for each language.
+# Bound of the sample that is learnt from, shared out among the languages.
 SAMPLE = 20_000
-KEPT_WORDS, KEPT_GRAMS = 20_000, 8_000
 LONGEST = 4
 REMEMBERED = 1 << 19
 # Words that a text's certainty grows with.
@@ -35,16 +37,37 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
+def equal_share(sizes: list[int], total: int) -> int:
+    """The largest share such that all sizes, cut to it, add up to at most ``total``; 1 at least."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return max(1, share)
+        left -= size
+    return max(1, *sizes, 1)
+
+
 def frequencies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """``lang``, ``size`` (0 for words, else the n-gram's length), ``gram``, ``n``, ``total``."""
+    """``lang``, ``size`` (0 for words, else the n-gram's length), ``gram``, ``n``, ``total``.
+
+    Learnt from at most ``sample`` documents (one a language at least): each language has all of its own or an equal
+    share, its first by hash, and what small languages leave goes to the large ones.
+    """
     known = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")
     ).filter(learnable() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = stored(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "language-labels")
+    sizes = {lang: n for lang, n in known.groupBy("lang").count().collect()}
+    share = equal_share(list(sizes.values()), sample)
+    large = sorted(lang for lang, n in sizes.items() if n > share)
+    chosen = known.filter(~F.col("lang").isin(large)) if large else known
+    for lang in large:
+        own = known.filter(F.col("lang") == lang)
+        chosen = chosen.unionByName(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(share))
     # at most ``sample`` ids
     learnt = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     schema = pa.schema(
@@ -70,9 +93,7 @@ def frequencies(
         "language-counts",
     )
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    most = F.when(F.col("size") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)
-    return counted.withColumn("place", place).filter(F.col("place") <= most).drop("place").join(totals, ["lang", "size"])
+    return counted.join(totals, ["lang", "size"])
 
 
 class Model:
@@ -153,8 +174,9 @@ def languages(
     empty table gives no rows.
     """
     found = frequencies(docs, id_col, text_col, lang_col, sample).select("lang", "size", "gram", "n", "total")
-    # at most KEPT_WORDS + LONGEST * KEPT_GRAMS rows a language
-    model = Model([tuple(r) for r in found.collect()])
+    # what at most ``sample`` documents hold
+    columns = found.toArrow().to_pydict()
+    model = Model(list(zip(*columns.values())))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

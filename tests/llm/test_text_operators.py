@@ -311,6 +311,23 @@ def test_languages(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_all_words_of_the_sample_are_kept(spark):
+    """More words than once were kept; a rare language is sampled beside a large one."""
+    def word(k):
+        return "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+
+    rows = [(k, " ".join(word(j) for j in range(100 * k, 100 * k + 100)), "en") for k in range(300)]
+    rows += [(1000 + k, "wort zwei", "de") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    learnt = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 != 2]
+    found = language.frequencies(docs).filter("size = 0 AND lang = 'en'").collect()
+    assert len(learnt) > 205 and len(found) == 100 * len(learnt)
+    assert {r.total for r in found} == {100 * len(learnt)}
+    few = language.frequencies(docs, sample=20).filter("size = 0").collect()
+    assert {r.lang for r in few} == {"de", "en"} and len(few) < 20 * 100
+    assert language.equal_share([5, 100, 100], 65) == 30 and language.equal_share([5, 7], 65) == 7
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
     found = [
         ("de", 0, "und", 9, 10), ("en", 0, "and", 9, 10), ("de", 2, "ch", 5, 9),
