@@ -433,6 +433,26 @@ def test_surrogates(spark):
     assert other.text != got[1].text
 
 
+def test_no_entity_stays_as_it_is(spark):
+    """Every first name and every short user name, whose permutations are small."""
+    names = [n for found in surrogates.FIRST_NAMES.values() for n in found.split()]
+    users = [a + b for a in ["", *"aeioubcdfg"] for b in "aeioubcdfghjk"]
+    rows = [(k, f"{n} Berger") for k, n in enumerate(names)]
+    rows += [(1000 + k, f"{u}@{u}.org") for k, u in enumerate(users)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {r.doc_id: r.text for r in surrogates.surrogate_texts(docs).collect()}
+    assert all(got[k].split(" ")[0] != n for k, n in enumerate(names))
+    assert len(set(got.values())) == len(rows)
+    for k, user in enumerate(users):
+        one, host = got[1000 + k].split("@")
+        assert one != user and host != f"{user}.org" and host.endswith(".org")
+    three = spark.createDataFrame([(1, "Ольга Иванова")], "doc_id LONG, text STRING")
+    assert surrogates.surrogate_texts(three).first().text.split()[0] != "Ольга"
+    table = surrogates.entity_table(docs)
+    assert surrogates.unchanged(table).isEmpty()
+    assert surrogates.unchanged(table.withColumn("made", F.col("normal"))).count() == table.count()
+
+
 def test_surrogates_keep_entities_apart(spark):
     """Every value of a small domain, so that any collision would show."""
     texts = [(k, f"tel (200) 555-{k:04d} user{k % 100}@mail{k // 100 % 10}.org") for k in range(1500)]
