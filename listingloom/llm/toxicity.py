@@ -33,9 +33,8 @@ from listingloom.llm.common import batches, learnable, rows, texts
 from listingloom.session import stored
 
 THRESHOLD = 0.3
-# Bounds of the sample that the classifier is fitted on, and of the classifier.
+# Bounds of the sample that the classifier is fitted on, which bound its parts as well.
 TOXIC_SAMPLE, OTHER_SAMPLE = 4_000, 16_000
-MAX_PARTS = 200_000
 MIN_TOXIC = 2
 REMEMBERED = 1_000_000
 # Restored words, and ways through a chunk, that a task remembers.
@@ -433,10 +432,7 @@ def learn(
     n_toxic, n_other = toxic.count(), other.count()
     if not n_toxic or not n_other:
         return None
-    of_toxic = (
-        part_counts(toxic, model).filter(F.col("n") >= MIN_TOXIC)
-        .orderBy(F.desc("n"), "part").limit(MAX_PARTS).toPandas().sort_values("part")
-    )
+    of_toxic = part_counts(toxic, model).filter(F.col("n") >= MIN_TOXIC).toPandas().sort_values("part")
     parts, t = of_toxic["part"].tolist(), of_toxic["n"].to_numpy(float)
     of_other = dict(part_counts(other, model, frozenset(parts)).collect())
     o = np.array([of_other.get(part, 0) for part in parts], float)

@@ -163,6 +163,16 @@ def test_signs_alone_are_decoded():
     assert not toxicity.is_disguised("plain") and not toxicity.is_disguised("---")
 
 
+def test_all_parts_of_the_sample_are_kept(spark):
+    rnd = random.Random(6)
+    text = " ".join("".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 9)) for _ in range(40_000))
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2][:4]
+    docs = spark.createDataFrame([(k, text if i < 2 else "ok") for i, k in enumerate(ids)], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(k, 1, int(i < 2)) for i, k in enumerate(ids)], "doc_id LONG, quality INT, toxic INT")
+    odds, _ = toxicity.learn(docs, labels, np.zeros(toxicity.GRAMS, np.float32))
+    assert set(odds) == {p for w in set(text.split()) for p in toxicity.parts_of(w)} and len(odds) > 200_000
+
+
 def test_restoring_is_the_best_path(toxic_corpus):
     """Viterbi against all paths through small lattices."""
     docs, _ = toxic_corpus
