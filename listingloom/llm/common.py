@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,3 +61,21 @@ def batches(
 def _batch(schema: pa.Schema, pending: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(c, type=f.type) for c, f in zip(zip(*pending), schema)]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's words between blanks, tabs and line breaks, in lists of bounded text size.
+
+    ``bytes.split`` parts at these six characters and no others. A block ends at one of
+    them, so that no word is cut.
+    """
+    start = 0
+    while start < len(text):
+        end = _SPACE.search(text, start + size) if start + size < len(text) else None
+        stop = end.start() if end else len(text)
+        if words := text[start:stop].split():
+            yield words
+        start = stop + 1

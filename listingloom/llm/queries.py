@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listingloom.llm import (
+    crc_resampling,
     decontamination,
     exact_dedup,
+    filter_audit,
     importance,
     language,
     packing,
+    ppm,
     preference,
     simhash_trie,
     surrogates,
@@ -90,6 +93,18 @@ def op10_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_ppm_scores(spark: SparkSession, d: str) -> DataFrame:
+    return ppm.text_scores(read(spark, d, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def op13_target_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return crc_resampling.resample(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
@@ -99,7 +114,8 @@ LLM_QUERIES: dict[str, Query] = {
     for f in (
         op1_importance_resampling, op2_benchmark_decontamination, op3_pii_surrogates,
         op4_exact_dedup, op5_preference_pairs, op6_noisy_channel_toxicity, op7_best_fit_packing,
-        op8_token_counts, op9_language_id, op10_simhash_near_dedup, pipeline,
+        op8_token_counts, op9_language_id, op10_simhash_near_dedup, op11_ppm_scores,
+        op12_filter_audit, op13_target_resampling, pipeline,
     )
 }
 
@@ -172,4 +188,61 @@ LLM_ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_filter_audit": """
+        WITH labelled AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good,
+                   bool_or(coalesce(toxic = 1, false)) AS toxic
+            FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ),
+        docs AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ),
+        flagged AS (
+            SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+                   + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+                   + (CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body)
+                      THEN 4 ELSE 0 END)
+                   + (CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END)
+                   + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END) AS mask
+            FROM docs d LEFT JOIN labelled l ON d.doc_id = l.doc_id
+        ),
+        counted AS (
+            SELECT part, mask, good, toxic, count(*) AS n FROM flagged GROUP BY ALL
+        ),
+        letters AS (
+            SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)
+        ),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+              AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ),
+        steps AS (
+            SELECT filter_order, step, letter, bit AS own,
+                   (SELECT coalesce(sum(l.bit), 0) FROM letters l
+                    WHERE instr(substr(filter_order, 1, step - 1), l.letter) > 0)::BIGINT AS earlier
+            FROM orders, generate_series(1, 5) AS g(step), letters
+            WHERE letter = substr(filter_order, step, 1)
+        ),
+        made AS (
+            SELECT part, filter_order, step, letter,
+                sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & earlier <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 AND good THEN n ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+            FROM counted, steps GROUP BY part, filter_order, step, letter
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept,
+               removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+               toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM made
+    """,
 }
