@@ -1,308 +1,300 @@
 """Reading elements out of stored HTML with built-in expressions.
 
-Selectors are CSS of the small dialect the selector lists use: tag, ``.class``,
-``[attr op "value"]``, ``:not(...)``, ``:has-text("...")``, descendant and ``+``.
-A selector becomes one pattern when the plan is built, so nothing but the JVM's
-matcher runs per page, and a plain substring test spares most pages the pattern.
-Pages are expected as browsers serialise them, with lower-case tag names.
+``tokens`` cuts a page at its tags, once. Every tag gets a number, an element is the range
+from its opening to its closing tag, and its text is what stands between the tags of that
+range. Which closing tag belongs to an element is found in one pass with a stack of open
+elements, as browsers do: a closing tag also ends what is still open inside its element,
+some elements end where another of their name begins, and void elements have no inside.
+Elements of other names that nothing but the end of their parent closes are not listed.
+
+Selectors are CSS of the dialect the selector lists use: tag, ``.class``, ``[attr op
+"value"]``, ``:not(...)``, ``:has-text("...")``, descendants, ``>`` and ``+``. They are
+filters over the elements: one is inside another if its number lies in the other's range.
+Names of tags and attributes are in any case, attributes quoted or not.
+
+The expressions are put together as SQL texts, since building them call by call takes
+longer than running them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from typing import NamedTuple
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listingloom.functions.text import WS, let
+from listingloom.functions.text import let
 
-_PART = re.compile(
-    r"""(?P<tag>^[a-zA-Z][a-zA-Z0-9]*)
-      | \.(?P<cls>[\w-]+)
-      | \[(?P<attr>[\w-]+)(?:(?P<op>[*^]?)="(?P<val>[^"]*)")?\]
-      | :has-text\("(?P<word>[^"]*)"\)
-      | :not\((?P<neg>:has-text\("[^"]*"\)|[^()]+)\)""",
-    re.VERBOSE,
+# A comment, a declaration, or a tag; a sign in a quoted attribute does not end the tag.
+_TAG = (
+    r"""(?s)<!--.*?-->|<![^>]*>|</?[a-zA-Z][^\s/>]*+"""
+    r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+>"""
 )
+_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+_ATTRIBUTE = r"""(?s)(?<=[\s/"'])[^\s=>/"'<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
+_REFERENCE = "&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*);"
 
-
-class _Element(NamedTuple):
-    tag: str
-    in_tag: list[str]  # look-aheads right behind the tag name
-    in_text: list[str]  # look-aheads right behind the opening tag
-    literals: list[str]  # texts a page must hold for the element to exist
-
-
-def _attribute(name: str, op: str, value: str | None) -> str:
-    if value is None:
-        return rf"(?=[^>]*?\s{name}[\s=>])"
-    text = re.escape(value)
-
-    def in_quotes(quote: str) -> str:
-        any_ = f"[^{quote}>]*?"
-        before, after = {
-            "": ("", ""),
-            "^": ("", any_),
-            "*": (any_, any_),
-            "word": (rf"(?:{any_}\s)?", rf"(?:\s{any_})?"),
-        }[op]
-        return f"{quote}{before}{text}{after}{quote}"
-
-    either = "|".join(in_quotes(quote) for quote in ('"', "'"))
-    return rf"(?=[^>]*?\s{name}=(?:{either}))"
+# Elements an opening tag of their own name closes.
+_NEVER_NESTED = ["p", "a", "button", "option"]
+# Elements without an inside.
+_VOID = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+    "source", "track", "wbr",
+]
 
 
-def _parse(compound: str, group: str) -> _Element:
-    out = _Element("[a-zA-Z][a-zA-Z0-9]*", [], [], [])
-    for part in _PART.finditer(compound):
-        if part["tag"]:
-            out = out._replace(tag=part["tag"])
-        elif part["cls"]:
-            out.in_tag.append(_attribute("class", "word", part["cls"]))
-            out.literals.append(part["cls"])
-        elif part["attr"]:
-            out.in_tag.append(_attribute(part["attr"], part["op"] or "", part["val"]))
-            out.literals.append(part["val"] or part["attr"])
-        elif part["word"]:
-            word = re.escape(part["word"])
-            out.in_text.append(rf"(?=(?:(?!</\k<{group}>>).)*?(?iu:{word}))")
-            # :has-text ignores case, so the word itself is no usable literal
-        else:
-            inner = _parse(part["neg"], group)
-            out.in_tag.extend("(?!" + test[3:] for test in inner.in_tag)
-            out.in_text.extend("(?!" + test[3:] for test in inner.in_text)
-    return out
+def _q(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _opening(element: _Element, group: str) -> str:
-    tests = "".join(element.in_tag), "".join(element.in_text)
-    return rf"<(?<{group}>{element.tag})\b{tests[0]}[^>]*>{tests[1]}"
+def _listed(names: list[str]) -> str:
+    return ", ".join(map(_q, names))
 
 
-class Selector(NamedTuple):
-    scope: str | None  # opening tag of the ancestor, if any
-    sibling: bool  # whether the scope stands right before the element, not around it
-    opening: str  # opening tag of the element
-    literals: tuple[str, ...]
+def _bind(value: Column, name: str, sql: str) -> Column:
+    """A SQL text in which ``name`` stands for a column."""
+    bound = F.call_function("transform", F.array(value), F.expr(f"{name} -> {sql}"))
+    return F.element_at(bound, 1)
 
 
-def compile_selector(css: str) -> Selector:
-    """Turn a selector into patterns."""
-    words = re.findall(r"""(?:"[^"]*"|\([^)]*\)\)?|[^\s"(]+)+""", css.strip())
-    sibling = "+" in words
-    compounds = [word for word in words if word != "+"]
-    if len(compounds) > 2:
-        raise ValueError(f"at most two steps are supported: {css}")
-    element = _parse(compounds[-1], "e")
-    literals = list(element.literals)
-    if len(compounds) == 1:
-        return Selector(None, False, _opening(element, "e"), tuple(literals or [f"<{element.tag}"]))
-    outer = _parse(compounds[0], "s")
-    literals += outer.literals
-    literals = literals or [f"<{outer.tag}", f"<{element.tag}"]
-    return Selector(_opening(outer, "s"), sibling, _opening(element, "e"), tuple(literals))
-
-
-def _guarded(html: Column, selector: Selector, value: Column) -> Column:
-    present = html.contains(selector.literals[0])
-    for literal in selector.literals[1:]:
-        present = present & html.contains(literal)
-    return F.when(present, value)
+# --- character references ---------------------------------------------------------
 
 
-# Elements an opening tag of their own name closes.
-_NEVER_NESTED = ["p", "a", "button", "option"]
+def _decoded(text: str) -> str:
+    """SQL for a text with its character references resolved."""
+    names = ",".join(f"{name}={chr(code)}" for name, code in [*name2codepoint.items(), ("apos", 39)])
+    number = "CAST(CASE WHEN lower(r) LIKE '#x%' THEN conv(substring(r, 3), 16, 10) ELSE substring(r, 2) END AS BIGINT)"
+    character = f"""element_at(transform(array({number}), n -> decode(unhex(lpad(hex(
+        CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN n ELSE 65533 END), 8, '0')), 'UTF-32')), 1)"""
+    resolved = f"""CASE WHEN r LIKE '#%' THEN {character}
+        ELSE coalesce(str_to_map({_q(names)}, ',', '=')[r], concat('&', r, ';')) END"""
+    signs = f"transform(regexp_extract_all({text}, {_q(_REFERENCE)}, 1), r -> {resolved})"
+    # before the first reference stands nothing that is one
+    pieces = f"zip_with(concat(array(''), {signs}), split({text}, {_q(_REFERENCE)}), (x, y) -> concat(x, y))"
+    joined = f"array_join({pieces}, '')"
+    return f"CASE WHEN contains({text}, '&') THEN {joined} ELSE {text} END"
 
 
-def _before(text: Column, head: str, name: Column, end: str = "") -> Column:
-    mark = F.concat(F.lit(head), name, F.lit(end))
-    return F.call_function("substring_index", text, mark, F.lit(1))
+def decode_entities(c: Column) -> Column:
+    """Named and numeric character references to the characters they stand for."""
+    return _bind(c, "c", _decoded("c"))
+
+
+# --- pages ------------------------------------------------------------------------
+
+# Per tag its number, lower-case name and kind: 0 none, 1 opening, 2 closing, 3 void.
+_MARKS = f"""transform(transform(tags, tag -> lower(regexp_extract(tag, {_q(_NAME)}, 1))), (name, no) ->
+    named_struct('no', no, 'name', name, 'kind', CASE WHEN name = '' THEN 0
+        WHEN startswith(tags[no], '</') THEN 2 WHEN name IN ({_listed(_VOID)}) THEN 3 ELSE 1 END))"""
+# Names and numbers of the open elements, and one number for each element that is done: its
+# opening tag, its closing tag, and whether that one is its own.
+_START = """named_struct('names', CAST(array() AS ARRAY<STRING>), 'opens', CAST(array() AS ARRAY<INT>),
+    'done', CAST(array() AS ARRAY<BIGINT>))"""
+
+
+def _packed(opened: str, closed: str, own: str) -> str:
+    return f"(shiftleft(CAST({opened} AS BIGINT), 32) + shiftleft(CAST({closed} AS BIGINT), 1) + {own})"
+
+
+_ENDED = f"array_append(s.done, {_packed('s.opens[at - 1]', 't.no', 't.kind - 1')})"
+_STEP = f"""CASE
+    WHEN t.kind = 0 THEN s
+    WHEN t.kind = 3 THEN named_struct('names', s.names, 'opens', s.opens,
+        'done', array_append(s.done, {_packed('t.no', 't.no', '1')}))
+    WHEN t.kind = 1 AND NOT (t.name IN ({_listed(_NEVER_NESTED)}) AND array_contains(s.names, t.name)) THEN
+        named_struct('names', array_append(s.names, t.name), 'opens', array_append(s.opens, t.no), 'done', s.done)
+    WHEN NOT array_contains(s.names, t.name) THEN s
+    ELSE element_at(transform(array(CAST(size(s.names) - array_position(reverse(s.names), t.name) + 1 AS INT)), at ->
+        CASE WHEN t.kind = 2 THEN named_struct('names', slice(s.names, 1, at - 1),
+            'opens', slice(s.opens, 1, at - 1), 'done', {_ENDED})
+        ELSE named_struct('names', array_append(slice(s.names, 1, at - 1), t.name),
+            'opens', array_append(slice(s.opens, 1, at - 1), t.no), 'done', {_ENDED}) END), 1) END"""
+# What a never nested element left open ends with the page.
+_FINISH = f"""concat(s.done, array_compact(transform(s.names, (name, i) ->
+    CASE WHEN name IN ({_listed(_NEVER_NESTED)}) THEN {_packed('s.opens[i]', 'size(tags)', '0')} END)))"""
+_VALUE = "btrim(substring(a, instr(a, '=') + 1), ' \\t\\n\\r')"
+_UNQUOTED = f"""CASE WHEN instr(a, '=') = 0 THEN '' WHEN left({_VALUE}, 1) IN ('"', '\\'')
+    THEN substring({_VALUE}, 2, length({_VALUE}) - 2) ELSE {_VALUE} END"""
+_RAW = f"CASE WHEN contains(tag, ' ') OR contains(tag, '=') THEN regexp_extract_all(tag, {_q(_ATTRIBUTE)}, 0) ELSE array() END"
+_DESCRIBED = f"""transform(array(d), d -> named_struct(
+    'name', d.name,
+    'attributes', transform(d.raw, a -> lower(btrim(substring_index(a, '=', 1), ' \\t\\n\\r'))),
+    'values', transform(transform(d.raw, a -> {_UNQUOTED}), v -> {_decoded('v')}),
+    'open', d.open, 'close', d.close, 'after', d.after))[0]"""
+_ELEMENT = f"""element_at(transform(array(named_struct(
+        'open', CAST(shiftright(n, 32) AS INT), 'close', CAST(shiftright(n & 4294967295, 1) AS INT),
+        'after', CAST(shiftright(n & 4294967295, 1) + (n & 1) AS INT))), d ->
+    element_at(transform(array(tags[d.open]), tag -> named_struct(
+        'name', lower(regexp_extract(tag, {_q(_NAME)}, 1)), 'raw', {_RAW},
+        'open', d.open, 'close', d.close, 'after', d.after)), 1)), 1)"""
+_ELEMENTS = f"""transform(transform(transform(
+        array_sort(aggregate({_MARKS}, {_START}, (s, t) -> {_STEP}, s -> {_FINISH})),
+    n -> {_ELEMENT}), d -> {_DESCRIBED}),
+    e -> named_struct('name', e.name, 'attributes', e.attributes, 'values', e.values,
+        'classes', split(coalesce(get(e.values, CAST(array_position(e.attributes, 'class') AS INT) - 1), ''), '\\\\s+'),
+        'open', e.open, 'close', e.close, 'after', e.after))"""
+_PAGE = f"""element_at(transform(array(regexp_extract_all(h, {_q(_TAG)}, 0)), tags -> named_struct(
+    'texts', transform(split(h, {_q(_TAG)}), c -> {_decoded('c')}), 'elements', {_ELEMENTS})), 1)"""
+
+
+def tokens(html: Column) -> Column:
+    """A page as ``struct(texts, elements)``.
+
+    ``texts[0]`` stands before the first tag, ``texts[i + 1]`` behind tag number i.
+    ``elements`` are in page order: name, attributes and their values, classes, the numbers
+    of the opening and the closing tag, and that of the first tag after the element.
+    """
+    return _bind(html, "h", _PAGE)
 
 
-def _to_first_close(tail: Column, name: Column) -> Column:
-    short = _before(tail, "</", name)
-    reopened = _before(_before(short, "<", name, ">"), "<", name, " ")
-    return F.when(name.isin(_NEVER_NESTED), reopened).otherwise(short)
+def text_in(page: Column, element: Column) -> Column:
+    """Text content of an element of a page; null for no element."""
+    inside = F.slice(page["texts"], element["open"] + 2, element["close"] - element["open"])
+    return F.array_join(inside, "")
 
 
-def _holds_same(markup: Column, name: Column) -> Column:
-    return markup.contains(F.concat(F.lit("<"), name)) & ~name.isin(_NEVER_NESTED)
+def _attribute(element: str, name: str) -> str:
+    place = f"CAST(array_position({element}.attributes, {_q(name)}) AS INT) - 1"
+    return f"get({element}.values, {place})"
 
 
-def _to_own_close(tail: Column, name: Column) -> Column:
-    """Part of ``tail`` up to the closing tag that belongs to the element ``name`` whose
-    opening tag stands before it: opening and closing tags of the name are counted."""
+def element_attribute(element: Column, name: str) -> Column:
+    """Attribute of an element; empty if it has none."""
+    return F.coalesce(_bind(element, "e", _attribute("e", name)), F.lit(""))
 
-    def step(piece: Column) -> Column:
-        tag = F.substring_index(piece, "<", -1)
-        same = F.regexp_extract(tag, "^/?([a-zA-Z0-9]+)", 1) == name
-        return F.when(same, F.when(tag.startswith("/"), -1).otherwise(1)).otherwise(0)
 
-    def walk(state: Column, piece: Column) -> Column:
-        return F.when(state["depth"] == 0, state).otherwise(
-            F.struct((state["depth"] + step(piece)).alias("depth"), (state["n"] + 1).alias("n"))
-        )
+# --- selectors --------------------------------------------------------------------
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    return let(
-        F.regexp_extract_all(tail, F.lit("(?s)[^<]*<[^>]*>"), F.lit(0)),
-        lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, walk)["n"]), ""),
-    )
+_PART = re.compile(
+    r"""(?P<tag>^[a-zA-Z][a-zA-Z0-9]*)
+      | \.(?P<cls>[\w-]+)
+      | \[(?P<attr>[\w-]+)(?:(?P<op>[*^]?)="(?P<val>[^"]*)")?\]
+      | :has-text\("(?P<word>[^"]*)"\)
+      | :not\((?P<neg>:has-text\("[^"]*"\)|[^()]+)\)""",
+    re.VERBOSE,
+)
 
 
-def _cut_at_close(tail: Column, name: Column) -> Column:
-    short = _to_first_close(tail, name)
-    # only elements that hold another of the same name need the counting
-    return F.when(_holds_same(short, name), _to_own_close(tail, name)).otherwise(short)
+def _compound(compound: str) -> str:
+    """SQL for the test that element ``e`` of page ``p`` must pass, its cheap parts first."""
+    tests: list[str] = []
+    late: list[str] = []
+    for part in _PART.finditer(compound):
+        if part["tag"]:
+            tests.append(f"e.name = {_q(part['tag'].lower())}")
+        elif part["cls"]:
+            tests.append(f"array_contains(e.classes, {_q(part['cls'])})")
+        elif part["attr"]:
+            found = _attribute("e", part["attr"])
+            value = _q(part["val"] or "")
+            if part["val"] is None:
+                tests.append(f"{found} IS NOT NULL")
+            elif part["op"]:
+                function = {"^": "startswith", "*": "contains"}[part["op"]]
+                tests.append(f"coalesce({function}({found}, {value}), false)")
+            else:
+                tests.append(f"{found} <=> {value}")
+        elif part["word"] is not None:
+            text = "array_join(slice(p.texts, e.open + 2, e.close - e.open), '')"
+            late.append(f"contains(lower({text}), {_q(part['word'].lower())})")
+        else:
+            late.append(f"NOT ({_compound(part['neg'])})")
+    return " AND ".join(tests + late)
 
 
-def _behind_close(tail: Column, name: Column) -> Column:
-    """What stands in ``tail`` behind the closing tag that belongs to ``name``."""
-    return let(_to_own_close(tail, name), lambda own: F.substr(tail, F.length(own) + 1))
+def _steps(css: str) -> list[tuple[str, str]]:
+    """Steps of a selector: how an element lies to those of the step before, and its test."""
+    words = re.findall(r"""(?:"[^"]*"|\([^)]*\)\)?|[^\s"(]+)+""", css.strip())
+    steps, relation = [], ""
+    for word in words:
+        if word in ("+", ">"):
+            relation = word
+            continue
+        steps.append((relation or " ", _compound(word)))
+        relation = ""
+    return steps
 
 
-def from_element(html: Column, css: str) -> Column:
-    """The first matching element, cut at the first closing tag of its name; null if
-    there is none. An ancestor reaches to the closing tag of its own, whatever it holds."""
-    selector = compile_selector(css)
-    start = rf"^{WS}*" if selector.sibling else ""
-    pattern = rf"(?s){start}({selector.opening}.*?</\k<e>)"
-
-    def first_in(text: Column) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-    if not selector.scope:
-        return _guarded(html, selector, first_in(html))
-    reach = _behind_close if selector.sibling else _cut_at_close
-    places = let(
-        _tails(html, selector.scope), lambda f: F.zip_with(f["tails"], f["names"], reach)
-    )
-    found = F.get(F.array_compact(F.transform(places, first_in)), F.lit(0))
-    return _guarded(html, selector, found)
+_INSIDE = "o.open < e.open AND e.open < o.close"
+# how an element lies to one of those of the step before; a child's parent is the innermost
+# element around it
+_RELATIONS = {
+    " ": f"exists(outer, o -> {_INSIDE})",
+    "+": "exists(outer, o -> o.after = e.open)",
+    ">": f"""exists(outer, o -> {_INSIDE} AND NOT exists(p.elements, m ->
+        o.open < m.open AND m.open < e.open AND e.open < m.close))""",
+}
 
 
-def inner_markup(html: Column, element: Column) -> Column:
-    """Inner markup of an element that ``from_element`` found on the page."""
-    name = F.regexp_extract(element, "^<([a-zA-Z0-9]+)", 1)
-    start = F.instr(element, ">") + 1
-    short = _to_first_close(F.substr(element, start), name)
-    # an element around others of its name goes on behind what was cut out
-    tail = F.substr(html, F.instr(html, element) + start - 1)
-    return F.when(_holds_same(short, name), _to_own_close(tail, name)).otherwise(short)
+def _find_all(css: str) -> str:
+    """SQL for all elements of page ``p`` that match, in page order."""
+    (_, first), *rest = _steps(css)
+    found = f"filter(p.elements, e -> {first})"
+    for relation, test in rest:
+        inner = f"filter(p.elements, e -> {test} AND {_RELATIONS[relation]})"
+        found = f"""element_at(transform(array({found}), outer ->
+            CASE WHEN size(outer) > 0 THEN {inner} ELSE slice(p.elements, 1, 0) END), 1)"""
+    return found
 
 
-def decode_entities(c: Column) -> Column:
-    # The character references browsers write, and the apostrophe's.
-    out = c
-    for reference, character in {
-        "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&",
-    }.items():
-        out = F.regexp_replace(out, reference, character)
-    return F.when(c.contains("&"), out).otherwise(c)
+def find_all(page: Column, css: str) -> Column:
+    """All elements of a page that match, in page order."""
+    return _bind(page, "p", _find_all(css))
 
 
-def text_of(markup: Column) -> Column:
-    """Text content of a piece of markup."""
-    return decode_entities(F.regexp_replace(markup, "(?s)<!--.*?-->|<[^>]*>", ""))
+def find(page: Column, css: str) -> Column:
+    """The first matching element; null if there is none."""
+    return _bind(page, "p", f"get({_find_all(css)}, 0)")
 
 
-def element_text(html: Column, element: Column) -> Column:
-    return text_of(inner_markup(html, element))
+def from_element(html: Column, css: str) -> Column:
+    """:func:`find` on markup."""
+    return let(tokens(html), lambda page: find(page, css))
 
 
 def first_text(html: Column, css: str) -> Column:
-    """Text of the first matching element; null if there is none."""
-    return let(from_element(html, css), lambda e: element_text(html, e))
+    """Text of the first matching element of some markup; null if there is none."""
+    return let(tokens(html), lambda page: let(find(page, css), lambda e: text_in(page, e)))
 
 
 def first_accepted(
-    html: Column, selectors: list[str], accept: Callable[[Column], Column]
+    page: Column, selectors: list[str], accept: Callable[[Column], Column]
 ) -> Column:
     """``accept`` of the first selector's element for which it is not null; a text.
 
     A selector is only looked for while the ones before it gave nothing.
     """
+    cases = " ".join(f"WHEN {no} THEN get({_find_all(css)}, 0)" for no, css in enumerate(selectors))
+    nth = f"element_at(transform(array(b.p), p -> CASE b.no {cases} END), 1)"
 
-    def element_no(i: Column) -> Column:
-        out = None
-        for no, css in enumerate(selectors, start=1):
-            found = from_element(html, css)
-            out = F.when(i == no, found) if out is None else out.when(i == no, found)
-        return out
+    def element_no(no: Column) -> Column:
+        return _bind(F.struct(page.alias("p"), no.alias("no")), "b", nth)
 
     return F.aggregate(
-        F.lit(list(range(1, len(selectors) + 1))),
+        F.expr(f"sequence(0, {len(selectors) - 1})"),
         F.lit(None).cast("string"),
-        lambda accepted, i: F.coalesce(accepted, let(element_no(i), accept)),
+        lambda accepted, no: F.coalesce(accepted, let(element_no(no), accept)),
     )
 
 
-def attribute_of(opening_tag: Column, name: str) -> Column:
-    value = F.regexp_extract(opening_tag, rf"(?s)\s{name}=([\"'])([^>]*?)\1", 2)
-    return decode_entities(value)
+def all_texts(page: Column, selectors: list[str]) -> Column:
+    """Per selector the texts of all matching elements in page order, as
+    ``array<array<string>>`` in the order of the selectors."""
+    text = "array_join(slice(p.texts, e.open + 2, e.close - e.open), '')"
+    found = ", ".join(f"transform({_find_all(css)}, e -> {text})" for css in selectors)
+    return _bind(page, "p", f"array({found})")
 
 
-def element_attribute(element: Column, name: str) -> Column:
-    """Attribute of the element a piece of page begins with; empty if it has none."""
-    return attribute_of(F.concat(F.substring_index(element, ">", 1), F.lit(">")), name)
-
-
-def _tails(markup: Column, opening: str) -> Column:
-    """``struct(names, tails)``: per matching element its name and what stands behind its
-    opening tag, up to the next matching one."""
-    pattern = f"(?s){opening}"
-    tails = F.split(markup, pattern)
-    return F.struct(
-        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)).alias("names"),
-        F.slice(tails, F.lit(2), F.greatest(F.size(tails) - 1, F.lit(0))).alias("tails"),
-    )
-
+def link_targets(page: Column) -> Column:
+    """``href`` of every link, in page order."""
+    links = f"transform(filter(p.elements, e -> e.name = 'a'), e -> {_attribute('e', 'href')})"
+    return _bind(page, "p", f"array_compact({links})")
 
-def _inner_of_all(found: Column) -> Column:
-    return F.zip_with(found["tails"], found["names"], _cut_at_close)
-
-
-def all_texts(html: Column, selectors: list[str]) -> Column:
-    """Per selector the texts of all matching elements in page order; null where the
-    page has none. ``array<array<string>>`` in the order of the selectors."""
-    compiled = [compile_selector(css) for css in selectors]
-    scopes = list(dict.fromkeys(c.scope for c in compiled if c.scope))
-    literals = {c.scope: c.literals for c in compiled}
-    # every ancestor is cut out once, however many selectors start from it
-    ancestors = F.transform(
-        F.array(
-            *(
-                F.when(html.contains(literals[scope][-1]), _tails(html, scope))
-                for scope in scopes
-            )
-        ),
-        lambda found: F.array_join(_inner_of_all(found), "\n"),
-    )
 
-    def per_selector(parts: Column) -> Column:
-        found = [
-            _guarded(
-                html,
-                c,
-                _tails(
-                    F.get(parts, F.lit(scopes.index(c.scope))) if c.scope else html, c.opening
-                ),
-            )
-            for c in compiled
-        ]
-        return F.transform(
-            F.array(*found), lambda f: F.transform(_inner_of_all(f), lambda e: text_of(e))
-        )
-
-    return let(ancestors, per_selector)
-
-
-def link_targets(html: Column) -> Column:
-    """``href`` of every link, in page order."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<a\b[^>]*?\shref=([\"'])([^>]*?)\1"), F.lit(2))
-    return F.transform(found, decode_entities)
+# --- running text -----------------------------------------------------------------
 
 
 def readable(html: Column) -> Column:
@@ -310,7 +302,7 @@ def readable(html: Column) -> Column:
     no elements, so every later look at the page gets shorter. A ``>`` in an attribute,
     which browsers write as it is, becomes its reference."""
     unread = "script|style|svg|noscript|template"
-    return _signs_in_attributes(F.regexp_replace(html, rf"(?s)<!--.*?-->|<({unread})\b.*?</\1>", " "))
+    return _signs_in_attributes(F.regexp_replace(html, rf"(?is)<!--.*?-->|<({unread})\b.*?</\1>", " "))
 
 
 def _signs_in_attributes(html: Column) -> Column:
@@ -326,6 +318,6 @@ def page_text(body: Column) -> Column:
     """Text of a ``readable`` page; blocks start a new line."""
     # Elements that break the line.
     blocks = "p|div|li|ul|ol|br|tr|table|h[1-6]|nav|article|section|header|footer|main"
-    out = F.regexp_replace(body, r"(?s)<head\b.*?</head>", " ")
-    out = F.regexp_replace(out, rf"</?(?:{blocks})\b[^>]*>", "\n")
+    out = F.regexp_replace(body, r"(?is)<head\b.*?</head>", " ")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{blocks})\b[^>]*>", "\n")
     return decode_entities(F.regexp_replace(out, "(?s)<[^>]*>", ""))

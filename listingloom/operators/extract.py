@@ -133,51 +133,52 @@ RULES: dict[str, Callable[[Column], Column]] = {
 FIELDS = list(RULES)
 
 
-def page_class(html: Column) -> Column:
-    """``results_page``, ``business_page`` or ``unknown``, for a ``readable`` page."""
+def page_class(page: Column) -> Column:
+    """``results_page``, ``business_page`` or ``unknown``, for the tokens of a page."""
 
     def shows(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
         def accept(element: Column) -> Column:
-            return T.let(H.element_text(html, element), lambda t: F.when(test(t), t))
+            return T.let(H.text_in(page, element), lambda t: F.when(test(t), t))
 
         return accept
 
     results = H.first_accepted(
-        html, RESULT_SELECTORS, shows(lambda t: C.contains_any(t, RESULT_PAGE_WORDS))
+        page, RESULT_SELECTORS, shows(lambda t: C.contains_any(t, RESULT_PAGE_WORDS))
     )
     business = H.first_accepted(
-        html,
+        page,
         BUSINESS_SELECTORS,
         shows(lambda t: (t != "") & ~C.contains_any(t, BUSINESS_PAGE_NOT)),
     )
     return (
-        F.when(C.contains_any(html, RESULT_PAGE_WORDS) & results.isNotNull(), "results_page")
+        F.when(results.isNotNull(), "results_page")
         .when(business.isNotNull(), "business_page")
         .otherwise("unknown")
     )
 
 
-def with_body(captures: DataFrame) -> DataFrame:
-    """Add ``_body``, the page that the selectors look at."""
-    return captures.withColumn("_body", H.readable(F.col("html")))
+def with_tokens(captures: DataFrame) -> DataFrame:
+    """Add ``_body``, the page without scripts, and ``_page``, its tokens."""
+    body = captures.withColumn("_body", H.readable(F.col("html")))
+    return body.withColumn("_page", H.tokens(F.col("_body")))
 
 
 def classify_pages(captures: DataFrame) -> DataFrame:
-    classified = with_body(captures).withColumn("page_class", page_class(F.col("_body")))
-    return classified.drop("_body")
+    classified = with_tokens(captures).withColumn("page_class", page_class(F.col("_page")))
+    return classified.drop("_body", "_page")
 
 
 def extract_candidates(
     captures: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Long table ``keys, field, selector_rank, selector, raw`` of all candidates found."""
-    html = F.col("_body")
+    page = F.col("_page")
     rows = [
         F.struct(
             F.lit(field).alias("field"),
             F.lit(rank).alias("selector_rank"),
             F.lit(css).alias("selector"),
-            H.from_element(html, css).alias("element"),
+            H.find(page, css).alias("element"),
         )
         for field, css_list in (selectors or SELECTORS).items()
         for rank, css in enumerate(css_list, start=1)
@@ -187,10 +188,10 @@ def extract_candidates(
     texts = F.transform(
         found,
         lambda c: F.struct(
-            *(c[n].alias(n) for n in named), H.element_text(html, c["element"]).alias("raw")
+            *(c[n].alias(n) for n in named), H.text_in(page, c["element"]).alias("raw")
         ),
     )
-    found_on_page = with_body(captures).select(*keys, F.explode(texts).alias("_c"))
+    found_on_page = with_tokens(captures).select(*keys, F.explode(texts).alias("_c"))
     return found_on_page.select(*keys, "_c.*")
 
 
@@ -229,32 +230,35 @@ def first_valid(candidates: DataFrame, keys: list[str], wide: bool = False) -> D
     )
 
 
-def field_value(html: Column, field: str) -> Column:
+def field_value(page: Column, field: str) -> Column:
     """First accepted candidate of a field on a page, or the empty string."""
     found = H.first_accepted(
-        html, SELECTORS[field], lambda e: T.let(H.element_text(html, e), RULES[field])
+        page, SELECTORS[field], lambda e: T.let(H.text_in(page, e), RULES[field])
     )
     return F.coalesce(found, F.lit(""))
 
 
-def website_of(html: Column) -> Column:
+def website_of(page: Column) -> Column:
     """Website link: per selector ``href``, then ``data-href``, then a web address as text."""
 
     def pick(element: Column) -> Column:
         href, data = (H.element_attribute(element, name) for name in ("href", "data-href"))
-        text = H.element_text(html, element)
+        text = H.text_in(page, element)
         return (
             F.when(href.startswith("http") & ~href.contains("google.com"), href)
             .when(data.startswith("http"), data)
             .when(text.startswith("http"), T.strip(text))
         )
 
-    return F.coalesce(H.first_accepted(html, WEBSITE_SELECTORS, pick), F.lit(""))
+    return F.coalesce(H.first_accepted(page, WEBSITE_SELECTORS, pick), F.lit(""))
 
 
-def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -> Column:
+def coordinates_of(
+    url: Column, html: Column, share_url: Column | None = None, page: Column | None = None
+) -> Column:
     """``struct(latitude, longitude)`` as text from the page address, page data, geo
-    meta tag or share address, in that order; empty texts if there are none."""
+    meta tag or share address, in that order; empty texts if there are none. ``page`` are
+    the page's tokens, where they are at hand."""
     at = r"@(-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+),[0-9]+\.?[0-9]*z"
     bang = r"!3d(-?[0-9]+\.[0-9]+)!4d(-?[0-9]+\.[0-9]+)"
     # a pair of long decimals counts only inside the page's own start-up data, which
@@ -275,14 +279,14 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
             found = text.contains(literal) & found
         return F.when(found, F.struct(lat.alias("lat"), lng.alias("lng")))
 
-    meta_tags = F.regexp_extract_all(
-        html,
-        F.lit(r"""(?s)<meta\b(?=[^>]*?\s(?:property|name)=["'][^"'>]*geo)[^>]*>"""),
-        F.lit(0),
-    )
+    page = H.tokens(html) if page is None else page
+
+    def names_geo(element: Column) -> Column:
+        named = (H.element_attribute(element, name).contains("geo") for name in ("property", "name"))
+        return (element["name"] == "meta") & (next(named) | next(named))
 
     def meta_pair(tag: Column) -> Column:
-        parts = F.split(H.attribute_of(tag, "content"), ",")
+        parts = F.split(H.element_attribute(tag, "content"), ",")
         number = rf"^{T.WS}*([+-]?[0-9]+(?:\.[0-9]*)?|[+-]?\.[0-9]+)"
         return F.struct(
             F.regexp_extract(F.get(parts, F.lit(0)), number, 1).alias("lat"),
@@ -290,10 +294,10 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
         )
 
     usable = F.filter(
-        F.transform(meta_tags, meta_pair), lambda p: (p["lat"] != "") & (p["lng"] != "")
+        F.transform(F.filter(page["elements"], names_geo), meta_pair), lambda p: (p["lat"] != "") & (p["lng"] != "")
     )
     options = [pair(*p) for p in pairs]
-    first_meta = F.when(html.contains("<meta") & html.contains("geo"), F.get(usable, F.lit(0)))
+    first_meta = F.when(html.contains("geo"), F.get(usable, F.lit(0)))
     # page data with a zero in it counts as not found
     nonzero = T.let(
         F.coalesce(options[2], first_meta),
@@ -314,11 +318,11 @@ def coordinates_of(url: Column, html: Column, share_url: Column | None = None) -
     return T.let(F.coalesce(*options), as_text)
 
 
-def hours_of_page(html: Column) -> Column:
+def hours_of_page(page: Column) -> Column:
     """Map from English day to hours; the last row of a day wins."""
     # the first selector with a row that names a day decides
     usable = F.filter(
-        H.all_texts(html, HOURS_SELECTORS), lambda rows: F.exists(rows, O.names_a_day)
+        H.all_texts(page, HOURS_SELECTORS), lambda rows: F.exists(rows, O.names_a_day)
     )
     texts = F.filter(F.get(usable, F.lit(0)), O.names_a_day)
     found = T.let(F.transform(texts, O.row_of), hours_map)
@@ -340,7 +344,7 @@ def hours_map(rows: Column) -> Column:
     )
 
 
-def social_of_page(html: Column) -> Column:
+def social_of_page(page: Column) -> Column:
     """Map from platform to link; the last link of a platform wins."""
 
     def platform_map(links: Column) -> Column:
@@ -362,51 +366,54 @@ def social_of_page(html: Column) -> Column:
 
         return F.map_from_entries(F.array_compact(F.array(*(last(p) for p in PLATFORMS))))
 
-    present = C.contains_any(html, PLATFORMS)
-    return F.when(present, T.let(H.link_targets(html), platform_map)).otherwise(
-        F.create_map().cast("map<string,string>")
-    )
+    return T.let(H.link_targets(page), platform_map)
 
 
-def page_record(url: Column, html: Column, body: Column, share_url: Column | None = None) -> Column:
+def page_record(
+    url: Column, html: Column, body: Column, page: Column, share_url: Column | None = None
+) -> Column:
     """``struct`` of the values found on a page. ``phone`` is the first accepted candidate
     or else the first number in the page text; it is not yet in international form,
     which needs the listing's country."""
     phone = T.let(
-        field_value(body, "phone"),
+        field_value(page, "phone"),
         lambda p: F.when(p != "", p).otherwise(C.scan_phone(H.page_text(body))),
     )
     values = {
-        "found_name": field_value(body, "name"),
-        "full_address": field_value(body, "address"),
+        "found_name": field_value(page, "name"),
+        "full_address": field_value(page, "address"),
         "found_phone": phone,
-        "rating": field_value(body, "rating"),
-        "reviews_count": field_value(body, "reviews"),
-        "website": website_of(body),
-        "category": field_value(body, "category"),
-        "coordinates": coordinates_of(url, html, share_url),
-        "social_media": social_of_page(body),
-        "opening_hours": hours_of_page(body),
+        "rating": field_value(page, "rating"),
+        "reviews_count": field_value(page, "reviews"),
+        "website": website_of(page),
+        "category": field_value(page, "category"),
+        "coordinates": coordinates_of(url, html, share_url, page),
+        "social_media": social_of_page(page),
+        "opening_hours": hours_of_page(page),
     }
     return F.struct(*(value.alias(name) for name, value in values.items()))
 
 
+def _record(share_url: str | None) -> Column:
+    columns = (F.col(c) for c in ("url", "html", "_body", "_page"))
+    return page_record(*columns, F.col(share_url) if share_url else None)
+
+
 def extract_fields(captures: DataFrame, share_url: str | None = None) -> DataFrame:
     """Replace ``html`` by the values found on the page."""
-    record = page_record(
-        F.col("url"), F.col("html"), F.col("_body"), F.col(share_url) if share_url else None
-    )
     kept = [c for c in captures.columns if c != "html"]
-    return with_body(captures).select(*kept, record.alias("_r")).select(*kept, "_r.*")
+    read = with_tokens(captures).select(*kept, _record(share_url).alias("_r"))
+    return read.select(*kept, "_r.*")
 
 
 def business_records(captures: DataFrame) -> DataFrame:
     """``job_id, rank, record`` of every capture; the record is null unless the capture is
-    a business page, and only then is the page read."""
-    record = page_record(F.col("url"), F.col("html"), F.col("_body"))
-    business = page_class(F.col("_body")) == "business_page"
+    a business page, and only then is the page read. A ``share_url`` column, where there is
+    one, is the last place coordinates are looked for."""
+    share = [c for c in ("share_url",) if c in captures.columns]
+    business = page_class(F.col("_page")) == "business_page"
     # told apart inside the projection: as a filter, the test would be pushed to where
     # the page is not yet cut down and would cut it down for every selector again
-    return with_body(captures.select("job_id", "rank", "url", "html")).select(
-        "job_id", "rank", F.when(business, record).alias("record")
+    return with_tokens(captures.select("job_id", "rank", "url", "html", *share)).select(
+        "job_id", "rank", F.when(business, _record(*share or [None])).alias("record")
     )

@@ -111,6 +111,85 @@ def ingest_listings(spark: SparkSession, d: str) -> DataFrame:
     return read.select(*L.LISTING_COLUMNS, F.element_at("extra", F.lit("job_id")).alias("job_id"))
 
 
+# Folders of an upload: Spark's name of the encoding, what its rows hold that tells it from
+# the others, and the mark at the head of its files.
+UPLOAD_FOLDERS = {
+    "marked": ("UTF-8", "\u20ac \u0142", "\ufeff"),
+    "plain": ("UTF-8", "\u20ac \u0142", ""),
+    "western": ("ISO-8859-1", "\u00e9", ""),
+    "windows": ("windows-1252", "\u20ac", ""),
+}
+
+
+def _upload_folder(spark: SparkSession, d: str) -> str:
+    """The listings written as CSV files in four encodings, and a file that is no CSV."""
+    folder = scratch_folder(spark, "uploads")
+    rows = view(spark, d, "listings").select(*L.LISTING_COLUMNS, "job_id", "k")
+    # each folder takes the listings whose number has its remainder
+    for no, (name, (encoding, sign, mark)) in enumerate(UPLOAD_FOLDERS.items()):
+        kept = rows.where(F.col("k") % len(UPLOAD_FOLDERS) == no).drop("k")
+        signed = kept.select(F.lit(sign).alias(f"{mark}{sign}"), *kept.columns)
+        (
+            signed.write.option("header", True)
+            .option("encoding", encoding)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{folder}/{name}")
+        )
+    rows.select(F.col("name").alias("value")).write.text(f"{folder}/notes")
+    return folder
+
+
+def _folder_of(column: str) -> Column:
+    return F.element_at(F.split(column, "/"), -2)
+
+
+@query
+def encoding_census(spark: SparkSession, d: str) -> DataFrame:
+    """What the census says of the files of each folder; the file that is no CSV has no row."""
+    files = L.profile_files(spark, _upload_folder(spark, d))
+    return files.groupBy(_folder_of("path").alias("folder")).agg(
+        F.min("encoding").alias("encoding"),
+        F.count_distinct("encoding").alias("encodings"),
+        F.every("bom").alias("bom"),
+        F.min(F.substring("first_bytes", 1, 4)).alias("first_bytes"),
+    )
+
+
+@query
+def ingest_mixed_encodings(spark: SparkSession, d: str) -> DataFrame:
+    read = L.read_listings(spark, _upload_folder(spark, d))
+    job_id = F.element_at("extra", F.lit("job_id")).alias("job_id")
+    sign = [F.element_at("extra", F.lit(s)) for s in {s for _, s, _ in UPLOAD_FOLDERS.values()}]
+    return read.select(
+        *L.LISTING_COLUMNS, job_id, _folder_of("source_file").alias("folder"), F.coalesce(*sign).alias("sign")
+    )
+
+
+@query
+def upload_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies to the upload of all files, added up by folder, as files may be split."""
+    folder = _upload_folder(spark, d)
+    lines = L.stored_lines(L.file_lines(spark.read, folder))
+    replies, written = L.upload_lines(lines, scratch_folder(spark, "uploaded-jobs"), _at("2024-01-01"))
+    names = lines.groupBy("source_file").agg(F.lit(1)).select(
+        L.batch_id_of(F.col("source_file")).alias("batch_id"), _folder_of("source_file").alias("folder")
+    )
+    return replies.join(names, "batch_id").groupBy("folder", "message", "encoding", "bom_removed").agg(
+        F.sum("jobs_created").alias("jobs_created"), F.lit(written).cast("long").alias("jobs_written")
+    )
+
+
+@query
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The same files taken one by one as they arrive."""
+    folder, jobs = _upload_folder(spark, d), scratch_folder(spark, "arrived-jobs")
+    state = scratch_folder(spark, "arrivals")
+    S.stream_listing_jobs(spark, folder, jobs, state, files_per_batch=3).awaitTermination()
+    return spark.read.parquet(jobs).select(*L.LISTING_COLUMNS, "job_name", "state")
+
+
 @query
 def create_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "listings").withColumn("row_no", F.col("k"))
@@ -287,23 +366,23 @@ def page_phone(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def coordinates(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "captures").select(
-        "job_id", "rank", E.coordinates_of(F.col("url"), F.col("html")).alias("c")
+    found = E.with_tokens(view(spark, d, "captures")).select(
+        "job_id", "rank", E.coordinates_of(F.col("url"), F.col("html"), page=F.col("_page")).alias("c")
     )
     return found.select("job_id", "rank", "c.latitude", "c.longitude")
 
 
 @query
 def website_pick(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "captures").select(
-        "job_id", "rank", E.website_of(F.col("html")).alias("website")
+    return E.with_tokens(view(spark, d, "captures")).select(
+        "job_id", "rank", E.website_of(F.col("_page")).alias("website")
     )
 
 
 @query
 def social_links(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "captures").select(
-        "job_id", "rank", E.social_of_page(F.col("html")).alias("m")
+    found = E.with_tokens(view(spark, d, "captures")).select(
+        "job_id", "rank", E.social_of_page(F.col("_page")).alias("m")
     )
     return found.select(
         "job_id", "rank", *(F.element_at("m", F.lit(p)).alias(p) for p in E.PLATFORMS)
@@ -312,8 +391,8 @@ def social_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hours_map(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "captures").select(
-        "job_id", "rank", E.hours_of_page(F.col("html")).alias("m")
+    found = E.with_tokens(view(spark, d, "captures")).select(
+        "job_id", "rank", E.hours_of_page(F.col("_page")).alias("m")
     )
     return found.select(
         "job_id", "rank",

@@ -353,6 +353,17 @@ ORACLES: dict[str, str] = {
         SELECT job_id, min(i) AS i, variation FROM ({_VARIATIONS}) v WHERE name <> '' AND length(variation) > 1 GROUP BY job_id, variation
         UNION ALL SELECT job_id, 0, name FROM {LISTINGS} l WHERE name = '') u""",
     "ingest_listings": f"SELECT name, address, city, postal_code, job_id FROM {LISTINGS} l",
+    "encoding_census": """SELECT * FROM (VALUES ('marked', 'utf-8', 1::BIGINT, true, 'efbb'), ('plain', 'utf-8', 1, false, 'e282'),
+        ('western', 'iso-8859-1', 1, false, 'e92c'), ('windows', 'windows-1252', 1, false, '802c'))
+        AS v(folder, encoding, encodings, bom, first_bytes)""",
+    "ingest_mixed_encodings": f"""SELECT name, address, city, postal_code, job_id,
+        CASE k % 4 WHEN 0 THEN 'marked' WHEN 1 THEN 'plain' WHEN 2 THEN 'western' ELSE 'windows' END AS folder,
+        CASE k % 4 WHEN 2 THEN 'é' WHEN 3 THEN '€' ELSE '€ ł' END AS sign FROM {LISTINGS} l""",
+    "upload_replies": f"""SELECT CASE k % 4 WHEN 0 THEN 'marked' WHEN 1 THEN 'plain' WHEN 2 THEN 'western' ELSE 'windows' END AS folder,
+        'CSV processed successfully, jobs added to queue' AS message,
+        CASE k % 4 WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN 'windows-1252' ELSE 'utf-8' END AS encoding, k % 4 = 0 AS bom_removed,
+        count(*) AS jobs_created, (SELECT count(*) FROM customer) AS jobs_written FROM {LISTINGS} l GROUP BY k % 4""",
+    "stream_ingest": f"SELECT name, address, city, postal_code, 'scrape-data' AS job_name, 'waiting' AS state FROM {LISTINGS} l",
     "create_batches": f"""SELECT sha256(batch_id || ':' || CAST(k AS VARCHAR)) AS job_id, 'scrape-data' AS job_name, batch_id, k AS row_no,
         name, address, city, postal_code, 'waiting' AS state, '2024-01-01T00:00:00.000Z' AS created_at, 2 AS priority, 0 AS delay_ms FROM {LISTINGS} l""",
     "fold_full": f"SELECT doc_id, {fold('text')} AS folded FROM documents",

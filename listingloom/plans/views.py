@@ -101,7 +101,10 @@ SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS job_id,
 FROM {{customer}}
 """
 
-_NAME_HTML = "replace(name, '&', '&amp;')"
+# as different writers put it: references by name and number, any case, with and without quotes
+_NAME_HTML = (
+    "replace(replace(replace(replace(name, '&', '&amp;'), 'é', '&eacute;'), 'ü', '&#252;'), 'ö', '&#xF6;')"
+)
 _DAYS_HTML = ["Montag", "Mardi", "Miércoles", "Giovedì", "Friday", "Samedi", "Heute"]
 
 
@@ -123,13 +126,14 @@ _BUSINESS_HTML = f"""
    ELSE '' END
 || '<style>h1 </style></head><body><div role="main">'
 || CASE k % 5 WHEN 0 THEN '<h1 class="DUwDvf lfPIob">' || {_NAME_HTML} || '</h1>'
-   WHEN 1 THEN '<h1 class="fontHeadlineLarge"><span>' || {_NAME_HTML} || '</span></h1>'
+   WHEN 1 THEN '<H1 ID=t CLASS=fontHeadlineLarge><SPAN>' || {_NAME_HTML} || '</SPAN></H1>'
    WHEN 2 THEN '<h1>' || {_NAME_HTML} || '</h1>'
    WHEN 3 THEN '<h1 class="DUwDvf">Search</h1><h1 class="fontHeadlineLarge">' || {_NAME_HTML} || '</h1>'
    ELSE '<h1 class="DUwDvf">4.5</h1>' END
-|| '<div class="F7nice"><span>·'
-|| CASE k % 4 WHEN 0 THEN '<span class="ceNzKf" aria-hidden="true">' || rating_text || '</span>' ELSE '' END
-|| '</span></div>'
+|| CASE k % 8 WHEN 4 THEN '<div class="F7nice"><div class="F7nice">·</div><span class="ceNzKf">' || rating_text || '</span></div>'
+   ELSE '<div class="F7nice"><span>·'
+        || CASE k % 4 WHEN 0 THEN '<span class="ceNzKf" aria-hidden="true">' || rating_text || '</span>' ELSE '' END
+        || '</span></div>' END
 || CASE k % 4 WHEN 1 THEN '<div jsaction="pane.rating.moreReviews"><span>' || rating_text || '</span></div>'
    WHEN 2 THEN '<div role="img" aria-label="4 stars"></div><span>' || rating_text || '</span>' ELSE '' END
 || CASE k % 3 WHEN 0 THEN '<button aria-label="12 Reviews"><span class="MW4etd">' || reviews_text || '</span></button>'
@@ -139,7 +143,7 @@ _BUSINESS_HTML = f"""
 || CASE k % 3 WHEN 0 THEN '<button data-item-id="address" aria-label="Address: x"><div class="Io6YTe">' || address || '</div></button>'
    WHEN 1 THEN '<div data-item-id="address"><div class="fontBodyMedium">' || address || '</div></div>' ELSE '' END
 || CASE k % 5 WHEN 0 THEN '<button data-item-id="phone:tel"><div><div class="Io6YTe">' || phone || '</div></div></button>'
-   WHEN 1 THEN '<a href="tel:1">' || phone || '</a>'
+   WHEN 1 THEN '<A HREF=tel:1>' || phone || '</A>'
    WHEN 2 THEN '<button aria-label="Anrufen">' || phone || '</button>'
    WHEN 3 THEN '<p>Tel. ' || phone || ' today</p>' ELSE '<p>no number</p>' END
 || CASE k % 4 WHEN 0 THEN '<a data-item-id="authority" href="' || replace(website_text, '&', '&amp;') || '">Website</a>'

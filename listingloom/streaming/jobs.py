@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from listingloom.functions.text import percent
-from listingloom.sources.listings import create_batch, read_listings
+from listingloom.session import prepare_session
+from listingloom.sources.listings import create_batch, file_lines, listings_of, stored_lines
 from listingloom.sources.sinks import write_jobs
 
 # Events that end a job, and how long a job may be silent.
 TERMINAL = ["completed", "failed"]
 STALLED_AFTER = "30 seconds"
-# Milestones a run reports.
-MILESTONES = [10, 20, 90, 100]
 
 STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -226,31 +225,27 @@ def stalled_jobs(events: DataFrame, as_of: Column, silence: str = STALLED_AFTER)
 
 
 def stream_listing_jobs(
-    spark, folder: str, jobs_path: str, checkpoint: str, files_per_batch: int = 1000, **options
-) -> StreamingQuery:
+    spark, folder: str, jobs_path: str, checkpoint: str, files_per_batch: int = 1000,
+    done_folder: str | None = None, **options,
+) -> StreamingQuery:
     """Turn listing CSVs into jobs as files arrive.
 
-    New files are noticed by the file source; each micro-batch reads its files like a
-    table, so encodings and headers are treated as in ``read_listings``. Job ids follow
-    from file and row: a repeated micro-batch overwrites the same batches. A micro-batch
-    takes at most ``files_per_batch`` files; the next ones take the rest.
+    The stream reads lines with the name and place of their file; each micro-batch holds
+    whole files and takes them like a table, so encodings, headers and quoted line breaks
+    are treated as in ``read_listings``, and no file name goes through the driver. Job ids
+    follow from file and row: a repeated micro-batch overwrites the same batches. A
+    micro-batch takes at most ``files_per_batch`` files; the next ones take the rest. Files
+    that are through are moved to ``done_folder``, if one is given.
     """
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .load(folder)
-        .select("path")
-    )
-
-    def load(files: DataFrame, _batch_no: int) -> None:
-        # names of the files of one micro-batch, at most files_per_batch
-        paths = [row["path"] for row in files.toLocalIterator()]
-        if paths:
-            rows = read_listings(files.sparkSession, paths)
-            jobs = create_batch(rows, F.current_timestamp())
-            write_jobs(jobs, jobs_path, mode="overwrite")
+    reader = prepare_session(spark).readStream.option("maxFilesPerTrigger", files_per_batch)
+    if done_folder:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", done_folder)
+    arrivals = file_lines(reader, folder)
+
+    def load(lines: DataFrame, _batch_no: int) -> None:
+        kept = stored_lines(lines)
+        if not kept.isEmpty():
+            write_jobs(create_batch(listings_of(kept), F.current_timestamp()), jobs_path, mode="overwrite")
 
     return (
         arrivals.writeStream.foreachBatch(load)

@@ -80,6 +80,36 @@ def test_ancestors_reach_to_their_own_close(select):
         assert select(page, css) == want, css
 
 
+def test_markup_as_others_write_it(select):
+    pages = [
+        ('<div class="F7nice"><div class="F7nice">a</div><span class="ceNzKf">4.5</span></div>', ".F7nice .ceNzKf", "4.5"),
+        ("<DIV CLASS=F7nice><SPAN Class='x ceNzKf'>4.5</SPAN></DIV>", ".F7nice span.ceNzKf", "4.5"),
+        ("<button data-item-id=address aria-label='a'>Caf&eacute; M&#252;ller &#xE4; &bogus; &#0;</button>", '[data-item-id="address"]', "Café Müller ä &bogus; \ufffd"),
+        ('<p class="k">&amp;eacute; &#128512;</p>', ".k", "&eacute; \U0001f600"),
+        ('<b title="x class=\'k\'">no</b><b class="k">yes</b>', ".k", "yes"),
+        ('<img class="k" src=x><b class="k">t</b>', "b.k", "t"),
+        ('<ul><li>a<ul><li class="k">b</li></ul></li></ul><li class="k">d</li>', "li.k", "b"),
+        ('<div class="o"><div><b>in</b></div></div>', ".o > b", None),
+        ('<div class="o"><b>in</b></div>', ".o > b", "in"),
+        ('<div class="a"><div class="b"><div class="c">x</div></div></div>', ".a .b .c", "x"),
+        ("<p>1 < 2 <b class='k'>a<!-- <i> -->b</b>", ".k", "ab"),
+        ('<b class="k" x="' + "y=" * 20_000 + '">long</b>', ".k", "long"),
+        ("", ".k", None),
+    ]
+    for page, css, want in pages:
+        assert select(page, css) == want, (page[:80], css)
+
+
+def test_ranges_of_elements(apply):
+    """Elements lie inside each other as a stack of open tags says."""
+    page = "<div><p>a<p>b<br><span>c</div><i>d"
+    def shown(h):
+        elements = H.tokens(h)["elements"]
+        return F.array_join(F.transform(elements, lambda e: F.concat_ws(":", e["name"], e["open"], e["close"], e["after"])), " ")
+
+    assert apply(shown, [page]) == ["div:0:5:6 p:1:2:2 br:3:3:4"]
+
+
 def classes(spark, *pages):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i INT, html STRING")
     return [r.page_class for r in E.classify_pages(df).orderBy("i").collect()]

@@ -1,5 +1,8 @@
 """Files in four encodings, headers, batches and sinks."""
 
+import csv
+import io
+import random
 from datetime import datetime
 
 import pytest
@@ -70,6 +73,101 @@ def test_rows_of_split_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_what_a_line_does_to_quotes(apply):
+    """Each line's effect against a reader that goes over its characters."""
+
+    def after(line, inside):
+        cell = "quoted" if inside else "start"
+        i = 0
+        while i < len(line):
+            c = line[i]
+            if cell == "quoted" and c == '"':
+                if line[i + 1 : i + 2] == '"':
+                    i += 1
+                else:
+                    cell = "bare"
+            elif cell != "quoted" and c == ",":
+                cell = "start"
+            elif cell == "start":
+                cell = "quoted" if c == '"' else "bare"
+            i += 1
+        return cell == "quoted"
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choice('a,""') for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    lines += ['5" pipe,x', 'a "b",c', "x" * 50_000 + '"', '"' + '""' * 50_000]
+    names = {(True, True): "1", (False, False): "0", (True, False): "-1", (False, True): None}
+    got = apply(lambda line: L._effect(line).cast("string"), lines)
+    want = [names[after(t, False), after(t, True)] for t in lines]
+    # without quotes nothing changes, whichever way a bare cell would end
+    assert [(g, t) for g, t in zip(got, lines)] == [(w, t) for w, t in zip(want, lines)]
+
+
+def quoted_file(n):
+    rng = random.Random(4)
+    cells = ["plain", 'a "b"', "two\nlines", 'x,\n\n"y"\n,z', "5\" pipe", "", "é" * 9]
+    rows = [(f"k{i}", rng.choice(cells)) for i in range(n)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([("name", "address"), *rows])
+    return rows, out.getvalue()
+
+
+@pytest.mark.parametrize("size", ["400", "2777", "100000000"])
+def test_quoted_breaks_in_split_files(spark, tmp_path, size):
+    """Wherever a file is cut, its rows are those of one read."""
+    rows, text = quoted_file(800)
+    (tmp_path / "one.csv").write_bytes(text.encode())
+    (tmp_path / "two.csv").write_bytes(b"name,city\n\na,b\n  \nc,d")
+    (tmp_path / "three.csv").write_bytes(text.replace("\n", "\r\n").encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = L.stored_lines(L.file_lines(spark.read, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    if size != "100000000":
+        assert lines.where("source_file LIKE '%one.csv'").select("block").distinct().count() > 4
+    found = L.listings_of(lines).collect()
+    for name in ("one", "three"):
+        got = {r.row_no: (r.name, r.address) for r in found if r.source_file.endswith(f"{name}.csv")}
+        assert got == dict(enumerate(rows, 1))
+    two = [(r.row_no, r.name, r.city) for r in found if r.source_file.endswith("two.csv")]
+    assert sorted(two) == [(1, "a", "b"), (2, "c", "d")]
+
+
+def test_reading_twice_with_other_splits_makes_the_same_rows(spark, tmp_path):
+    lines = [f"k{i},c\n" + "\n" * (i % 97 == 0) for i in range(1, 2001)]
+    (tmp_path / "big.csv").write_text("name,city\n" + "".join(lines))
+    made = []
+    for size in ("1500", "9000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            df = L.read_listings(spark, str(tmp_path))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        made.append(sorted((r.row_no, r.name) for r in df.collect()))
+    assert made[0] == made[1] == [(i, f"k{i}") for i in range(1, 2001)]
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "none.csv").write_bytes(b"")
+    (tmp_path / "head.csv").write_bytes(b"\xef\xbb\xbfname")
+    assert L.read_listings(spark, str(tmp_path)).collect() == []
+    rows = L.profile_files(spark, str(tmp_path)).collect()
+    assert [(r.path[-8:], r.bytes, r.bom, r.encoding, r.first_bytes) for r in rows] == [
+        ("head.csv", 7, True, "utf-8", "efbbbf6e616d65")
+    ]
+
+
+def test_other_encodings_are_refused(spark, folder):
+    with pytest.raises(ValueError):
+        L.read_listings(spark, folder, encoding="utf-16")
+    assert L.read_listings(spark, folder, encoding="latin-1").where("name = 'BÃ¤ckerei MÃ¼ller'").count() == 1
+
+
 def test_one_job_per_row_and_the_same_ids_again(spark, folder):
     made = [
         {r.job_id for r in L.create_batch(L.read_listings(spark, folder), F.current_timestamp()).collect()}
