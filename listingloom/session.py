@@ -63,11 +63,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     handle.getFileSystem(spark._jsc.hadoopConfiguration()).delete(handle, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a result below the shared folder and read it back: computed once, lineage cut."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a result below the shared folder and read it back: computed once, lineage cut.
+
+    ``options`` are those of the Parquet writer, such as ``compression``."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
