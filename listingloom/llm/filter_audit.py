@@ -7,11 +7,11 @@ which labelled documents it costs.
 
 A and B are read off a sparse document-term matrix. Scan tasks cut the documents into
 shards of bounded size and write each as a CSR matrix over the shard's own words. The
-words of all shards make the global dictionary, one number for each different word, and a
-join by word gives every shard the numbers of its words; its columns are then those of the
-global matrix. Row sums are word counts, nonzero counts are counts of different words. A
-shard carries id, part, the other flags and the text's digest of its rows, so that no text
-is read twice or shuffled.
+words of all shards are dealt out by hash and sorted, which numbers every different word
+once for the whole table; the numbers go back to the shards, whose columns are then those of
+the global matrix. Row sums are word counts, nonzero counts are counts of different words.
+A shard carries id, part, the other flags and the text's digest of its rows, so that no
+text is read twice or shuffled.
 
 A missing text is an empty one: it fails A alone, and E if a smaller id has an empty text.
 A missing part is the empty string. A missing id is neither smaller nor larger than any
@@ -23,12 +23,15 @@ no parts and gives no rows. Only the named columns are read, whatever else there
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,32 +44,40 @@ BIT = {letter: 1 << place for place, letter in enumerate(FILTERS)}
 MIN_WORDS = 200
 DISTINCT_PERCENT = 50
 CAPITALS_PERCENT = 2
-MARKUP = "[#$%&*|]"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKUP = b"#$%&*|"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Bytes of UTF-8 that begin no character.
+CONTINUED = bytes(range(0x80, 0xC0))
 
 # A shard is closed when it has so much text or so many documents.
-SHARD_BYTES = 8 << 20
-SHARD_ROWS = 1 << 14
+SHARD_BYTES = 32 << 20
+SHARD_ROWS = 1 << 16
+# Words that a task numbers, on average; tasks are no more than this.
+WORDS_A_TASK = 1 << 19
+MOST_TASKS = 1 << 16
 # Rows without an id are spread over so many keys, as none of them has a label.
 NO_ID_KEYS = 1024
 
 ROW = "STRUCT<doc_id LONG, part STRING, digest BINARY, mask INT>"
-SHARDS = f"shard LONG, docs ARRAY<{ROW}>, indptr BINARY, indices BINARY, counts BINARY, words ARRAY<BINARY>"
+MATRIX = f"shard LONG, docs ARRAY<{ROW}>, indptr BINARY, indices BINARY, counts BINARY"
+SHARDS = f"{MATRIX}, words ARRAY<BINARY>"
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """What the text alone tells in SQL: digest and the flags C and D, and the text's bytes."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    capitals = F.length(text) - F.length(F.translate(text, CAPITALS, ""))
-    mask = F.when(capitals * 100 > F.length(text) * CAPITALS_PERCENT, BIT["C"]).otherwise(0)
-    mask = mask + F.when(text.rlike(MARKUP), BIT["D"]).otherwise(0)
-    row = F.struct(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
-        F.unhex(F.sha2(text, 256)).alias("digest"),
-        mask.alias("mask"),
-    )
-    return docs.select(row.alias("doc"), text.cast("binary").alias("text"))
+def text_mask(text: bytes) -> int:
+    """The failures of C and D, which the text alone tells."""
+    capitals = len(text) - len(text.translate(None, CAPITALS))
+    characters = len(text.translate(None, CONTINUED))
+    mask = BIT["C"] if 100 * capitals > CAPITALS_PERCENT * characters else 0
+    return mask | (BIT["D"] if len(text.translate(None, MARKUP)) < len(text) else 0)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes."""
+    return zstandard.compress(numbers.tobytes(), 1)
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
 
 
 class Shard:
@@ -78,6 +89,8 @@ class Shard:
         self.vocabulary.default_factory = self.vocabulary.__len__
         self.indptr, self.indices, self.counts = [0], [], []
         self.docs: list[pa.Array] = []
+        self.digests: list[bytes] = []
+        self.masks: list[int] = []
         self.size = 0
 
     def add(self, text: bytes) -> None:
@@ -89,31 +102,37 @@ class Shard:
         self.indices.append(columns.astype(np.int32))
         self.counts.append(counts.astype(np.int32))
         self.indptr.append(self.indptr[-1] + len(columns))
+        self.digests.append(hashlib.sha256(text).digest())
+        self.masks.append(text_mask(text))
         self.size += len(text)
 
     def full(self) -> bool:
         return self.size >= self.most_bytes or len(self.indptr) > self.most_rows
 
     def record(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
-        docs = pa.concat_arrays(self.docs)
+        given = pa.concat_arrays(self.docs)
+        row = schema.field("docs").type.value_type
+        values = [*given.flatten(), pa.array(self.digests, pa.binary()), pa.array(self.masks, pa.int32())]
+        docs = pa.StructArray.from_arrays(values, fields=list(row))
         columns = [
             pa.array([number], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-            pa.array([np.array(self.indptr, np.int64).tobytes()], pa.binary()),
-            pa.array([np.concatenate(self.indices).tobytes()], pa.binary()),
-            pa.array([np.concatenate(self.counts).tobytes()], pa.binary()),
+            pa.array([pack(np.array(self.indptr, np.int64))], pa.binary()),
+            pa.array([pack(np.concatenate(self.indices))], pa.binary()),
+            pa.array([pack(np.concatenate(self.counts))], pa.binary()),
             pa.array([list(self.vocabulary)], pa.list_(pa.binary())),
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def local_shards(
-    docs: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES
-) -> DataFrame:
-    """CSR shards over their own words, from rows of ``doc`` and ``text``."""
-    row = pa.struct(
-        [("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("mask", pa.int32())]
-    )
+    docs: DataFrame, id_col: str, text_col: str, part_col: str,
+    shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """CSR shards over their own words. ``indptr`` are packed 64-bit numbers, ``indices``
+    and ``counts`` 32-bit ones."""
+    given = pa.struct([("doc_id", pa.int64()), ("part", pa.string())])
+    row = pa.struct([*given, ("digest", pa.binary()), ("mask", pa.int32())])
     schema = pa.schema(
         [("shard", pa.int64()), ("docs", pa.list_(row)), ("indptr", pa.binary()),
          ("indices", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.binary()))]
@@ -123,7 +142,7 @@ def local_shards(
         number = TaskContext.get().partitionId() << 32
         shard = Shard(shard_rows, shard_bytes)
         for part in parts:
-            rows, start = part.column(0).cast(row), 0
+            rows, start = part.column(0).cast(given), 0
             for place, text in enumerate(part.column(1)):
                 shard.add(text.as_py())
                 if shard.full() or place == part.num_rows - 1:
@@ -135,45 +154,73 @@ def local_shards(
         if shard.docs:
             yield shard.record(number, schema)
 
-    return stored(docs.mapInArrow(cut, SHARDS), "csr-shards")
-
-
-def dictionary(shards: DataFrame) -> DataFrame:
-    """Every different word of the shards with a number of its own."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    return stored(words.withColumn("term", F.monotonically_increasing_id()), "dictionary")
+    doc = F.struct(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
+    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(doc.alias("doc"), text.alias("text"))
+    return stored(rows.mapInArrow(cut, SHARDS), "csr-shards")
 
 
-def document_term_matrix(shards: DataFrame, terms: DataFrame) -> DataFrame:
-    """The shards with global columns: shard, docs, indptr, indices, counts.
+def numbered(words: DataFrame, tasks: int) -> DataFrame:
+    """Rows with ``word`` instead of which they get ``term``, its number.
 
-    ``indptr`` and ``indices`` are packed 64-bit, ``counts`` packed 32-bit numbers; a
-    row's columns are in the order of the shard's words.
+    A word's number is made of the task its hash deals it to and of its place among the
+    different words there, in order; it is the same whenever it is asked for.
     """
-    coded = (
-        shards.select("shard", F.posexplode("words").alias("place", "word"))
-        .join(terms, "word")
-        .groupBy("shard")
-        # a shard's words, which its size bounds
-        .agg(F.collect_list("place").alias("places"), F.collect_list("term").alias("terms"))
-    )
-    schema = "shard LONG, docs ARRAY<" + ROW + ">, indptr BINARY, indices BINARY, counts BINARY"
+    others = [c for c in words.columns if c != "word"]
 
-    def recode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, last = (TaskContext.get().partitionId() << 40) - 1, None
         for part in parts:
-            made = []
-            local, places, terms = (part.column(part.schema.get_field_index(c)) for c in ("indices", "places", "terms"))
-            for k in range(part.num_rows):
-                columns = np.frombuffer(local[k].as_py(), np.int32)
-                numbers = np.empty(int(columns.max(initial=-1)) + 1, np.int64)
-                if len(numbers):
-                    numbers[places[k].values.to_numpy()] = terms[k].values.to_numpy()
-                made.append(numbers[columns].tobytes())
-            columns = [part.column(0), part.column(1), part.column(2), pa.array(made, pa.binary()), part.column(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "indptr", "indices", "counts"])
-
-    local = shards.select("shard", "docs", "indptr", "indices", "counts")
-    return local.join(coded, "shard", "left").mapInArrow(recode, schema)
+            if not part.num_rows:
+                continue
+            word = part.column(part.schema.get_field_index("word"))
+            fresh = np.ones(part.num_rows, np.int64)
+            fresh[0] = word[0].as_py() != last
+            fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            terms = term + np.cumsum(fresh)
+            term, last = int(terms[-1]), word[-1].as_py()
+            columns = [part.column(part.schema.get_field_index(c)) for c in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(terms)], names=[*others, "term"])
+
+    types = {f.name: f.dataType.simpleString() for f in words.schema}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in others), "term LONG"])
+    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(number, schema)
+
+
+def tasks_for(shards: DataFrame) -> int:
+    """How many tasks number the words."""
+    words = shards.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    return min(MOST_TASKS, 1 + words // WORDS_A_TASK)
+
+
+def dictionary(shards: DataFrame, tasks: int) -> DataFrame:
+    """``term`` and ``spelling`` of every different word of the shards."""
+    words = shards.select(F.explode("words").alias("word")).distinct()
+    return numbered(words.withColumn("spelling", F.col("word")), tasks)
+
+
+def document_term_matrix(shards: DataFrame, tasks: int) -> DataFrame:
+    """The shards with the columns of the whole table's matrix: shard, docs, indptr,
+    indices, counts; ``indices`` are packed 64-bit numbers now."""
+    coded = numbered(shards.select("shard", F.posexplode("words").alias("place", "word")), tasks)
+
+    def recode(local: pa.Table, terms: pa.Table) -> pa.Table:
+        numbers = np.empty(terms.num_rows, np.int64)
+        numbers[terms.column("place").to_numpy()] = terms.column("term").to_numpy()
+        made = [pack(numbers[unpack(i.as_py(), np.int32)]) for i in local.column("indices")]
+        columns = [local.column(c) for c in ("of_shard", "docs", "indptr", "indices", "counts")]
+        columns[3] = pa.array(made, pa.binary())
+        return pa.table(columns, names=["shard", "docs", "indptr", "indices", "counts"])
+
+    pieces = max(1, min(MOST_TASKS, shards.count()))
+    local = shards.select(F.col("shard").alias("of_shard"), "docs", "indptr", "indices", "counts")
+    both = local.repartition(pieces, "of_shard").groupBy("of_shard").cogroup(
+        coded.repartition(pieces, "shard").groupBy("shard")
+    )
+    return both.applyInArrow(recode, MATRIX)
 
 
 def row_figures(matrix: DataFrame) -> DataFrame:
@@ -184,8 +231,8 @@ def row_figures(matrix: DataFrame) -> DataFrame:
         for part in parts:
             docs, indptr, counts = (part.column(part.schema.get_field_index(c)) for c in ("docs", "indptr", "counts"))
             for k in range(part.num_rows):
-                ends = np.frombuffer(indptr[k].as_py(), np.int64)
-                total = np.concatenate([[0], np.cumsum(np.frombuffer(counts[k].as_py(), np.int32), dtype=np.int64)])
+                ends = unpack(indptr[k].as_py(), np.int64)
+                total = np.concatenate([[0], np.cumsum(unpack(counts[k].as_py(), np.int32), dtype=np.int64)])
                 columns = [docs[k].values, pa.array(np.diff(total[ends])), pa.array(np.diff(ends))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_distinct"])
 
@@ -194,8 +241,8 @@ def row_figures(matrix: DataFrame) -> DataFrame:
 
 def failures(docs: DataFrame, id_col: str, text_col: str, part_col: str, **sizes) -> DataFrame:
     """Documents with their failures of A to D: doc_id, part, digest, mask, n rows alike."""
-    shards = local_shards(described(docs, id_col, text_col, part_col), **sizes)
-    figures = row_figures(document_term_matrix(shards, dictionary(shards)))
+    shards = local_shards(docs, id_col, text_col, part_col, **sizes)
+    figures = row_figures(document_term_matrix(shards, tasks_for(shards)))
     few = F.when(F.col("n_words") < MIN_WORDS, BIT["A"]).otherwise(0)
     alike = F.col("n_distinct") * 100 < F.col("n_words") * DISTINCT_PERCENT
     mask = F.col("doc.mask") + few + F.when(alike, BIT["B"]).otherwise(0)

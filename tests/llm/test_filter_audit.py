@@ -96,16 +96,16 @@ def test_matrix_is_the_term_counts(spark):
     """Global columns: the same word has the same number in every shard."""
     docs, _ = some_docs(60)
     given = spark.createDataFrame(docs, "doc_id LONG, text STRING, source STRING").repartition(4)
-    described = filter_audit.described(given, "doc_id", "text", "source")
-    shards = filter_audit.local_shards(described, shard_rows=5)
-    terms = filter_audit.dictionary(shards)
-    matrix = filter_audit.document_term_matrix(shards, terms).collect()
-    word = {r.term: bytes(r.word) for r in terms.collect()}
+    shards = filter_audit.local_shards(given, "doc_id", "text", "source", shard_rows=5)
+    terms = filter_audit.dictionary(shards, 3)
+    matrix = filter_audit.document_term_matrix(shards, 3).collect()
+    word = {r.term: bytes(r.spelling) for r in terms.collect()}
     assert len(matrix) > 4 and len(set(word.values())) == len(word)
     found = []
     for shard in matrix:
-        ends = np.frombuffer(shard.indptr, np.int64)
-        columns, counts = np.frombuffer(shard.indices, np.int64), np.frombuffer(shard.counts, np.int32)
+        ends = filter_audit.unpack(shard.indptr, np.int64)
+        columns = filter_audit.unpack(shard.indices, np.int64)
+        counts = filter_audit.unpack(shard.counts, np.int32)
         for k, doc in enumerate(shard.docs):
             row = range(ends[k], ends[k + 1])
             found.append((bytes(doc.digest), sorted((word[columns[j]], int(counts[j])) for j in row)))
