@@ -32,6 +32,8 @@ SPARE = 4  # a sequence with at most this many free places is done
 FAN_IN = 8
 TASK_ITEMS = 50_000
 TOKENIZER = "byte_bpe_50k"
+# The vocabulary's added token, which only ``tokenizers`` knows in a text.
+ADDED = "<|endoftext|>"
 
 MEMBER = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
 BINS = f"bin_id BIGINT, used INT, done BOOLEAN, members ARRAY<STRUCT<{MEMBER}>>"
@@ -49,8 +51,8 @@ class Encoder:
     """Ids of the byte-level vocabulary, from its ranks file.
 
     The ranks give the ids of the vocabulary's ``tokenizers`` file at a fifth of its CPU
-    time. Texts that the faster library refuses (white space in very long runs) go
-    through ``tokenizers``.
+    time. Texts that the faster library refuses (white space in very long runs) and those
+    that hold the added token go through ``tokenizers``.
     """
 
     def __init__(self, name: str = TOKENIZER) -> None:
@@ -69,6 +71,8 @@ class Encoder:
         self.exact = None
 
     def __call__(self, text: str) -> np.ndarray:
+        if ADDED in text:
+            return self.slow(text)
         try:
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         except ValueError:
@@ -82,7 +86,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.exact = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
-            self.exact.encode_special_tokens = True
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
