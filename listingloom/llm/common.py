@@ -26,6 +26,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def learnable(id_col: str = "doc_id") -> Column:
     """Rows whose labels may be learnt from; the others are held out."""
     return ~held_out(id_col)

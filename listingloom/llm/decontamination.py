@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import batches, rows, texts
+from listingloom.llm.common import batches, free_names, rows, texts
 from listingloom.session import stored
 
 SHINGLE_WORDS = 5
@@ -243,15 +243,21 @@ def benchmark_hits(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+    """``docs`` without the documents that hold a benchmark item.
+
+    Missing and empty texts hold none and stay; rows that repeat go or stay together, as do
+    rows without an id of the same text. Very long texts are searched whole. All columns
+    stay as they are, whatever their names; an empty table stays empty.
+    """
+    text_hash, hit_id, hit_hash = free_names(docs, "_text_hash", "_hit_id", "_hit_hash")
     gone = stored(
         benchmark_hits(docs, benchmark, id_col, text_col, **options)
-        .select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"))
+        .select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash))
         .distinct(),
         "contaminated",
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same_row = F.col(id_col).cast("long").eqNullSafe(F.col("_hit_id")) & (
-        F.col("_text_hash") == F.col("_hit_hash")
+    same_row = F.col(id_col).cast("long").eqNullSafe(F.col(hit_id)) & (
+        F.col(text_hash) == F.col(hit_hash)
     )
-    return docs.withColumn("_text_hash", F.xxhash64(text)).join(gone, same_row, "left_anti").drop("_text_hash")
+    return docs.withColumn(text_hash, F.xxhash64(text)).join(gone, same_row, "left_anti").drop(text_hash)

@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from listingloom.llm.common import batches, rows, texts
+from listingloom.llm.common import batches, free_names, rows, texts
 from listingloom.session import scratch_folder
 
 # Directory slots are numbered in the plan and on the driver, hence the bound.
 MAX_DEPTH = 16
 BUCKET_ENTRIES = 4096
+NO_TEXT = "_no_text"
 BUCKET_BYTES = 16 << 20
 
 ENTRY = "bucket INT, key LONG, text STRING, top_id LONG, n LONG"
@@ -125,7 +126,8 @@ def build_index(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     others = [F.col(c) for c in docs.columns if c != text_col]
-    row = [F.struct(*others, F.col(text_col).isNull().alias("_no_text")).alias("row")] if carry else []
+    (no_text,) = free_names(docs, NO_TEXT)
+    row = [F.struct(*others, F.col(text_col).isNull().alias(no_text)).alias("row")] if carry else []
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text, key_bits).alias("key"), *row
     )
@@ -231,10 +233,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row per distinct text, the one with the largest id.
 
     The rows come out of the index, which carries the other columns of each text's last
-    row, so that texts are shuffled once and joined with nothing.
+    row, so that texts are shuffled once and joined with nothing. Missing texts count as
+    empty and missing ids as smaller than any other; of rows that tie one stays. All columns
+    stay as they are, whatever their names; an empty table stays empty.
     """
     index = build_index(docs, id_col, text_col, carry=True)
-    text = F.when(~F.col("row._no_text"), F.col("text")).cast(docs.schema[text_col].dataType)
+    (no_text,) = free_names(docs, NO_TEXT)
+    text = F.when(~F.col(f"row.{no_text}"), F.col("text")).cast(docs.schema[text_col].dataType)
     return index.select(
         *(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
     )

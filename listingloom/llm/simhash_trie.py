@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import rows, texts
+from listingloom.llm.common import free_names, rows, texts
 from listingloom.llm.components import connected_components
 from listingloom.session import stored
 
@@ -261,8 +261,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each group of near copies, the one with the smallest id.
 
     A document is known by its id and the hash of its text, so missing or repeated ids do
-    not pull other documents along.
+    not pull other documents along; a row without an id stays only where no row of its group
+    has one. Missing and empty texts have fingerprint zero and are near copies of each other.
+    Rows that repeat are one document. Very long texts are read whole. All columns stay as
+    they are, whatever their names; an empty table stays empty.
     """
+    text_hash, near_id, near_hash = free_names(docs, "_text_hash", "_near_id", "_near_hash")
     groups = stored(near_groups(docs, id_col, text_col), "near-groups")
     leaders = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
@@ -273,16 +277,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = groups.join(leaders, "root").withColumn("leads", leads)
     gone = stored(
         placed.filter(~F.col("leads"))
-        .select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"))
+        .select(F.col("doc_id").alias(near_id), F.col("text_hash").alias(near_hash))
         .distinct(),
         "near-copies",
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same_row = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (
-        F.col("_text_hash") == F.col("_near_hash")
+    same_row = F.col(id_col).cast("long").eqNullSafe(F.col(near_id)) & (
+        F.col(text_hash) == F.col(near_hash)
     )
-    left = docs.withColumn("_text_hash", F.xxhash64(text)).join(gone, same_row, "left_anti")
+    left = docs.withColumn(text_hash, F.xxhash64(text)).join(gone, same_row, "left_anti")
     led = placed.filter("leads").groupBy("root").count().filter("count > 1")
     if not led.isEmpty():  # the same id and text in several rows
-        left = left.dropDuplicates([id_col, "_text_hash"])
-    return left.drop("_text_hash")
+        left = left.dropDuplicates([id_col, text_hash])
+    return left.drop(text_hash)
