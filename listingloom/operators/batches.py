@@ -230,6 +230,64 @@ def result_envelopes(jobs: DataFrame, job_results: DataFrame) -> DataFrame:
     )
 
 
+# Fields of a result and of the record in it, as they are called in documents.
+ORIGINAL_FIELDS = ["name", "address", "city", "postal_code"]
+
+
+def result_payloads(jobs: DataFrame, job_results: DataFrame) -> DataFrame:
+    """``batch_id, index, job_id, result``: every entry of every batch's result list.
+
+    ``jobs`` has the listing's columns, ``job_results`` a struct ``scraped``, null where a
+    run left no record. A result holds the listing (``originalData``), the record
+    (``scrapedData``, null for failed jobs) and how it came about. Completed jobs stand
+    before failed ones, oldest first; positions are numbered in slices.
+    """
+    scraped = job_results.select("job_id", "scraped")
+    rows = job_result_rows(jobs, job_results).where("is_result").join(scraped, "job_id", "left")
+    completed = F.col("state") == "completed"
+    result = F.struct(
+        F.col("job_id").alias("jobId"),
+        F.struct(*ORIGINAL_FIELDS).alias("originalData"),
+        F.when(completed, F.col("scraped")).alias("scrapedData"),
+        F.col("processing_ms").alias("processingTime"),
+        iso_utc(F.col("result_at")).alias("processedAt"),
+        F.col("worker").alias("worker"),
+        F.col("error").alias("error"),
+    )
+    listed = rows.select("batch_id", "job_id", (~completed).alias("_failed"), "created_at", result.alias("result"))
+    order = [F.col("_failed"), F.col("created_at"), F.col("job_id")]
+    return position_in_group(listed, ["batch_id"], order, "index").select(
+        "batch_id", F.col("index").cast("long").alias("index"), "job_id", "result"
+    )
+
+
+def document_lines(jobs: DataFrame, job_results: DataFrame) -> DataFrame:
+    """``batch_id, seq, value``: the lines of every batch's JSON document, in order of ``seq``.
+
+    A document's head and foot are a line each, every result is a line of its own, so that
+    no document is ever in one place.
+    """
+    head = F.struct(F.col("batch_id").alias("batchId"), "status", "progress", "timing")
+    foot = F.concat(F.lit('],"summary":'), F.to_json("summary"), F.lit("}"))
+    ends = F.array(
+        F.struct(
+            F.lit(-1).cast("long").alias("seq"),
+            F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"results":[')).alias("value"),
+        ),
+        F.struct(F.lit((1 << 63) - 1).alias("seq"), foot.alias("value")),
+    )
+    documents = batch_documents(jobs, job_results).select("batch_id", F.inline(ends))
+    entry = F.struct("index", "result.*")
+    entries = result_payloads(jobs, job_results).select(
+        "batch_id",
+        F.col("index").alias("seq"),
+        F.concat(
+            F.when(F.col("index") > 0, ",").otherwise(""), F.to_json(entry, {"ignoreNullFields": "false"})
+        ).alias("value"),
+    )
+    return documents.unionByName(entries)
+
+
 def envelope_of_run(attempts: DataFrame) -> DataFrame:
     """Result of one run: ``started_at`` and ``ended_at`` give the processing time."""
     return attempts.select(

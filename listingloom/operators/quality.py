@@ -120,6 +120,38 @@ def recommendations(export: DataFrame) -> DataFrame:
     return profile.select(F.inline(F.array_compact(F.array(*rows))))
 
 
+# The lines under each piece of advice.
+ADVICE = [
+    [
+        "1. Adding full addresses to CSV",
+        "2. Verifying business names match Google Maps exactly",
+        "3. Adding postal codes for better geolocation",
+    ],
+    [
+        "- Businesses are new",
+        "- Businesses don't have Google reviews",
+        "Consider: Manual verification of a few cases",
+    ],
+    ["Action: Check normalizeDayNames() function"],
+    [
+        "Possible causes:",
+        "- Google Maps page structure changed",
+        "- Selectors need updating",
+        "Action: Check Docker logs for specific errors",
+    ],
+]
+
+
+def recommendation_lines(export: DataFrame) -> DataFrame:
+    """The advice of each rule that fires with its lines: ``rule_no, line_no, line``; the
+    headline is line 0."""
+    lines = F.get(F.lit(ADVICE), F.col("rule_no") - 1)
+    return recommendations(export).select(
+        "rule_no",
+        F.posexplode(F.concat(F.array("recommendation"), lines)).alias("line_no", "line"),
+    )
+
+
 def success_grade(export: DataFrame) -> DataFrame:
     """Success rate in percent and its grade."""
     rate = F.try_divide(F.count_if(_success()), F.count(F.lit(1))) * 100

@@ -18,11 +18,13 @@ from listingloom.operators import batches as B
 from listingloom.operators import extract as E
 from listingloom.operators import places as P
 from listingloom.operators import quality as Q
-from listingloom.plans.views import JOB_EVENTS, table, view
+from listingloom.plans.views import EVENT_RESULTS, JOB_EVENTS, table, view
 from listingloom.session import prepare_session, scratch_folder
+from listingloom.operators.ordering import position_in_group
+from listingloom.sources import captures, sinks
 from listingloom.sources import listings as L
-from listingloom.sources import sinks
 from listingloom.streaming import jobs as S
+from listingloom.streaming import tracker as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -418,6 +420,25 @@ def _jobs_and_captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     return jobs, captures
 
 
+@query
+def shared_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of business pages that were shared by address."""
+    shared = F.concat_ws("", F.lit("https://maps.example.org/s/@"), "lat_text", F.lit(","), "lng_text", F.lit(",15z"))
+    captures = view(spark, d, "captures").withColumn("share_url", shared)
+    found = E.business_records(captures).where("record IS NOT NULL")
+    return found.select("job_id", "rank", "record.coordinates.latitude", "record.coordinates.longitude")
+
+
+@query
+def capture_store(spark: SparkSession, d: str) -> DataFrame:
+    """Captures kept as Parquet, read back."""
+    folder = scratch_folder(spark, "captures")
+    view(spark, d, "captures").select("job_id", "rank", "url", "html").write.parquet(folder)
+    return captures.load_captures(spark, folder).select(
+        "job_id", "rank", "url", F.length("html").cast("long").alias("characters")
+    )
+
+
 @query
 def first_success(spark: SparkSession, d: str) -> DataFrame:
     jobs, captures = _jobs_and_captures(spark, d)
@@ -561,6 +582,50 @@ def result_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return B.result_envelopes(view(spark, d, "jobs"), view(spark, d, "job_results"))
 
 
+def _jobs_and_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs with their listing, and results with the record of the run."""
+    data = view(spark, d, "job_data")
+    jobs = view(spark, d, "jobs").join(data.select("job_id", *B.ORIGINAL_FIELDS), "job_id")
+    scraped = F.struct(
+        F.col("full_name").alias("fullName"), "rating", F.col("reviews_count").alias("reviewsCount"), "website"
+    )
+    records = data.where("has_record").select("job_id", scraped.alias("scraped"))
+    return jobs, view(spark, d, "job_results").join(records, "job_id", "left")
+
+
+def _flat_result(row: str) -> list[Column]:
+    return [
+        F.col(f"{row}originalData.name").alias("name"), F.col(f"{row}originalData.city").alias("city"),
+        F.col(f"{row}originalData.postal_code").alias("postal_code"),
+        F.col(f"{row}scrapedData.fullName").alias("full_name"), F.col(f"{row}scrapedData.website").alias("website"),
+        F.col(f"{row}processingTime").alias("processing_ms"), F.col(f"{row}processedAt").alias("processed_at"),
+        F.col(f"{row}worker").alias("worker"), F.col(f"{row}error").alias("error"),
+    ]
+
+
+@query
+def result_payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = B.result_payloads(*_jobs_and_records(spark, d))
+    return rows.select("batch_id", "index", "job_id", *_flat_result("result."))
+
+
+@query
+def batch_document_results(spark: SparkSession, d: str) -> DataFrame:
+    """The result lists of the batch documents, read back from their files."""
+    folder = scratch_folder(spark, "documents")
+    lines = B.document_lines(*_jobs_and_records(spark, d))
+    sinks.write_document_lines(lines, folder)
+    entry = (
+        "index LONG, jobId STRING, originalData STRUCT<name STRING, city STRING, postal_code STRING>, "
+        "scrapedData STRUCT<fullName STRING, website STRING>, processingTime LONG, processedAt STRING, "
+        "worker STRING, error STRING"
+    )
+    read = spark.read.schema("value STRING, batch_id STRING").text(folder)
+    entries = read.where(F.ltrim(F.col("value"), F.lit(",")).startswith('{"index":'))
+    parsed = entries.select("batch_id", F.from_json(F.ltrim(F.col("value"), F.lit(",")), entry).alias("r"))
+    return parsed.select("batch_id", "r.index", F.col("r.jobId").alias("job_id"), *_flat_result("r."))
+
+
 @query
 def run_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return B.envelope_of_run(view(spark, d, "runs"))
@@ -603,6 +668,24 @@ def worker_health(spark: SparkSession, d: str) -> DataFrame:
     return B.worker_health(view(spark, d, "jobs"), _at(AS_OF))
 
 
+@query
+def worker_health_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Health of all jobs, of jobs that only wait, and of jobs of which most have failed."""
+    jobs = view(spark, d, "jobs")
+    cases = {
+        "all": jobs,
+        "idle": jobs.where("state = 'waiting'"),
+        "failing": jobs.where("state IN ('active', 'failed')"),
+    }
+    found = [
+        B.worker_health(part, _at(AS_OF)).select(
+            F.lit(name).alias("of"), "status", "reason", "waiting", "active", "completed", "failed"
+        )
+        for name, part in cases.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # --- quality --------------------------------------------------------------------
 
 
@@ -633,6 +716,11 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return Q.recommendations(view(spark, d, "export"))
 
 
+@query
+def recommendation_lines(spark: SparkSession, d: str) -> DataFrame:
+    return Q.recommendation_lines(view(spark, d, "export"))
+
+
 @query
 def success_grade(spark: SparkSession, d: str) -> DataFrame:
     return Q.success_grade(view(spark, d, "export"))
@@ -698,8 +786,8 @@ def stalled_spells(spark: SparkSession, d: str) -> DataFrame:
     return _iso(spells, "stalled_at")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events file as a file stream."""
+def _event_stream(spark: SparkSession, d: str, sql: str = JOB_EVENTS) -> DataFrame:
+    """The events file as a file stream, through a view over it."""
     for key, value in S.STATE_STORE_CONF.items():
         spark.conf.set(key, value)
     raw = table(spark, d, "events")
@@ -708,7 +796,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     # the same projection as the view, over the stream
     name = f"events_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(name)
-    return spark.sql(JOB_EVENTS.format(events=name))
+    return spark.sql(sql.format(events=name))
 
 
 def _run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
@@ -773,6 +861,45 @@ def stream_recent_activity(spark: SparkSession, d: str) -> DataFrame:
     return _iso(_latest(out, ["window_start", "window_end"]), "window_start", "window_end")
 
 
+@query
+def stream_completions(spark: SparkSession, d: str) -> DataFrame:
+    """Batches as they are completed; each comes out of the stream once."""
+    rows = K.completions(_event_stream(spark, d), _event_totals(spark, d))
+    return _run_stream(spark, rows, "completions", "update").drop("epoch")
+
+
+def _tracked(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    six_hours, for_ever = 6 * 3_600_000, 10**12
+    rows = K.track_jobs(_event_stream(spark, d), six_hours, for_ever).where(F.col("kind") == kind)
+    return _iso(_run_stream(spark, rows, kind, "update").drop("epoch", "kind"), "at")
+
+
+@query
+def stream_stalls(spark: SparkSession, d: str) -> DataFrame:
+    """Stalls by timers: those of the table whose moment the last watermark has passed."""
+    return _tracked(spark, d, "stall").select("batch_id", "job_id", F.col("at").alias("stalled_at"))
+
+
+@query
+def stream_first_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The first end of each job by event time, once, from the tracker."""
+    ends = _tracked(spark, d, "result")
+    return ends.select("batch_id", "job_id", F.col("state").alias("event"), F.col("at").alias("event_ts"))
+
+
+@query
+def stream_result_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of runs with listing and record, numbered inside their batch."""
+    results = _event_stream(spark, d, EVENT_RESULTS)
+    rows = K.result_payload_events(_event_stream(spark, d), results)
+    out = _run_stream(spark, rows, "payloads", "append")
+    listed = position_in_group(out, ["batch_id"], [F.col("event_ts"), F.col("job_id")], "index")
+    return _iso(listed, "event_ts").select(
+        "batch_id", F.col("index").cast("long").alias("index"), "job_id", "event", "event_ts", "has_result",
+        "name", "city", "full_name", "rating", "processing_ms",
+    )
+
+
 @query
 def stream_stalled_spells(spark: SparkSession, d: str) -> DataFrame:
     """Only spells that ended before the final watermark come out of the stream."""

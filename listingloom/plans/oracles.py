@@ -488,6 +488,10 @@ ORACLES |= {
         FROM (SELECT job_id, rank, {', '.join(_field(f) for f in ('found_name', 'full_address', 'rating', 'reviews_count', 'category'))},
               CASE WHEN {_BUSINESS} AND k % 5 <= 2 THEN {_OR(valid_phone('phone'))} ELSE '' END AS accepted FROM {CAPTURES} c) x
         WHERE concat(found_name, full_address, accepted, rating, reviews_count, category) <> ''""",
+    "shared_coordinates": f"""SELECT c.job_id, c.rank, CASE WHEN c.k % 5 = 4 THEN lat_text ELSE latitude END AS latitude,
+        CASE WHEN c.k % 5 = 4 THEN lng_text ELSE longitude END AS longitude
+        FROM {CAPTURES} c JOIN {_PAGE_FIELDS} f ON f.job_id = c.job_id AND f.rank = c.rank WHERE NOT (c.k % 6 IN (3, 4) AND c.rank = 1)""",
+    "capture_store": f"SELECT job_id, rank, url, length(html) AS characters FROM {CAPTURES} c",
     "first_success": f"SELECT * FROM {_FIRST_SUCCESS} s",
     "missing_places": f"""SELECT job_id, batch_id, name AS "originalName", address AS "originalAddress", city AS "originalCity", postal_code AS "originalPostalCode",
         {', '.join(f"'' AS \"{c}\"" for c in P.SCRAPED_COLUMNS[4:13])}, 'failed' AS status, {q(P.NOT_FOUND)} AS error
@@ -555,6 +559,13 @@ def _newest(value: str, state: str) -> str:
     return f"arg_max({value}, {{'t': processed_at, 'j': job_id}}) FILTER (state = '{state}' AND processed_at IS NOT NULL)"
 
 
+_STATE_COUNTS = ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in B.STATES)
+_PAYLOADS = f"""(SELECT r.batch_id, row_number() OVER (PARTITION BY r.batch_id ORDER BY r.state, r.created_at, r.job_id) - 1 AS index, r.job_id,
+    d.name, d.city, d.postal_code, CASE WHEN r.state = 'completed' AND d.has_record THEN d.full_name END AS full_name,
+    CASE WHEN r.state = 'completed' AND d.has_record THEN d.website END AS website,
+    r.processing_ms, {iso('r.result_at')} AS processed_at, r.worker, r.error
+    FROM {_ROWS} r JOIN {view_sql('job_data')} d ON d.job_id = r.job_id WHERE r.is_result)"""
+
 ORACLES |= {
     "queue_stats": "SELECT waiting, active, completed, failed, total FROM (SELECT count(*) AS total, "
     + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in B.STATES) + f" FROM {_LISTED} j) x",
@@ -568,6 +579,12 @@ ORACLES |= {
     "batch_documents": f"""SELECT batch_id, status, total, completed, failed, percentage, {iso('first')} AS "createdAt", {iso('last')} AS "lastProcessedAt",
         {_ETA} AS "estimatedTimeRemaining", ok AS "successfulScrapes", bad AS "failedScrapes" FROM {_BATCHES} b""",
     "result_envelopes": f"SELECT batch_id, job_id, scraped_status, error, processing_ms, {iso('result_at')} AS processed_at, worker FROM {_ROWS} r WHERE is_result",
+    "result_payloads": f"SELECT * FROM {_PAYLOADS} p",
+    "batch_document_results": f"SELECT * FROM {_PAYLOADS} p",
+    "worker_health_cases": " UNION ALL ".join(
+        f"""SELECT {q(of)} AS of, {q(verdict[0])} AS status, {q(verdict[1])} AS reason, {_STATE_COUNTS} FROM {JOBS} j WHERE {test}"""
+        for of, test, verdict in (("all", "true", B.HEALTHY), ("idle", "state = 'waiting'", B.OFFLINE), ("failing", "state IN ('active', 'failed')", B.FAILING))
+    ),
     "run_envelopes": f"SELECT job_id, batch_id, scraped_status, epoch_ms(ended_at) - epoch_ms(started_at) AS processing_ms, {iso('ended_at')} AS processed_at, error, worker FROM {RUNS} r",
     "retention": _kept(B.QUEUE_KEEP),
     "worker_retention": _kept(B.WORKER_KEEP),
@@ -607,6 +624,13 @@ _RULES = [
     ("partial > 5", "Many partial successes (coordinates only)"),
 ]
 
+_ADVICE = [
+    ["1. Adding full addresses to CSV", "2. Verifying business names match Google Maps exactly", "3. Adding postal codes for better geolocation"],
+    ["- Businesses are new", "- Businesses don't have Google reviews", "Consider: Manual verification of a few cases"],
+    ["Action: Check normalizeDayNames() function"],
+    ["Possible causes:", "- Google Maps page structure changed", "- Selectors need updating", "Action: Check Docker logs for specific errors"],
+]
+
 
 def _list(kind: str, test: str) -> str:
     return f"""SELECT job_id, '{kind}' AS problem, CASE WHEN "Name" = '' THEN '(no name)' ELSE "Name" END AS name,
@@ -627,6 +651,10 @@ ORACLES |= {
     "recommendations": " UNION ALL ".join(
         f"SELECT {i} AS rule_no, {q(text)} AS recommendation FROM {_PROFILE} p WHERE {test}" for i, (test, text) in enumerate(_RULES, start=1)
     ),
+    "recommendation_lines": " UNION ALL ".join(
+        f"SELECT {i} AS rule_no, {n} AS line_no, {q(line)} AS line FROM {_PROFILE} p WHERE {test}"
+        for i, ((test, text), more) in enumerate(zip(_RULES, _ADVICE), start=1) for n, line in enumerate([text, *more])
+    ),
     "success_grade": f"SELECT success_rate, CASE WHEN success_rate >= 70 THEN 'Good' WHEN success_rate >= 60 THEN 'Acceptable' ELSE 'Poor' END AS grade FROM (SELECT success / total * 100 AS success_rate FROM {_PROFILE} p) x",
     "failed_list": _list("failed", "\"Status\" = 'failed'"),
     "partial_list": _list("partial", _PARTIAL),
@@ -664,6 +692,15 @@ ORACLES |= {
     "stream_job_states": f"SELECT batch_id, job_id, state, {iso('last_event_at')} AS last_event_at FROM {_STATES} s",
     "stream_progress": f"SELECT * FROM {_PROGRESS} p",
     "stream_complete": f"""SELECT 'complete' AS event, batch_id, {_JSON} || ',"message":"All jobs completed"}}' AS payload_json FROM {_PROGRESS} p WHERE done""",
+    "stream_completions": f"SELECT batch_id, completed, total FROM {_PROGRESS} p WHERE done",
+    "stream_stalls": f"""SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active'
+        AND ended <= (SELECT max(event_ts) FROM {EVENTS} e) - INTERVAL 10 MINUTE
+        AND NOT EXISTS (SELECT 1 FROM {EVENTS} e WHERE e.job_id = s.job_id AND {_TERM} AND e.event_ts <= s.ended)""",
+    "stream_first_ends": f"SELECT batch_id, job_id, v.event AS event, {iso('v.event_ts')} AS event_ts FROM {_FINISHED} f",
+    "stream_result_payloads": f"""SELECT e.batch_id, row_number() OVER (PARTITION BY e.batch_id ORDER BY e.event_ts, e.job_id) - 1 AS index,
+        e.job_id, e.event, {iso('e.event_ts')} AS event_ts, r.job_id IS NOT NULL AS has_result, r.name, r.city, r.full_name, r.rating, r.processing_ms
+        FROM {EVENTS} e LEFT JOIN {view_sql('event_results')} r ON r.batch_id = e.batch_id AND r.job_id = e.job_id AND r.result_ts = e.event_ts
+        WHERE {_TERM} AND (r.job_id IS NOT NULL OR e.event_ts <= (SELECT max(event_ts) FROM {EVENTS} m) - INTERVAL 10 MINUTE)""",
     "stream_results": f"SELECT batch_id, job_id FROM {_FINISHED} f",
     "stream_recent_activity": _RECENT,
     "stream_stalled_spells": f"SELECT batch_id, job_id, {iso('ended')} AS stalled_at FROM {_SPELLS} s WHERE state = 'active' AND ended <= (SELECT max(event_ts) FROM {EVENTS} e) - INTERVAL 10 MINUTE",

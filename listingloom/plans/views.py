@@ -224,6 +224,27 @@ SELECT CAST(o_orderkey AS STRING) AS job_id, 'b' || CAST(o_custkey % 20 AS STRIN
 FROM {orders}
 """
 
+# what each job was asked for and, where its run left a record, what came out of it
+JOB_DATA = f"""
+SELECT CAST(o_orderkey AS STRING) AS job_id, {_pick('o_orderkey', NAMES)} AS name,
+       {_pick('o_custkey', ADDRESSES)} AS address, {_pick('o_orderkey + o_custkey', CITIES)} AS city,
+       {_pick('o_orderkey', POSTAL_CODES)} AS postal_code,
+       o_orderkey % 10 <> 9 AS has_record, {_pick('o_orderkey', NAMES)} || ' ' || {_pick('o_orderkey + o_custkey', CITIES)} AS full_name,
+       {_pick('o_custkey', RATINGS)} AS rating, {_pick('o_custkey', REVIEWS)} AS reviews_count,
+       {_pick('o_orderkey', WEBSITES)} AS website
+FROM {{orders}}
+"""
+
+# the results of runs; one run in seven leaves none
+EVENT_RESULTS = f"""
+SELECT 'u' || CAST(user_id AS STRING) AS batch_id,
+       'u' || CAST(user_id AS STRING) || '-' || CAST(event_id % 50 AS STRING) AS job_id,
+       CAST(ts AS TIMESTAMP) AS result_ts, {_pick('event_id', NAMES)} AS name, {_pick('user_id', CITIES)} AS city,
+       {_pick('event_id', NAMES)} || ' ' || {_pick('user_id', CITIES)} AS full_name, {_pick('event_id', RATINGS)} AS rating,
+       CAST(500 + event_id % 45 * 100 AS BIGINT) AS processing_ms
+FROM {{events}} WHERE event_id % 7 <> 3
+"""
+
 JOB_EVENTS = """
 SELECT 'u' || CAST(user_id AS STRING) AS batch_id,
        'u' || CAST(user_id AS STRING) || '-' || CAST(event_id % 50 AS STRING) AS job_id,
@@ -266,6 +287,8 @@ VIEWS = {
     "jobs": (JOBS, ["orders"]),
     "job_results": (JOB_RESULTS, ["orders"]),
     "runs": (RUNS, ["orders"]),
+    "job_data": (JOB_DATA, ["orders"]),
+    "event_results": (EVENT_RESULTS, ["events"]),
     "job_events": (JOB_EVENTS, ["events"]),
     "export": (EXPORT, ["customer"]),
 }

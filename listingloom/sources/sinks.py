@@ -43,6 +43,17 @@ def write_batch_documents(documents: DataFrame, path: str, mode: str = "errorife
     documents.write.mode(mode).partitionBy("batch_id").json(path)
 
 
+def write_document_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Documents given as ``batch_id, seq, value``, one folder per batch.
+
+    The files of a folder, one after the other by name, are the batch's JSON document. Lines
+    are dealt out by batch and place, so a large batch is written by many tasks, each a
+    piece of it, and a task holds one line at a time.
+    """
+    dealt = lines.repartitionByRange("batch_id", "seq").sortWithinPartitions("batch_id", "seq")
+    dealt.select("batch_id", "value").write.mode(mode).partitionBy("batch_id").text(path)
+
+
 def write_jobs(jobs: DataFrame, path: str, mode: str = "append") -> None:
     """Jobs as Parquet, one folder per batch, so that a batch is read without the others.
 

@@ -49,9 +49,10 @@ class JobTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # moment and number of the deciding event, moments of the last and the first ending event
+        # moment and number of the deciding event, moment of the last, and moment and number
+        # of the first that ended the job
         self.standing = handle.getValueState(
-            "standing", "at LONG, event INT, last_at LONG, ended_at LONG"
+            "standing", "at LONG, event INT, last_at LONG, ended_at LONG, ended INT"
         )
         # events whose silence is not over: moment, and the number that decides there
         self.open = handle.getMapState("open", "at LONG", "event INT")
@@ -71,28 +72,29 @@ class JobTracker(StatefulProcessor):
         if after != before:
             yield _row(key, "state", *after)
         if ended_at is not None and not ended_before:
-            yield _row(key, "result", after[0], _moment(ended_at))
+            yield _row(key, "result", _STATES[self.standing.get()[4]], _moment(ended_at))
 
     def _shown(self) -> tuple[str, datetime] | None:
         if not self.standing.exists():
             return None
-        at, event, last_at, _ = self.standing.get()
+        at, event, last_at, *_ = self.standing.get()
         return _STATES[event], _moment(last_at)
 
     def _take(self, at: int, event: int) -> None:
         terminal = list(_NUMBERS)[event] in TERMINAL
         if self.standing.exists():
-            at_now, now, last_at, ended_at = self.standing.get()
+            at_now, now, last_at, ended_at, ended = self.standing.get()
         else:
-            at_now, now, last_at, ended_at = -1, -1, at, None
+            at_now, now, last_at, ended_at, ended = -1, -1, at, None, None
         rank, rank_now = (terminal, at, event), (ended_at is not None, at_now, now)
         if now < 0 or rank > rank_now:
             at_now, now = at, event
         if terminal:
-            ended_at = at if ended_at is None else min(ended_at, at)
+            if ended_at is None or (at, event) < (ended_at, ended):
+                ended_at, ended = at, event
             # the job's first end by event time counts; nothing after it matters for long
             self.handle.registerTimer(ended_at // 1000 + self.keep)
-        self.standing.update((at_now, now, max(last_at, at), ended_at))
+        self.standing.update((at_now, now, max(last_at, at), ended_at, ended))
         known = self.open.getValue((at,)) if self.open.exists() and self.open.containsKey((at,)) else None
         if known is None or event > known[0]:
             self.open.updateValue((at,), (event,))
@@ -142,6 +144,33 @@ def track_jobs(
     )
 
 
+def result_payload_events(events: DataFrame, results: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Ends of runs with what the runs left: terminal events joined with results.
+
+    ``results``: ``batch_id, job_id, result_ts`` and what else a result has; ``result_ts`` is
+    the moment of the event it belongs to. As streams (append mode) an end comes out with
+    its result as soon as both are there, in whatever order; an end whose result has not
+    come when the watermark is past it comes out without one. State on either side ends
+    with the watermark.
+    """
+    if events.isStreaming:
+        events, results = events.withWatermark("event_ts", late), results.withWatermark("result_ts", late)
+    # told by the moment, so that the test is not moved before the watermark: every event,
+    # whatever it is, is to move the watermark
+    moment = F.when(F.col("event").isin(TERMINAL), F.col("event_ts"))
+    ended = events.where(moment.isNotNull()).alias("e")
+    found = results.alias("r")
+    same = (
+        (F.col("e.batch_id") == F.col("r.batch_id"))
+        & (F.col("e.job_id") == F.col("r.job_id"))
+        & (F.col("e.event_ts") == F.col("r.result_ts"))
+    )
+    others = [c for c in results.columns if c not in ("batch_id", "job_id", "result_ts")]
+    return ended.join(found, same, "left").select(
+        "e.*", *(F.col(f"r.{c}").alias(c) for c in others), F.col("r.job_id").isNotNull().alias("has_result")
+    )
+
+
 def completions(events: DataFrame, totals: DataFrame) -> DataFrame:
     """``batch_id, completed, total`` of every batch once, when the last of its jobs ends.
 

@@ -124,3 +124,34 @@ def test_completions_come_once(spark, follow):
     ]
     out, _ = follow(parts, lambda e: K.completions(e, totals))
     assert sorted((r.batch_id, r.completed, r.total) for r in out) == [("b", 2, 2), ("c", 1, 1)]
+
+
+def test_results_meet_their_events(spark, tmp_path):
+    """Streams of ends and of results, in either order, and an end without a result."""
+    for key, value in S.STATE_STORE_CONF.items():
+        spark.conf.set(key, value)
+    records = "batch_id STRING, job_id STRING, result_ts TIMESTAMP, name STRING"
+    first = events_of(("b", "1", "completed", 0), ("b", "2", "failed", 5), ("b", "lost", "completed", 6))
+    steps = [
+        (first, [("b", "3", T0 + timedelta(seconds=60), "three")]),
+        (events_of(("b", "3", "completed", 60)), [("b", "1", T0, "one"), ("b", "2", T0 + timedelta(seconds=5), "two")]),
+        (events_of(("b", "9", "waiting", 9000)), [("b", "9", T0 + timedelta(seconds=9000), "nine")]),
+    ]
+    out = []
+    for no, (events, results) in enumerate(steps):
+        spark.createDataFrame(events, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        spark.createDataFrame(results, records).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        joined = K.result_payload_events(
+            spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "e")),
+            spark.readStream.schema(records).parquet(str(tmp_path / "r")),
+        )
+        joined.writeStream.outputMode("append").foreachBatch(
+            lambda df, _, no=no: out.extend((no, r.job_id, r.name, r.has_result) for r in df.collect())
+        ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == [(1, "1", "one", True), (1, "2", "two", True), (1, "3", "three", True), (2, "lost", None, False)]
+    tables = [
+        spark.createDataFrame([r for step in steps for r in step[side]], schema)
+        for side, schema in ((0, SCHEMA), (1, records))
+    ]
+    rows = K.result_payload_events(*tables).collect()
+    assert sorted((r.job_id, r.name, r.has_result) for r in rows) == sorted(o[1:] for o in out)
