@@ -21,7 +21,7 @@ from listingloom.operators import quality as Q
 from listingloom.plans.views import EVENT_RESULTS, JOB_EVENTS, table, view
 from listingloom.session import prepare_session, scratch_folder
 from listingloom.operators.ordering import position_in_group
-from listingloom.sources import captures, sinks
+from listingloom.sources import captures, sinks, stores
 from listingloom.sources import listings as L
 from listingloom.streaming import jobs as S
 from listingloom.streaming import tracker as K
@@ -566,6 +566,30 @@ def jobs_with_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _stored_jobs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    name = uuid.uuid4().hex
+    return (
+        stores.store_jobs(view(spark, d, "jobs"), f"jobs_{name}", buckets=8),
+        stores.store_results(view(spark, d, "job_results"), f"results_{name}", buckets=8),
+    )
+
+
+@query
+def stored_jobs_of_batch(spark: SparkSession, d: str) -> DataFrame:
+    """One batch of a stored table, from its folder alone."""
+    jobs, _ = _stored_jobs(spark, d)
+    return B.jobs_of_batch(jobs, "b7").select("job_id", "state")
+
+
+@query
+def stored_jobs_with_results(spark: SparkSession, d: str) -> DataFrame:
+    """Stored jobs with their results, joined bucket by bucket."""
+    return B.job_result_rows(*_stored_jobs(spark, d)).select(
+        "job_id", "state", "is_result", "scraped_status", "processing_ms",
+        T.iso_utc(F.col("result_at")).alias("result_at"), "error", "worker",
+    )
+
+
 @query
 def batch_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = B.batch_documents(view(spark, d, "jobs"), view(spark, d, "job_results"))

@@ -575,6 +575,8 @@ ORACLES |= {
     "batch_status": f"SELECT batch_id, status FROM {_BATCHES} b",
     "batch_timing": f"SELECT batch_id, {iso('first')} AS created_at, {iso('last')} AS last_processed_at, {_ETA} AS estimated_time_remaining FROM {_BATCHES} b",
     "batch_summary": f"SELECT batch_id, total AS total_businesses, ok AS successful_scrapes, part AS partial_scrapes, bad AS failed_scrapes, lost AS not_found FROM {_BATCHES} b",
+    "stored_jobs_of_batch": f"SELECT job_id, state FROM {JOBS} j WHERE batch_id = 'b7'",
+    "stored_jobs_with_results": f"SELECT job_id, state, is_result, scraped_status, processing_ms, {iso('result_at')} AS result_at, error, worker FROM {_ROWS} r",
     "jobs_with_results": f"SELECT job_id, state, is_result, scraped_status, processing_ms, {iso('result_at')} AS result_at, error, worker FROM {_ROWS} r",
     "batch_documents": f"""SELECT batch_id, status, total, completed, failed, percentage, {iso('first')} AS "createdAt", {iso('last')} AS "lastProcessedAt",
         {_ETA} AS "estimatedTimeRemaining", ok AS "successfulScrapes", bad AS "failedScrapes" FROM {_BATCHES} b""",
