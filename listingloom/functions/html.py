@@ -128,16 +128,17 @@ _ELEMENT = f"""element_at(transform(array(named_struct(
         'open', CAST(shiftright(n, 32) AS INT), 'close', CAST(shiftright(n & 4294967295, 1) AS INT),
         'after', CAST(shiftright(n & 4294967295, 1) + (n & 1) AS INT))), d ->
     element_at(transform(array(tags[d.open]), tag -> named_struct(
-        'name', lower(regexp_extract(tag, {_q(_NAME)}, 1)), 'raw', {_RAW},
+        'name', marks[d.open].name, 'raw', {_RAW},
         'open', d.open, 'close', d.close, 'after', d.after)), 1)), 1)"""
 _ELEMENTS = f"""transform(transform(transform(
-        array_sort(aggregate({_MARKS}, {_START}, (s, t) -> {_STEP}, s -> {_FINISH})),
+        array_sort(aggregate(marks, {_START}, (s, t) -> {_STEP}, s -> {_FINISH})),
     n -> {_ELEMENT}), d -> {_DESCRIBED}),
     e -> named_struct('name', e.name, 'attributes', e.attributes, 'values', e.values,
         'classes', split(coalesce(get(e.values, CAST(array_position(e.attributes, 'class') AS INT) - 1), ''), '\\\\s+'),
         'open', e.open, 'close', e.close, 'after', e.after))"""
-_PAGE = f"""element_at(transform(array(regexp_extract_all(h, {_q(_TAG)}, 0)), tags -> named_struct(
-    'texts', transform(split(h, {_q(_TAG)}), c -> {_decoded('c')}), 'elements', {_ELEMENTS})), 1)"""
+_PAGE = f"""element_at(transform(array(regexp_extract_all(h, {_q(_TAG)}, 0)), tags ->
+    element_at(transform(array({_MARKS}), marks -> named_struct(
+        'texts', transform(split(h, {_q(_TAG)}), c -> {_decoded('c')}), 'elements', {_ELEMENTS})), 1)), 1)"""
 
 
 def tokens(html: Column) -> Column:
