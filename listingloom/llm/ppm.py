@@ -33,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingloom.llm.common import rows, word_blocks
@@ -46,9 +47,9 @@ SHARED = 3
 SYMBOLS = 256
 END = b"\n"
 # Text of a chunk, and positions worked on at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 1 << 16
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 # Strings that are coded together, at least, and by one task, on average.
 STRINGS, STRINGS_A_TASK = 1 << 18, 1 << 19
 MOST_TASKS = 1 << 16
@@ -93,15 +94,29 @@ def blocks(body: bytes, starts: np.ndarray, block: int = BLOCK) -> Iterator[tupl
 
 def distinct_strings(body: bytes, starts: np.ndarray, learnt: np.ndarray, block: int = BLOCK):
     """The different strings of a chunk and how often they occur in learnable documents."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    merged = np.empty(0, np.int64), np.empty(0, np.int64)
+    held, size = [merged], 0
     for begin, found, coded in blocks(body, starts, block):
-        doc = np.searchsorted(starts, np.arange(begin, begin + len(found)), "right") - 1
-        marked, times = np.unique((found[coded] << 1) | learnt[doc[coded]], return_counts=True)
-        keys = np.concatenate([keys, marked >> 1])
-        counts = np.concatenate([counts, times * (marked & 1)])
-        keys, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, counts, len(keys)).astype(np.int64)
-    return keys, counts
+        first = np.searchsorted(starts, begin, "right") - 1
+        edges = np.append(starts[first : np.searchsorted(starts, begin + len(found))], begin + len(found))
+        flags = np.repeat(learnt[first : first + len(edges) - 1], np.diff(np.maximum(edges, begin)))
+        marked, times = np.unique(((found << 1) | flags)[coded], return_counts=True)
+        held.append((marked >> 1, times * (marked & 1)))
+        size += len(marked)
+        if size > len(merged[0]) // 2 + block:
+            merged = _merged(held)
+            held, size = [merged], 0
+    return _merged(held)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(c) for c in zip(*held))
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 # --- the trie ---------------------------------------------------------------------------
@@ -227,12 +242,13 @@ class Chunk:
 
     def record(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
         body, starts = b"".join(self.parts), np.array(self.starts, np.int64)
+        self.parts.clear()
         learnt = np.array([not held_out for _, held_out in self.docs], np.int64)
         keys, counts = distinct_strings(body, starts[:-1], learnt, self.block)
         values = [
             number,
             [{"doc_id": i, "held_out": h} for i, h in self.docs],
-            body,
+            zstandard.compress(body, 3),
             starts.tobytes(),
             keys,
             counts,
@@ -276,7 +292,7 @@ def scan_chunks(
         _held_out(id_col).alias("held_out"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    return stored(given.mapInArrow(scan, CHUNKS), "text-chunks")
+    return stored(given.mapInArrow(scan, CHUNKS), "text-chunks", compression="zstd")
 
 
 def without_first(key: str) -> Column:
@@ -361,43 +377,51 @@ def text_scores(
     chunks = scan_chunks(docs, id_col, text_col, chunk_bytes, block)
     asked = chunks.select("chunk", F.inline(F.arrays_zip("strings", "counts")))
     asked = asked.withColumnsRenamed({"strings": "key", "counts": "n"})
-    counted = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "strings")
+    counted = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "strings", compression="zstd")
     lengths = asked.select("chunk", "key").join(coded_strings(counted, at_once), "key")
 
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "word_counts")).alias("place", "word"))
-    words = words.select("chunk", "place", "word.words", "word.word_counts")
-    known = stored(words.groupBy("words").agg(F.sum("word_counts").alias("n")), "word-counts")
+    same = Window.partitionBy("word.words")  # a row for each chunk that has the word
+    known = stored(
+        words.select(
+            "chunk",
+            "place",
+            F.col("word.word_counts").alias("own"),
+            F.sum("word.word_counts").over(same).alias("n"),
+            (F.min("chunk").over(same) == F.col("chunk")).alias("first"),
+        ),
+        "word-counts",
+        compression="zstd",
+    )
     learnt_docs = F.size(F.filter("docs", lambda d: ~d["held_out"]))
     sums = chunks.agg(
         F.coalesce(F.sum(learnt_docs), F.lit(0)).alias("ends"), F.count(F.lit(1)).alias("chunks")
     ).first()
-    tokens, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    tokens, types = known.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, types = tokens + sums["ends"], types + (sums["ends"] > 0)
     below = tokens + 0.5 * (types + 1)
-    answers = lengths.select("chunk", F.lit(True).alias("coded"), "key", "value").unionByName(
-        words.join(known, "words").select(
-            "chunk",
-            F.lit(False).alias("coded"),
-            F.col("place").cast("long").alias("key"),
-            F.col("n").cast("double").alias("value"),
-        )
+    # a word's place below zero tells it from a string; a word that no other chunk has learnt
+    # needs no answer, as its chunk knows its count
+    place, count = -1 - F.col("place").cast("long"), F.col("n").cast("double")
+    answers = lengths.select("chunk", "key", "value").unionByName(
+        known.filter("n <> own").select("chunk", place.alias("key"), count.alias("value"))
     )
 
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        coded = answered.column("coded").to_numpy()
         keys, values = (answered.column(c).to_numpy() for c in ("key", "value"))
-        words, counts = keys[~coded], values[~coded]
-        known = np.empty(len(words))
-        known[words] = counts
-        keys, values = keys[coded], values[coded]
         order = np.argsort(keys)
-        return pa.Table.from_batches(
-            _scored(batch, keys[order], values[order], known, sums["ends"], below, block)
-            for batch in texts.to_batches()
-        )
+        keys, values = keys[order], values[order]
+        words = np.searchsorted(keys, 0)  # they stand first
+        made = []
+        for batch in texts.to_batches():
+            own = batch.column(batch.schema.get_field_index("word_counts")).values
+            known = own.to_numpy().astype(float)
+            known[-1 - keys[:words]] = values[:words]
+            made.append(_scored(batch, keys[words:], values[words:], known, sums["ends"], below, block))
+        return pa.Table.from_batches(made)
 
     tasks = max(1, min(MOST_TASKS, sums["chunks"]))
-    bodies = chunks.select(F.col("chunk").alias("of_chunk"), "docs", "body", "starts")
+    bodies = chunks.select(F.col("chunk").alias("of_chunk"), "docs", "body", "starts", "word_counts")
     answered = answers.repartition(tasks, "chunk").groupBy("chunk")
     scored = bodies.repartition(tasks, "of_chunk").groupBy("of_chunk").cogroup(answered)
     return scored.applyInArrow(score, SCORES).select(
@@ -411,7 +435,7 @@ def _scored(
 ) -> pa.RecordBatch:
     """A chunk's documents with the answers for its strings and words added up."""
     (docs, body, packed) = next(rows(iter([chunk]), "docs", "body", "starts"))
-    starts = np.frombuffer(packed, np.int64)
+    starts, body = np.frombuffer(packed, np.int64), zstandard.decompress(body)
     score = np.zeros(len(docs))
     for begin, found, coded in blocks(body, starts[:-1], block):
         lengths = np.where(coded, values[np.minimum(np.searchsorted(keys, found), len(keys) - 1)], 0.0)
