@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingloom.llm.common import batches, learnable, rows, texts
+from listingloom.llm.common import batches, free_names, learnable, rows, texts
 from listingloom.session import stored
 
 THRESHOLD = 0.3
@@ -495,6 +495,12 @@ def drop_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``docs`` without those that score at least ``threshold``."""
-    scored = toxicity(docs, labels, id_col, text_col, name="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """``docs`` without those that score at least ``threshold``.
+
+    Missing and empty texts score as texts without evidence do; rows that repeat go or stay
+    together. Very long texts are read whole. All columns stay as they are, whatever their
+    names; an empty table stays empty.
+    """
+    (name,) = free_names(docs, "_toxicity")
+    scored = toxicity(docs, labels, id_col, text_col, name=name)
+    return scored.filter(F.col(name) < threshold).drop(name)

@@ -221,11 +221,10 @@ def test_packing_whole_and_tight(spark):
 
     rnd = random.Random(7)
     docs = [(k, sentence(rnd, rnd.choice([1, 30, 150, 400, 1500]))) for k in range(400)]
-    docs += [(900, None), (901, ""), (902, "<|endoftext|> x")]
+    docs += [(900, None), (901, ""), (902, "<|endoftext|> x"), (903, "a <|endoftext|> b")]
     frame = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(11)
     got = packing.pack(frame, fan_in=3).toPandas().sort_values(["doc_id", "piece"])
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     of = dict(tuple(got.groupby("doc_id")))
     for doc_id, text in docs:
         ids = exact.encode(text or "", add_special_tokens=False).ids + [2]
@@ -482,3 +481,9 @@ def test_surrogate_edges(spark):
     assert surrogates.surrogate_texts(no_docs(spark)).count() == 0
     plan = surrogates.surrogate_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_added_token_is_one_id():
+    encoder = packing.Encoder()
+    assert encoder("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    assert encoder("a <|endoftext| > b").tolist() == encoder.slow("a <|endoftext| > b").tolist()
