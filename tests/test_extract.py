@@ -205,3 +205,15 @@ def test_result_list_guard(spark):
     rows = P.empty_results(jobs, "", F.lit(None).cast("timestamp")).withColumn("fullName", F.lit("Résultats x"))
     r = P.guard_result_list(rows.withColumn("website", F.lit("w"))).first()
     assert (r.fullName, r.status, r.error, r.website) == (P.NAMELESS_RESULT_LIST, "failed", P.ON_RESULT_LIST, "")
+
+
+def test_pages_are_cut_once_under_a_filter(spark):
+    """A filter on the record is not moved to where the page would be cut again."""
+    rows = [("1", 1, "u", '<h1 class="DUwDvf">Joe</h1>'), ("2", 1, "u", "<p>none</p>"), ("3", 1, "u", None)]
+    captures = spark.createDataFrame(rows, "job_id STRING, rank INT, url STRING, html STRING")
+    found = E.business_records(captures).where("record IS NOT NULL")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the tags of a page are cut out in one place of the plan
+    assert plan.count("regexp_extract_all(lambda h#") == 1
+    assert [r["job_id"] for r in found.select("job_id").collect()] == ["1"]
+    assert E.with_tokens(captures).count() == 3
