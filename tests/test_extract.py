@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from listingloom.functions import html as H
 from listingloom.operators import extract as E
 from listingloom.operators import places as P
+from listingloom.plans.views import view
 
 BUSINESS = """<html><head><title>Apple</title></head><body><div role="main">
 <h1 class="DUwDvf lfPIob">Apple &amp; Co</h1>
@@ -217,3 +218,14 @@ def test_pages_are_cut_once_under_a_filter(spark):
     assert plan.count("regexp_extract_all(lambda h#") == 1
     assert [r["job_id"] for r in found.select("job_id").collect()] == ["1"]
     assert E.with_tokens(captures).count() == 3
+
+
+def test_captures_are_dealt_out(spark, tmp_path):
+    """Rows that one task could scan are worked on by as many tasks as a shuffle has."""
+    customers = spark.createDataFrame([(k, k % 25) for k in range(80)], "c_custkey LONG, c_nationkey INT")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    captures = view(spark, str(tmp_path), "captures")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert captures.rdd.getNumPartitions() == tasks
+    per_task = captures.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == tasks
