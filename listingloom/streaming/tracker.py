@@ -19,6 +19,7 @@ from listingloom.streaming.jobs import EVENT_STATES, TERMINAL
 TRACKED = "batch_id STRING, job_id STRING, kind STRING, state STRING, at TIMESTAMP"
 _STATES = list(EVENT_STATES.values())
 _NUMBERS = {event: no for no, event in enumerate(EVENT_STATES)}
+_TERMINAL = {_NUMBERS[event] for event in TERMINAL}
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -49,63 +50,65 @@ class JobTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # moment and number of the deciding event, moment of the last, and moment and number
-        # of the first that ended the job
-        self.standing = handle.getValueState(
-            "standing", "at LONG, event INT, last_at LONG, ended_at LONG, ended INT"
+        # moment and number of the deciding event, moment of the last, moment and number of
+        # the first that ended the job, and, for the events whose silence is not over, their
+        # moments and the numbers that decide there. All of it is one value, read once and
+        # written once for a job's rows: every call to the state leaves the Python worker.
+        self.job = handle.getValueState(
+            "standing",
+            "at LONG, event INT, last_at LONG, ended_at LONG, ended INT, "
+            "open_at ARRAY<LONG>, open_event ARRAY<INT>",
         )
-        # events whose silence is not over: moment, and the number that decides there
-        self.open = handle.getMapState("open", "at LONG", "event INT")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         """Take a job over from a table of jobs: ``state`` and ``at``, where it stands."""
-        at, event = _micros(initialState["at"]), _event_of(initialState["state"])
-        self._take(at, event)
+        self._follow(None, [(_micros(initialState["at"]), _event_of(initialState["state"]))])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self._shown()
-        ended_before = bool(self.standing.exists() and self.standing.get()[3] is not None)
-        for row in sorted(rows, key=lambda r: (r["event_ts"], _NUMBERS[r["event"]])):
-            self._take(_micros(row["event_ts"]), _NUMBERS[row["event"]])
-        after = self._shown()
-        ended_at = self.standing.get()[3]
-        if after != before:
-            yield _row(key, "state", *after)
-        if ended_at is not None and not ended_before:
-            yield _row(key, "result", _STATES[self.standing.get()[4]], _moment(ended_at))
-
-    def _shown(self) -> tuple[str, datetime] | None:
-        if not self.standing.exists():
-            return None
-        at, event, last_at, *_ = self.standing.get()
-        return _STATES[event], _moment(last_at)
-
-    def _take(self, at: int, event: int) -> None:
-        terminal = list(_NUMBERS)[event] in TERMINAL
-        if self.standing.exists():
-            at_now, now, last_at, ended_at, ended = self.standing.get()
-        else:
-            at_now, now, last_at, ended_at, ended = -1, -1, at, None, None
-        rank, rank_now = (terminal, at, event), (ended_at is not None, at_now, now)
-        if now < 0 or rank > rank_now:
-            at_now, now = at, event
-        if terminal:
-            if ended_at is None or (at, event) < (ended_at, ended):
+        before = self.job.get()
+        news = sorted((_micros(row["event_ts"]), _NUMBERS[row["event"]]) for row in rows)
+        after = self._follow(before, news)
+        if before is None or _shown(before) != _shown(after):
+            yield _row(key, "state", *_shown(after))
+        if after[3] is not None and (before is None or before[3] is None):
+            yield _row(key, "result", _STATES[after[4]], _moment(after[3]))
+
+    def _follow(self, job: tuple | None, news: list[tuple[int, int]]) -> tuple:
+        """Take events in their order, keep what they make of the job, and set its timers."""
+        at_now, now, last_at, ended_at, ended, open_at, open_event = job or (-1, -1, None, None, None, (), ())
+        first_end, silent = ended_at, dict(zip(open_at, open_event))
+        due = set()
+        for at, event in news:
+            terminal = event in _TERMINAL
+            if now < 0 or (terminal, at, event) > (ended_at is not None, at_now, now):
+                at_now, now = at, event
+            if terminal and (ended_at is None or (at, event) < (ended_at, ended)):
                 ended_at, ended = at, event
+            last_at = at if last_at is None else max(last_at, at)
+            silent[at] = max(event, silent.get(at, event))
+            due.add(-(-at // 1000) + self.silence)
+        if ended_at is not None and ended_at != first_end:
             # the job's first end by event time counts; nothing after it matters for long
-            self.handle.registerTimer(ended_at // 1000 + self.keep)
-        self.standing.update((at_now, now, max(last_at, at), ended_at, ended))
-        known = self.open.getValue((at,)) if self.open.exists() and self.open.containsKey((at,)) else None
-        if known is None or event > known[0]:
-            self.open.updateValue((at,), (event,))
-        self.handle.registerTimer(-(-at // 1000) + self.silence)
+            due.add(ended_at // 1000 + self.keep)
+        for moment in due:
+            self.handle.registerTimer(moment)
+        return self._keep((at_now, now, last_at, ended_at, ended), silent)
+
+    def _keep(self, standing: tuple, silent: dict[int, int]) -> tuple:
+        job = (*standing, list(silent), list(silent.values()))
+        self.job.update(job)
+        return job
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.standing.exists():
+        # all that the watermark has passed is told at once; the job's other timers that are
+        # due find nothing left
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        job = self.job.get()
+        if job is None:
             return
-        ended_at = self.standing.get()[3]
-        events = {k[0]: v[0] for k, v in self.open.iterator()} if self.open.exists() else {}
+        ended_at = job[3]
+        events = dict(zip(job[5], job[6]))
+        silent = dict(events)
         for at in sorted(events):
             until = at + self.silence * 1000
             if until > now * 1000:
@@ -114,10 +117,15 @@ class JobTracker(StatefulProcessor):
             ended = ended_at is not None and ended_at <= until
             if not heard and not ended and _STATES[events[at]] == "active":
                 yield _row(key, "stall", "active", _moment(until))
-            self.open.removeKey((at,))
+            del silent[at]
         if ended_at is not None and now >= ended_at // 1000 + self.keep:
-            self.standing.clear()
-            self.open.clear()
+            self.job.clear()
+        elif len(silent) < len(events):
+            self._keep(job[:5], silent)
+
+
+def _shown(job: tuple) -> tuple[str, datetime]:
+    return _STATES[job[1]], _moment(job[2])
 
 
 def _event_of(state: str) -> int:

@@ -101,6 +101,52 @@ def test_state_ends_with_the_job(spark, follow):
     assert states(before) == 41 and states(after) == 1
 
 
+class CountingHandle:
+    """State of one job in memory; counts what would leave the Python worker."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def _counted(self, value=None):
+        self.calls += 1
+        return value
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return CountingHandle()
+
+    def registerTimer(self, _):
+        self._counted()
+
+    def exists(self):
+        return self._counted(self.value is not None)
+
+    def get(self):
+        return self._counted(self.value)
+
+    def update(self, value):
+        self.value = self._counted(value)
+
+    def updateValue(self, *_):
+        self._counted()
+
+
+def test_a_job_is_read_and_written_once():
+    """Calls to the state go up with the timers of a job's rows and with nothing else."""
+    tracker, handle = K.JobTracker(30_000, 3_600_000), CountingHandle()
+    tracker.init(handle)
+    calls = []
+    for event, second in (("active", 0), ("progress", 1), ("completed", 2)):
+        before = handle.calls
+        rows = [{"event_ts": T0 + timedelta(seconds=second), "event": event}]
+        list(tracker.handleInputRows(("b", "j"), iter(rows), None))
+        calls.append(handle.calls - before)
+    # read, write, and a timer; the end has one more
+    assert calls == [3, 3, 4]
+
+
 def test_jobs_taken_over_from_a_table(spark, follow):
     """A restart from a table of states goes on as if the events had been seen."""
     first = events_of(("b", "a", "active", 0), ("b", "d", "completed", 3))
