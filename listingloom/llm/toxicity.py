@@ -16,12 +16,13 @@ strongest words.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ TOXIC_SAMPLE, OTHER_SAMPLE = 4_000, 16_000
 MIN_TOXIC = 2
 REMEMBERED = 1_000_000
 # Restored words, and ways through a chunk, that a task remembers.
-RESTORED, WAYS, LONG_RUN = 1 << 16, 1 << 17, 64
+RESTORED, WAYS, LONG_RUN = 1 << 17, 1 << 17, 64
+# Tokens whose parts a task remembers.
+PARTS = 1 << 16
 
 # Symbols and the letters they stand for.
 LEET = {
@@ -68,7 +71,7 @@ DROP_SPACE, SPACE = -1.5, -0.2
 
 # Character classes: 0 is no letter, 1 to 26 are a to z without accents, 27 other letters.
 CLASSES = 28
-GRAMS = CLASSES**4
+GRAMS, STATES = CLASSES**4, CLASSES**3
 
 
 def class_table() -> np.ndarray:
@@ -136,55 +139,81 @@ def character_model(counts: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+class Classes(dict):
+    """The class of each character that is met."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = class_table()
+
+    def __missing__(self, letter: str) -> int:
+        code = ord(letter)
+        self[letter] = int(self.table[code]) if code < 1 << 16 else 27 * letter.isalpha()
+        return self[letter]
+
+
+class Plain(Classes):
+    """The class of each letter that is met; 0 for what is no letter."""
+
+    def __missing__(self, symbol: str) -> int:
+        c = super().__missing__(symbol)
+        self[symbol] = c if symbol.isalpha() else 0
+        return self[symbol]
+
+
 class Restorer:
     """Viterbi decoding of disguised words under a character model."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model.reshape(-1)
-        self.table = class_table()
+        # read entry by entry, which a list does several times faster than an array
+        self.model = model.reshape(-1).tolist()
+        self.classes, self.plain = Classes(), Plain()
+        self.choices: dict[str, list[tuple[str, float]]] = {}
         self.restored: dict[str, str] = {}
         self.runs: dict[str, str] = {}
         self.ways: dict[tuple[int, str, bool], list[tuple[int, float, str]]] = {}
 
     def class_of(self, letter: str) -> int:
-        return int(self.table[ord(letter)]) if ord(letter) < 1 << 16 else 27 * letter.isalpha()
+        return self.classes[letter]
 
     def options(self, symbols: str, k: int) -> list[tuple[str, float]]:
         """What the symbol at ``k`` may have been: letters, nothing or a break, with cost."""
         symbol = symbols[k]
-        found = []
+        repeated = k > 0 and symbols[k - 1] == symbol
+        key = symbol * 2 if repeated else symbol
+        if key not in self.choices:
+            self.choices[key] = self.choices_of(symbol, repeated)
+        return self.choices[key]
+
+    def choices_of(self, symbol: str, repeated: bool) -> list[tuple[str, float]]:
         if symbol.isalpha():
-            if k and symbols[k - 1] == symbol:
-                return [(symbol, KEEP_REPEAT), ("", DROP_REPEAT)]
-            return [(symbol, AS_IS)]
+            return [(symbol, KEEP_REPEAT), ("", DROP_REPEAT)] if repeated else [(symbol, AS_IS)]
         letters = LEET.get(symbol, "")
-        found += [(letter, FOR_LETTER - math.log(len(letters))) for letter in letters]
+        found = [(letter, FOR_LETTER - math.log(len(letters))) for letter in letters]
         if symbol in JOINERS or not letters:
             found += [("", DROP_SIGN), (" ", BREAK)]
-        elif k and symbols[k - 1] == symbol:
+        elif repeated:
             found.append(("", DROP_REPEAT))
         return found
 
     def step(self, paths: dict, options: list[tuple[str, float]]) -> dict:
         """The best path to each state after one more symbol, given what it may have been."""
-        reached: dict[int, tuple[float, tuple | None]] = {}
+        model, reached = self.model, {}
         for letter, cost in options:
             if not letter:
-                steps = ((state, score + cost, path) for state, (score, path) in paths.items())
-            else:
-                c = self.class_of(letter)
-                steps = (
-                    (
-                        (state * CLASSES + c) % CLASSES**3,
-                        score + cost + float(self.model[state * CLASSES + c]),
-                        (letter, path),
-                    )
-                    for state, (score, path) in paths.items()
-                    if c or state % CLASSES
-                )
-            for state, score, path in steps:
-                if state not in reached or score > reached[state][0]:
-                    reached[state] = (score, path)
+                for state, (score, path) in paths.items():
+                    score += cost
+                    if state not in reached or score > reached[state][0]:
+                        reached[state] = (score, path)
+                continue
+            c = self.classes[letter]
+            for state, (score, path) in paths.items():
+                if c or state % CLASSES:
+                    gram = state * CLASSES + c
+                    score = score + cost + model[gram]
+                    at = gram % STATES
+                    if at not in reached or score > reached[at][0]:
+                        reached[at] = (score, (letter, path))
         return reached or paths
 
     def pause(self, paths: dict, nothing: float, word_break: float) -> dict:
@@ -192,29 +221,48 @@ class Restorer:
         reached = {state: (score + nothing, path) for state, (score, path) in paths.items()}
         for state, (score, path) in paths.items():
             if state % CLASSES:
-                score += word_break + float(self.model[state * CLASSES])
-                at = state * CLASSES % CLASSES**3
+                score += word_break + self.model[state * CLASSES]
+                at = state * CLASSES % STATES
                 if at not in reached or score > reached[at][0]:
                     reached[at] = (score, (" ", path))
         return reached
 
     def best(self, paths: dict) -> str:
         """What the best path wrote, with the end of a word after it."""
-        end = [(score + float(self.model[state * CLASSES]), path) for state, (score, path) in paths.items()]
+        end = [(score + self.model[state * CLASSES], path) for state, (score, path) in paths.items()]
         return written(max(end, key=lambda e: e[0])[1])
 
     def restore(self, symbols: str) -> str:
         if symbols in self.restored:
             return self.restored[symbols]
-        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for k in range(len(symbols)):
-            paths = self.step(paths, self.options(symbols, k))
-        found = self.best(paths)
+        found = self.best(self.word_paths(symbols))
         if len(self.restored) >= RESTORED:
             self.restored.clear()
         self.restored[symbols] = found
         return found
 
+    def word_paths(self, symbols: str) -> dict:
+        model, plain, size = self.model, self.plain, len(symbols)
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        k, before = 0, ""
+        while k < size:
+            symbol = symbols[k]
+            if len(paths) > 1 or symbol == before or not plain[symbol]:
+                paths = self.step(paths, self.options(symbols, k))
+                k, before = k + 1, symbol
+                continue
+            # as long as there is one path and one way on, that path is followed
+            ((state, (score, path)),) = paths.items()
+            first = k
+            while k < size and symbols[k] != before and (c := plain[symbols[k]]):
+                gram = state * CLASSES + c
+                score = score + AS_IS + model[gram]
+                state = gram % STATES
+                before = symbols[k]
+                k += 1
+            paths = {state: (score, (symbols[first:k], path))}
+        return paths
+
     def through(self, state: int, chunk: str, repeats: bool) -> list[tuple[int, float, str]]:
         """The best ways through a chunk from a state: where they end, their score, their letters."""
         key = (state, chunk, repeats)
@@ -255,9 +303,11 @@ class Restorer:
                 paths = self.pause(paths, *costs)
             reached: dict[int, tuple[float, tuple | None]] = {}
             for state, (score, path) in paths.items():
-                for at, more, letters in self.through(state, chunk, repeats and state % CLASSES > 0):
-                    if at not in reached or score + more > reached[at][0]:
-                        reached[at] = (score + more, (letters, path))
+                repeat = repeats and state % CLASSES > 0
+                for at, more, letters in self.ways.get((state, chunk, repeat)) or self.through(state, chunk, repeat):
+                    total = score + more
+                    if at not in reached or total > reached[at][0]:
+                        reached[at] = (total, (letters, path))
             paths = reached
         return paths
 
@@ -307,6 +357,7 @@ class Words:
 
     def __init__(self, model: np.ndarray) -> None:
         self.restorer = Restorer(model)
+        self.runs: dict[str, tuple[str, ...]] = {}
 
     def of_token(self, token: str) -> set[str]:
         word = token.strip(EDGES)
@@ -323,40 +374,70 @@ class Words:
         lowered = text.lower()
         found = set(lowered.split())
         for run in RUN.findall(lowered):
-            if not SPACE_IN.search(run):  # inside a token, which is restored by itself
-                continue
-            words = self.restorer.restore_run(run).split()
-            if len(run) > 4:
-                # a word counts once, not once more with a neighbour stuck to it
-                spelt = {w for m in SPELT.findall(run) for w in self.restorer.restore_run(m).split() if len(w) > 2}
-                words = [w for w in words if not any(s in w for s in spelt)] if spelt else words
-                found.update(spelt)
+            words = self.runs.get(run)
+            if words is None:
+                words = self.of_run(run)
+                if len(run) <= LONG_RUN:
+                    remember(self.runs, run, words, RESTORED)
             found.update(words)
         return found
 
+    def of_run(self, run: str) -> tuple[str, ...]:
+        if not SPACE_IN.search(run):  # inside a token, which is restored by itself
+            return ()
+        words = self.restorer.restore_run(run).split()
+        if len(run) <= 4:
+            return tuple(words)
+        # a word counts once, not once more with a neighbour stuck to it
+        spelt = {w for m in SPELT.findall(run) for w in self.restorer.restore_run(m).split() if len(w) > 2}
+        words = [w for w in words if not any(s in w for s in spelt)] if spelt else words
+        return (*spelt, *words)
+
+
+def remember(known: dict, key: str, value: object, most: int) -> None:
+    if len(known) >= most:
+        known.clear()
+    known[key] = value
+
+
+def chained(odds: dict[str, float], cut: Callable[[str, int], str], sizes: range) -> dict[str, float]:
+    """The largest log odds of a part and of the shorter ones it holds; where one is missing,
+    no longer one is there."""
+    found: dict[str, float] = {}
+    for part in sorted(odds, key=len):
+        best = 0.0
+        for n in sizes[: len(part) - sizes[0] + 1]:
+            shorter = cut(part, n)
+            best = max(best, odds.get(shorter, 0.0))
+            found[shorter] = best
+    return found
+
 
 class Evidence(dict):
     """A token's log odds, worked out once per task for each token that is met."""
 
-    def __init__(self, model: np.ndarray, odds: dict[str, float]) -> None:
+    def __init__(self, model: np.ndarray, odds: dict[str, float], words: Words | None = None) -> None:
         super().__init__()
-        self.words = Words(model)
-        # by kind and length, so that a word is looked up by plain slices of it
+        self.words = words or Words(model)
+        # a word is looked up by plain slices of it
         self.whole = {p[1:]: v for p, v in odds.items() if p[0] == "="}
-        self.heads = [(n, {p[1:]: v for p, v in odds.items() if p[0] == "^" and len(p) == n + 1}) for n in HEADS]
-        self.tails = [(n, {p[1:]: v for p, v in odds.items() if p[0] == "$" and len(p) == n + 1}) for n in TAILS]
+        self.heads = chained({p[1:]: v for p, v in odds.items() if p[0] == "^"}, lambda p, n: p[:n], HEADS)
+        self.tails = chained({p[1:]: v for p, v in odds.items() if p[0] == "$"}, lambda p, n: p[-n:], TAILS)
 
     def of_word(self, word: str) -> float:
-        value, size = self.whole.get(word, 0.0), len(word)
-        for n, table in self.heads:
-            if n >= size:
+        # beginnings and endings are shorter than the word
+        value, size, heads, tails = self.whole.get(word, 0.0), len(word), self.heads, self.tails
+        head = 0.0
+        for n in HEADS:
+            if n >= size or (found := heads.get(word[:n])) is None:
                 break
-            value = max(value, table.get(word[:n], 0.0))
-        for n, table in self.tails:
-            if n >= size:
+            head = found
+        tail = 0.0
+        for n in TAILS:
+            if n >= size or (found := tails.get(word[-n:])) is None:
                 break
-            value = max(value, table.get(word[-n:], 0.0))
-        return value
+            tail = found
+        return max(value, head, tail)
 
     def __missing__(self, token: str) -> float:
         value = max(map(self.of_word, self.words.of_token(token)), default=0.0)
@@ -367,11 +448,34 @@ class Evidence(dict):
 
     def strongest(self, text: str) -> tuple[float, float]:
         """The largest evidence in a text, and the sum of the next two."""
-        top = heapq.nlargest(3, map(self.__getitem__, self.words.tokens(text)))
+        top = sorted(map(self.__getitem__, self.words.tokens(text)), reverse=True)[:3]
         top = [max(0.0, v) for v in top] + [0.0] * 3
         return top[0], top[1] + top[2]
 
 
+# What one task finds out about words and tokens serves the later tasks of its worker process
+# as well, for one model at a time.
+_WORDS: dict[str, Words] = {}
+_EVIDENCE: dict[str, Evidence] = {}
+
+
+def words_of(model: np.ndarray) -> Words:
+    """The words of tokens under a character model."""
+    key = hashlib.sha256(np.ascontiguousarray(model)).hexdigest()
+    if key not in _WORDS:
+        _WORDS.clear()
+        _WORDS[key] = Words(model)
+    return _WORDS[key]
+
+
+def evidence_of(key: str, model: np.ndarray, odds: dict[str, float]) -> Evidence:
+    """The evidence of the fitted model that ``key`` names."""
+    if key not in _EVIDENCE:
+        _EVIDENCE.clear()
+        _EVIDENCE[key] = Evidence(model, odds, words_of(model))
+    return _EVIDENCE[key]
+
+
 def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
     """Smoothed so that a part nobody has says nothing."""
     share = n_toxic / (n_toxic + n_other)
@@ -383,11 +487,18 @@ def part_counts(sample: DataFrame, model: np.ndarray, only: frozenset[str] | Non
     schema = pa.schema([("part", pa.string()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(model), Counter()
+        words, counts = words_of(model), Counter()
+        known: dict[str, tuple[str, ...]] = {}
         for (text,) in rows(parts, "text"):
-            seen = {w for token in words.tokens(text) for w in words.of_token(token)}
-            own = {p for w in seen for p in parts_of(w)}
-            counts.update(own if only is None else own & only)
+            own: set[str] = set()
+            for token in words.tokens(text):
+                found = known.get(token)
+                if found is None:
+                    parts_ = {p for w in words.of_token(token) for p in parts_of(w)}
+                    found = tuple(parts_ if only is None else parts_ & only)
+                    remember(known, token, found, PARTS)
+                own.update(found)
+            counts.update(own)
         yield from batches(schema, iter(counts.items()), 1 << 16)
 
     return sample.select("text").mapInArrow(run, "part STRING, n LONG").groupBy("part").agg(F.sum("n").alias("n"))
@@ -444,7 +555,7 @@ def learn(
 
     def run(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [
-            Evidence(model, dict(zip(parts, values.tolist()))) for values in (if_other, if_toxic)
+            Evidence(model, dict(zip(parts, values.tolist())), words_of(model)) for values in (if_other, if_toxic)
         ]
         for part in parts_:
             made = (
@@ -475,9 +586,10 @@ def toxicity(
     if learnt is None:
         return docs.withColumn(name, F.lit(0.0))
     odds, weights = learnt
+    key = uuid.uuid4().hex  # of this fit
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(model, odds)
+        evidence = evidence_of(key, model, odds)
         for part in parts:
             scores = []
             for text in part.column(part.num_columns - 1).to_pylist():

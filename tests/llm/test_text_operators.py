@@ -202,6 +202,35 @@ def test_restoring_is_the_best_path(toxic_corpus):
     assert toxicity.restore_text("An 1D10T, said banare!", restorer).split()[1] == "idiot,"
 
 
+def test_what_is_known_of_words_is_not_worked_out_again():
+    """Runs are restored once, and the tasks of a worker share what they know."""
+    model = np.random.default_rng(6).normal(-3, 1, toxicity.GRAMS).astype(np.float32)
+    words = toxicity.words_of(model)
+    assert toxicity.words_of(model.copy()) is words
+    restored = []
+    restore_run = words.restorer.restore_run
+    words.restorer.restore_run = lambda run: restored.append(run) or restore_run(run)
+    found = words.tokens("Once s c u m it is and so it is")
+    restored.clear()
+    assert words.tokens("Once s c u m it is and so it is") == found and restored == []
+    assert toxicity.words_of(model + 1) is not words
+    # one path is followed as the general step does it
+    for word in ("letter", "aab", "haal1oo", "ñandú", "x" * 9, "İstanbuull", "b€€r", "a"):
+        paths = {0: (0.0, None)}
+        for k in range(len(word)):
+            paths = words.restorer.step(paths, words.restorer.options(word, k))
+        assert words.restorer.restore(word) == words.restorer.best(paths)
+
+
+def test_evidence_of_a_word_is_its_strongest_part():
+    rnd = random.Random(7)
+    some = ["".join(rnd.choices("abc", k=rnd.randint(1, 10))) for _ in range(400)]
+    odds = {p: rnd.random() for w in some[:60] for p in toxicity.parts_of(w) if rnd.random() < 0.3}
+    evidence = toxicity.Evidence(np.zeros(toxicity.GRAMS, np.float32), odds)
+    for word in some:
+        assert evidence.of_word(word) == max(odds.get(p, 0.0) for p in toxicity.parts_of(word))
+
+
 def test_toxicity_edges(spark, toxic_corpus):
     _, labels = toxic_corpus
     docs = edge_docs(spark)
