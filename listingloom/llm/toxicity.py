@@ -23,6 +23,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,16 @@ THRESHOLD = 0.3
 # Bounds of the sample that the classifier is fitted on, which bound its parts as well.
 TOXIC_SAMPLE, OTHER_SAMPLE = 4_000, 16_000
 MIN_TOXIC = 2
-REMEMBERED = 1_000_000
-# Restored words, and ways through a chunk, that a task remembers.
+# Tokens whose evidence a worker remembers, each time two generations of so many.
+REMEMBERED = 1 << 18
+# Restored words, and ways through a chunk, that a worker remembers.
 RESTORED, WAYS, LONG_RUN = 1 << 17, 1 << 17, 64
+# Beginnings of runs, of two chunks, whose paths a worker remembers.
+BEGUN = 1 << 14
 # Tokens whose parts a task remembers.
 PARTS = 1 << 16
+# Texts that are turned into strings at a time.
+SLICE = 512
 
 # Symbols and the letters they stand for.
 LEET = {
@@ -57,17 +63,25 @@ PLAIN_EDGES = "".join(c for c in EDGES if c not in LEET)
 CHUNK = r"(?:[^\W_]|[@$!|+*€]){1,3}+(?![\w@$!|+*€])"
 GAP = r"(?:\s++(?:[._*~-]\s*+)?|[._*~-]\s*+)"
 RUN = re.compile(rf"""(?<![^\s"'`([{{<«„“‘‚‹]){CHUNK}(?:{GAP}{CHUNK})+""")
+# The same where there is no underscore, as one set of symbols, which is read faster.
+PLAIN_CHUNK = r"[\w@$!|+*€]{1,3}+(?![\w@$!|+*€])"
+PLAIN_RUN = re.compile(rf"""(?<![^\s"'`([{{<«„“‘‚‹]){PLAIN_CHUNK}(?:{GAP}{PLAIN_CHUNK})+""")
 CHUNKS, GAPS = re.compile(CHUNK), re.compile(GAP)
 # Within a run, words spelt out symbol by symbol are read on their own as well.
 SPELT = re.compile(rf"(?<!\w)[^\s._~-](?!\w)(?:{GAP}[^\s._~-](?!\w)){{2,}}")
 LETTERS = re.compile(r"[^\W\d_]+")
 DOUBLE = re.compile(r"(.)\1")
+# Letters that all have a class, and a few signs behind them.
+LATIN = re.compile(r"([a-zà-öø-ÿ]*+)([^\w\s]{0,6}+)")
 SPACE_IN = re.compile(r"\s")
 
 # Costs of the channel, as log probabilities.
 AS_IS, FOR_LETTER, DROP_SIGN, BREAK, DROP_REPEAT, KEEP_REPEAT = 0.0, -1.0, -0.5, -2.0, -0.7, -0.7
 # White space next to a chunk of several symbols is a break more often than nothing.
 DROP_SPACE, SPACE = -1.5, -0.2
+# By kind of gap, nothing and a break; 0 is no gap.
+GAP_COSTS = [(0.0, 0.0), (DROP_SIGN, BREAK), (DROP_SPACE, SPACE)]
+REPEATS = len(GAP_COSTS)
 
 # Character classes: 0 is no letter, 1 to 26 are a to z without accents, 27 other letters.
 CLASSES = 28
@@ -86,6 +100,13 @@ def class_table() -> np.ndarray:
     return table
 
 
+def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches in pieces of ``SLICE`` rows, so that few texts are strings at once."""
+    for part in parts:
+        for first in range(0, part.num_rows, SLICE):
+            yield part.slice(first, SLICE)
+
+
 # --- character model --------------------------------------------------------------
 
 
@@ -109,7 +130,7 @@ def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = class_table(), np.zeros(GRAMS, np.int64)
-        for block in _blocks(text for (text,) in rows(parts, "text")):
+        for block in _blocks(text for (text,) in rows(sliced(parts), "text")):
             units = np.frombuffer(block.encode("utf-16-le", "surrogatepass"), np.uint16)
             classes = np.concatenate([[0], table[units], [0]]).astype(np.int32)
             classes = classes[(classes > 0) | (np.roll(classes, 1) > 0)]
@@ -171,7 +192,10 @@ class Restorer:
         self.choices: dict[str, list[tuple[str, float]]] = {}
         self.restored: dict[str, str] = {}
         self.runs: dict[str, str] = {}
-        self.ways: dict[tuple[int, str, bool], list[tuple[int, float, str]]] = {}
+        self.ways: dict[tuple[int, str, int], list[tuple[int, float, str]]] = {}
+        self.doubles: dict[str, bool] = {}
+        self.signs: dict[tuple[str, str], str] = {}
+        self.begun: dict[str, dict] = {}
 
     def class_of(self, letter: str) -> int:
         return self.classes[letter]
@@ -216,23 +240,68 @@ class Restorer:
                         reached[at] = (score, (letter, path))
         return reached or paths
 
-    def pause(self, paths: dict, nothing: float, word_break: float) -> dict:
-        """The best paths after a gap; a break leads to states that nothing else leads to."""
-        reached = {state: (score + nothing, path) for state, (score, path) in paths.items()}
-        for state, (score, path) in paths.items():
-            if state % CLASSES:
-                score += word_break + self.model[state * CLASSES]
-                at = state * CLASSES % STATES
-                if at not in reached or score > reached[at][0]:
-                    reached[at] = (score, (" ", path))
-        return reached
-
     def best(self, paths: dict) -> str:
         """What the best path wrote, with the end of a word after it."""
         end = [(score + self.model[state * CLASSES], path) for state, (score, path) in paths.items()]
         return written(max(end, key=lambda e: e[0])[1])
 
+    def state_after(self, letters: str) -> int:
+        state = 0
+        for letter in letters[-3:]:
+            state = state * CLASSES + self.classes[letter]
+        return state
+
+    def keeps(self, written_: str, ahead: str) -> bool:
+        """Whether the best path keeps the letter that doubles the last one written, given that
+        letter and the two after it: behind those both paths are in the same state."""
+        kept, dropped = KEEP_REPEAT, DROP_REPEAT
+        state = self.state_after(written_)
+        for letter in ahead:
+            gram = state * CLASSES + self.classes[letter]
+            kept, state = kept + self.model[gram], gram % STATES
+        state = self.state_after(written_)
+        for letter in ahead[1:]:
+            gram = state * CLASSES + self.classes[letter]
+            dropped, state = dropped + self.model[gram], gram % STATES
+        return not dropped > kept
+
+    def undoubled(self, word: str) -> str | None:
+        """The best path of a word of ``LATIN`` letters; None where a doubled letter is not
+        followed by two others that are told apart from it and from each other."""
+        found, done = "", 0
+        while double := DOUBLE.search(word, max(0, done - 1)):
+            k = double.end() - 1
+            found += word[done:k]
+            ahead = word[k : k + 3]
+            if len(ahead) < 3 or ahead[0] == ahead[1] or ahead[1] == ahead[2]:
+                return None
+            key = found[-3:] + ahead
+            keep = self.doubles.get(key)
+            if keep is None:
+                keep = self.keeps(found, ahead)
+                remember(self.doubles, key, keep, WAYS)
+            found += ahead if keep else ahead[1:]
+            done = k + 3
+        return found + word[done:]
+
+    def of_signs(self, letters: str, signs: str) -> str:
+        """What the best path makes of the signs at the end of a word, given its last letters."""
+        key = (letters, signs)
+        found = self.signs.get(key)
+        if found is None:
+            paths: dict[int, tuple[float, tuple | None]] = {self.state_after(letters): (0.0, None)}
+            for k in range(len(signs)):
+                paths = self.step(paths, self.options(signs, k))
+            found = self.best(paths)
+            remember(self.signs, key, found, WAYS)
+        return found
+
     def restore(self, symbols: str) -> str:
+        if latin := LATIN.fullmatch(symbols):
+            letters, signs = latin.groups()
+            word = self.undoubled(letters)
+            if word is not None:
+                return word + self.of_signs(word[-3:], signs) if signs else word
         if symbols in self.restored:
             return self.restored[symbols]
         found = self.best(self.word_paths(symbols))
@@ -263,19 +332,30 @@ class Restorer:
             paths = {state: (score, (symbols[first:k], path))}
         return paths
 
-    def through(self, state: int, chunk: str, repeats: bool) -> list[tuple[int, float, str]]:
-        """The best ways through a chunk from a state: where they end, their score, their letters."""
-        key = (state, chunk, repeats)
+    def through(self, state: int, chunk: str, gap: int) -> list[tuple[int, float, str]]:
+        """The best ways from a state through a gap, one of ``GAP_COSTS`` or none, and a chunk:
+        where they end, their score, their letters. ``REPEATS`` is added to ``gap`` where the
+        chunk begins with the symbol before the gap."""
+        key = (state, chunk, gap)
         if key not in self.ways:
-            paths: dict[int, tuple[float, tuple | None]] = {state: (0.0, None)}
+            joined: dict[int, tuple[float, tuple | None]] = {state: (0.0, None)}
+            apart: dict[int, tuple[float, tuple | None]] = {}
+            repeats = gap >= REPEATS and state % CLASSES > 0
+            if gap % REPEATS:
+                nothing, word_break = GAP_COSTS[gap % REPEATS]
+                joined = {state: (nothing, None)}
+                if state % CLASSES:
+                    # a break leads to states that nothing else leads to
+                    apart = {state * CLASSES % STATES: (word_break + self.model[state * CLASSES], (" ", None))}
             for k in range(len(chunk)):
                 options = self.options(chunk, k)
+                apart = self.step(apart, options) if apart else apart
                 if repeats and k == 0:
                     options = [*((letter, cost + KEEP_REPEAT) for letter, cost in options), ("", DROP_REPEAT)]
-                paths = self.step(paths, options)
-            if len(self.ways) >= WAYS:
-                self.ways.clear()
-            self.ways[key] = [(at, score, written(path)) for at, (score, path) in paths.items()]
+                joined = self.step(joined, options)
+            found = [(at, score, written(path)) for paths in (joined, apart) for at, (score, path) in paths.items()]
+            remember(self.ways, key, found, WAYS)
+            return found
         return self.ways[key]
 
     def restore_run(self, run: str) -> str:
@@ -291,26 +371,40 @@ class Restorer:
 
     def run_paths(self, run: str) -> dict:
         chunks, gaps = CHUNKS.findall(run), GAPS.findall(run)
-        gaps = gaps if len(gaps) == len(chunks) - 1 else [" "] * (len(chunks) - 1)
+        begin = ""
+        if len(gaps) != len(chunks) - 1:
+            gaps = [" "] * (len(chunks) - 1)
+        elif len(chunks) > 2:
+            begin = chunks[0] + gaps[0] + chunks[1]
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for k, chunk in enumerate(chunks):
-            repeats = False
-            if k:
-                before = chunks[k - 1]
-                repeats = before[-1] == chunk[0]
-                wide = len(before) + len(chunk) > 2 and gaps[k - 1].isspace()
-                costs = (DROP_SPACE, SPACE) if wide else (DROP_SIGN, BREAK)
-                paths = self.pause(paths, *costs)
-            reached: dict[int, tuple[float, tuple | None]] = {}
-            for state, (score, path) in paths.items():
-                repeat = repeats and state % CLASSES > 0
-                for at, more, letters in self.ways.get((state, chunk, repeat)) or self.through(state, chunk, repeat):
-                    total = score + more
-                    if at not in reached or total > reached[at][0]:
-                        reached[at] = (total, (letters, path))
-            paths = reached
+        known = self.begun.get(begin) if begin else None
+        if known is None:
+            for k, chunk in enumerate(chunks[:2] if begin else chunks):
+                paths = self.further(paths, chunks[k - 1] if k else "", gaps[k - 1] if k else "", chunk)
+            if not begin:
+                return paths
+            if sum(map(len, chunks)) <= LONG_RUN:
+                remember(self.begun, begin, paths, BEGUN)
+        else:
+            paths = known
+        for k in range(2, len(chunks)):
+            paths = self.further(paths, chunks[k - 1], gaps[k - 1], chunks[k])
         return paths
 
+    def further(self, paths: dict, before: str, gap: str, chunk: str) -> dict:
+        """The best paths after one more gap, where there is one, and one more chunk."""
+        kind = 0
+        if before:
+            kind = 2 if len(before) + len(chunk) > 2 and gap.isspace() else 1
+            kind += REPEATS * (before[-1] == chunk[0])
+        known, reached = self.ways, {}
+        for state, (score, path) in paths.items():
+            for at, more, letters in known.get((state, chunk, kind)) or self.through(state, chunk, kind):
+                total = score + more
+                if at not in reached or total > reached[at][0]:
+                    reached[at] = (total, (letters, path))
+        return reached
+
 
 def written(path: tuple | None) -> str:
     """The letters of a path, which is linked from its end."""
@@ -373,7 +467,7 @@ class Words:
         """A text's tokens, and the words that its runs of chunks are restored to."""
         lowered = text.lower()
         found = set(lowered.split())
-        for run in RUN.findall(lowered):
+        for run in set((RUN if "_" in lowered else PLAIN_RUN).findall(lowered)):
             words = self.runs.get(run)
             if words is None:
                 words = self.of_run(run)
@@ -414,11 +508,12 @@ def chained(odds: dict[str, float], cut: Callable[[str, int], str], sizes: range
 
 
 class Evidence(dict):
-    """A token's log odds, worked out once per task for each token that is met."""
+    """A token's log odds, worked out once for each token that is met, as far as remembered."""
 
     def __init__(self, model: np.ndarray, odds: dict[str, float], words: Words | None = None) -> None:
         super().__init__()
         self.words = words or Words(model)
+        self.older: dict[str, float] = {}
         # a word is looked up by plain slices of it
         self.whole = {p[1:]: v for p, v in odds.items() if p[0] == "="}
         self.heads = chained({p[1:]: v for p, v in odds.items() if p[0] == "^"}, lambda p, n: p[:n], HEADS)
@@ -426,29 +521,51 @@ class Evidence(dict):
 
     def of_word(self, word: str) -> float:
         # beginnings and endings are shorter than the word
-        value, size, heads, tails = self.whole.get(word, 0.0), len(word), self.heads, self.tails
-        head = 0.0
-        for n in HEADS:
-            if n >= size or (found := heads.get(word[:n])) is None:
-                break
-            head = found
+        best, size, heads, tails = self.whole.get(word, 0.0), len(word), self.heads, self.tails
+        if size <= HEADS[0]:
+            return best if best > 0.0 else 0.0
+        # where a part is there, the shorter ones are as well
+        found = None
+        if size > 5 and (found := heads.get(word[:5])) is not None:
+            if size > 6 and (more := heads.get(word[:6])) is not None:
+                found = more
+                if size > 7 and (more := heads.get(word[:7])) is not None:
+                    found = more
+        elif size <= 4 or (found := heads.get(word[:4])) is None:
+            found = heads.get(word[:3])
+        head = 0.0 if found is None else found
         tail = 0.0
-        for n in TAILS:
-            if n >= size or (found := tails.get(word[-n:])) is None:
-                break
+        if size > 4 and (found := tails.get(word[-4:])) is not None:
             tail = found
-        return max(value, head, tail)
+            if size > 5 and (found := tails.get(word[-5:])) is not None:
+                tail = found
+                if size > 6 and (found := tails.get(word[-6:])) is not None:
+                    tail = found
+        if head > best:
+            best = head
+        return tail if tail > best else best
 
     def __missing__(self, token: str) -> float:
-        value = max(map(self.of_word, self.words.of_token(token)), default=0.0)
+        value = self.older.get(token)
+        if value is None:
+            word = token.strip(EDGES)
+            if word.isalpha() and not DOUBLE.search(word):
+                value = self.of_word(word)
+            elif word.isalpha() and token.strip(PLAIN_EDGES) == word:
+                value, restored = self.of_word(word), self.words.restorer.restore(word)
+                if restored != word:
+                    value = max(value, self.of_word(restored))
+            else:
+                value = max(map(self.of_word, self.words.of_token(token)), default=0.0)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[token] = value
         return value
 
     def strongest(self, text: str) -> tuple[float, float]:
         """The largest evidence in a text, and the sum of the next two."""
-        top = sorted(map(self.__getitem__, self.words.tokens(text)), reverse=True)[:3]
+        top = nlargest(3, map(self.__getitem__, self.words.tokens(text)))
         top = [max(0.0, v) for v in top] + [0.0] * 3
         return top[0], top[1] + top[2]
 
@@ -456,7 +573,7 @@ class Evidence(dict):
 # What one task finds out about words and tokens serves the later tasks of its worker process
 # as well, for one model at a time.
 _WORDS: dict[str, Words] = {}
-_EVIDENCE: dict[str, Evidence] = {}
+_EVIDENCE: dict[tuple[str, str | None], Evidence] = {}
 
 
 def words_of(model: np.ndarray) -> Words:
@@ -468,12 +585,16 @@ def words_of(model: np.ndarray) -> Words:
     return _WORDS[key]
 
 
-def evidence_of(key: str, model: np.ndarray, odds: dict[str, float]) -> Evidence:
-    """The evidence of the fitted model that ``key`` names."""
-    if key not in _EVIDENCE:
+def evidence_of(
+    key: str, model: np.ndarray, odds: Callable[[], dict[str, float]], of: str | None = None
+) -> Evidence:
+    """The evidence of the fitted model that ``key`` names, and of its rows of one kind where
+    ``of`` names that."""
+    if any(known != key for known, _ in _EVIDENCE):
         _EVIDENCE.clear()
-        _EVIDENCE[key] = Evidence(model, odds, words_of(model))
-    return _EVIDENCE[key]
+    if (key, of) not in _EVIDENCE:
+        _EVIDENCE[key, of] = Evidence(model, odds(), words_of(model))
+    return _EVIDENCE[key, of]
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
@@ -489,7 +610,7 @@ def part_counts(sample: DataFrame, model: np.ndarray, only: frozenset[str] | Non
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = words_of(model), Counter()
         known: dict[str, tuple[str, ...]] = {}
-        for (text,) in rows(parts, "text"):
+        for (text,) in rows(sliced(parts), "text"):
             own: set[str] = set()
             for token in words.tokens(text):
                 found = known.get(token)
@@ -553,14 +674,15 @@ def learn(
 
     fit_schema = pa.schema([("y", pa.int32()), ("top", pa.float64()), ("next", pa.float64())])
 
+    key = uuid.uuid4().hex  # of this fit
+
     def run(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [
-            Evidence(model, dict(zip(parts, values.tolist())), words_of(model)) for values in (if_other, if_toxic)
-        ]
-        for part in parts_:
-            made = (
-                (y, *scorers[y == 1].strongest(text)) for text, y in rows(iter([part]), "text", "toxic")
-            )
+        def scorer(y: int) -> Evidence:
+            kind, values = ("toxic", if_toxic) if y == 1 else ("other", if_other)
+            return evidence_of(key, model, lambda: dict(zip(parts, values.tolist())), kind)
+
+        for part in sliced(parts_):
+            made = ((y, *scorer(y).strongest(text)) for text, y in rows(iter([part]), "text", "toxic"))
             yield from batches(fit_schema, made)
 
     fit = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "y INT, top DOUBLE, next DOUBLE").toPandas()
@@ -589,8 +711,8 @@ def toxicity(
     key = uuid.uuid4().hex  # of this fit
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = evidence_of(key, model, odds)
-        for part in parts:
+        evidence = evidence_of(key, model, lambda: odds)
+        for part in sliced(parts):
             scores = []
             for text in part.column(part.num_columns - 1).to_pylist():
                 top, rest = evidence.strongest(text or "")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,42 @@ def test_what_is_known_of_words_is_not_worked_out_again():
         assert words.restorer.restore(word) == words.restorer.best(paths)
 
 
+def test_short_cuts_find_what_the_whole_lattice_finds():
+    rnd = random.Random(3)
+    model = np.random.default_rng(3).normal(-3, 1, toxicity.GRAMS).astype(np.float32)
+    restorer = toxicity.Restorer(model)
+    for _ in range(3_000):
+        word = "".join(rnd.choice("abeéllsst") for _ in range(rnd.randint(1, 11)))
+        word += "".join(rnd.choice("$!*%\u20ac.-") for _ in range(rnd.randint(0, 4)))
+        assert restorer.restore(word) == restorer.best(restorer.word_paths(word)), word
+    for _ in range(2_000):
+        text = "".join(rnd.choice("ab\u00e91$! .-'(\n") for _ in range(30))
+        assert toxicity.PLAIN_RUN.findall(text) == toxicity.RUN.findall(text), text
+
+
+def test_evidence_is_remembered_in_bounds_and_shared_by_a_fits_tasks(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    model = np.zeros(toxicity.GRAMS, np.float32)
+    some = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}xyz" for k in range(300)]
+    odds = {p: float(k % 7) for k, w in enumerate(some) for p in toxicity.parts_of(w)}
+    evidence, plain = toxicity.Evidence(model, odds), [max(odds[p] for p in toxicity.parts_of(w)) for w in some]
+    for _ in range(2):
+        assert [evidence[w] for w in some] == plain
+        assert len(evidence) <= 50 and len(evidence.older) <= 50
+    made = toxicity.evidence_of("fit", model, lambda: odds, "toxic")
+    assert toxicity.evidence_of("fit", model, lambda: 1 / 0, "toxic") is made
+    assert toxicity.evidence_of("fit", model, lambda: odds, "other") is not made
+    toxicity.evidence_of("next", model, lambda: odds)
+    assert list(toxicity._EVIDENCE) == [("next", None)]
+
+
+def test_texts_are_read_a_few_at_a_time():
+    part = pa.RecordBatch.from_pydict({"text": [str(k) for k in range(1_300)]})
+    pieces = list(toxicity.sliced(iter([part, part.slice(0, 0)])))
+    assert [p.num_rows for p in pieces] == [512, 512, 276]
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == part.column(0).to_pylist()
+
+
 def test_evidence_of_a_word_is_its_strongest_part():
     rnd = random.Random(7)
     some = ["".join(rnd.choices("abc", k=rnd.randint(1, 10))) for _ in range(400)]
