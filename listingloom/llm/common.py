@@ -48,12 +48,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+# Rows that are turned into Python values at a time.
+SLICE = 512
+
+
+def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches in pieces of ``SLICE`` rows, so that few texts are strings at once. What
+    Arrow keeps of batches that are done goes back to the system."""
+    for part in parts:
+        for first in range(0, part.num_rows, SLICE):
+            yield part.slice(first, SLICE)
+        del part
+        pa.default_memory_pool().release_unused()
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The rows of record batches as tuples of Python values, one batch at a time."""
-    for batch in batches:
+    """The rows of record batches as tuples of Python values, few at a time."""
+    for batch in sliced(batches):
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
 
+_KEPT: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A dict in which an operator keeps what serves the later tasks of a worker process, too."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def forget() -> None:
+    """Empty what operators keep in this worker process, whose memory is now needed by another."""
+    for kept in _KEPT:
+        kept.clear()
+
+
 def batches(
     schema: pa.Schema, made: Iterator[tuple], size: int = 4096, bytes_each: int = 16 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import batches, free_names, rows, texts
+from listingloom.llm.common import batches, forget, free_names, rows, texts
 from listingloom.session import stored
 
 SHINGLE_WORDS = 5
@@ -224,6 +224,7 @@ def benchmark_hits(
         chosen = [tuple(r) for r in items.filter(spread == number).collect()]
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             searcher = Searcher(chosen, radius, similarity)
             found = (
                 (doc_id, text_hash, *hit)

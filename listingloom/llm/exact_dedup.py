@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from listingloom.llm.common import batches, free_names, rows, texts
+from listingloom.llm.common import batches, forget, free_names, rows, texts
 from listingloom.session import scratch_folder
 
 # Directory slots are numbered in the plan and on the driver, hence the bound.
@@ -140,6 +140,7 @@ def build_index(
     entry_schema, chained_schema = to_arrow_schema(entry), to_arrow_schema(chained)
 
     def combine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             seen: dict[tuple[int, str], list] = {}
             for doc_id, text, key, *rest in rows(iter([part]), *given):
@@ -150,6 +151,7 @@ def build_index(
             yield from batches(entry_schema, made)
 
     def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         yield from batches(chained_schema, _chain(rows(parts, *entry_schema.names)))
 
     path = path or scratch_folder(spark, "exact-index")

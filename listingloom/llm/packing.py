@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import rows, texts
+from listingloom.llm.common import forget, rows, texts
 from listingloom.session import stored
 
 CAPACITY = 1024
@@ -147,6 +147,7 @@ def tokenised_bins(
     names = [field.name for field in MEMBER_TYPE]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         encode, items = Encoder(tokenizer), []
         for doc_id, text in rows(parts, "doc_id", "text"):
             ids = np.append(encode(text), np.uint32(END_ID))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import free_names, rows, texts
+from listingloom.llm.common import forget, free_names, rows, texts
 from listingloom.llm.components import connected_components
 from listingloom.session import stored
 
@@ -40,6 +40,8 @@ BLOCK = 1 << 20
 # Node pairs and leaf pairs that are looked at in one step.
 STEP = 1 << 17
 LEAF = 32
+# Pairs of fingerprints that are compared at a time.
+PAIRS = 1 << 18
 
 
 # --- fingerprints -----------------------------------------------------------------
@@ -97,6 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             fps = [fingerprint(text) for (text,) in rows(iter([part]), "text")]
             kept = [part.column(part.schema.get_field_index(name)) for name in names[:2]]
@@ -163,7 +166,7 @@ def _leaf_pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n, m = nodes[1] - nodes[0], nodes[3] - nodes[2]
     size = n * m
-    for lo, hi in _slices(size, 1 << 21):
+    for lo, hi in _slices(size, PAIRS):
         each = size[lo:hi]
         node = np.repeat(np.arange(lo, hi), each)
         k = np.arange(len(node)) - np.repeat(np.cumsum(each) - each, each)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingloom.llm.common import batches, free_names, learnable, rows, texts
+from listingloom.llm.common import batches, forget, free_names, kept_by_worker, learnable, rows, sliced, texts
 from listingloom.session import stored
 
 THRESHOLD = 0.3
@@ -46,8 +46,6 @@ RESTORED, WAYS, LONG_RUN = 1 << 17, 1 << 17, 64
 BEGUN = 1 << 14
 # Tokens whose parts a task remembers.
 PARTS = 1 << 16
-# Texts that are turned into strings at a time.
-SLICE = 512
 
 # Symbols and the letters they stand for.
 LEET = {
@@ -100,13 +98,6 @@ def class_table() -> np.ndarray:
     return table
 
 
-def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record batches in pieces of ``SLICE`` rows, so that few texts are strings at once."""
-    for part in parts:
-        for first in range(0, part.num_rows, SLICE):
-            yield part.slice(first, SLICE)
-
-
 # --- character model --------------------------------------------------------------
 
 
@@ -129,8 +120,9 @@ def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a new model begins, for which nothing is known of words
         table, counts = class_table(), np.zeros(GRAMS, np.int64)
-        for block in _blocks(text for (text,) in rows(sliced(parts), "text")):
+        for block in _blocks(text for (text,) in rows(parts, "text")):
             units = np.frombuffer(block.encode("utf-16-le", "surrogatepass"), np.uint16)
             classes = np.concatenate([[0], table[units], [0]]).astype(np.int32)
             classes = classes[(classes > 0) | (np.roll(classes, 1) > 0)]
@@ -182,17 +174,27 @@ class Plain(Classes):
         return self[symbol]
 
 
+# Where ways through a chunk end, their scores and their letters.
+Ways = tuple[tuple[int, ...], tuple[float, ...], tuple[str, ...]]
+
+
 class Restorer:
     """Viterbi decoding of disguised words under a character model."""
 
     def __init__(self, model: np.ndarray) -> None:
         # read entry by entry, which a list does several times faster than an array
-        self.model = model.reshape(-1).tolist()
+        values, places = np.unique(model, return_inverse=True)
+        values = values.tolist()  # one object for equal entries, which are half of them
+        self.model = [values[k] for k in places.reshape(-1)]
         self.classes, self.plain = Classes(), Plain()
         self.choices: dict[str, list[tuple[str, float]]] = {}
         self.restored: dict[str, str] = {}
         self.runs: dict[str, str] = {}
-        self.ways: dict[tuple[int, str, int], list[tuple[int, float, str]]] = {}
+        # by chunk and gap, then by state
+        self.ways: dict[tuple[str, int], dict[int, Ways]] = {}
+        self.known_ways = 0
+        # where ways end and what they write, which many states have in common
+        self.shared: dict[tuple, tuple] = {}
         self.doubles: dict[str, bool] = {}
         self.signs: dict[tuple[str, str], str] = {}
         self.begun: dict[str, dict] = {}
@@ -332,31 +334,34 @@ class Restorer:
             paths = {state: (score, (symbols[first:k], path))}
         return paths
 
-    def through(self, state: int, chunk: str, gap: int) -> list[tuple[int, float, str]]:
-        """The best ways from a state through a gap, one of ``GAP_COSTS`` or none, and a chunk:
-        where they end, their score, their letters. ``REPEATS`` is added to ``gap`` where the
-        chunk begins with the symbol before the gap."""
-        key = (state, chunk, gap)
-        if key not in self.ways:
-            joined: dict[int, tuple[float, tuple | None]] = {state: (0.0, None)}
-            apart: dict[int, tuple[float, tuple | None]] = {}
-            repeats = gap >= REPEATS and state % CLASSES > 0
-            if gap % REPEATS:
-                nothing, word_break = GAP_COSTS[gap % REPEATS]
-                joined = {state: (nothing, None)}
-                if state % CLASSES:
-                    # a break leads to states that nothing else leads to
-                    apart = {state * CLASSES % STATES: (word_break + self.model[state * CLASSES], (" ", None))}
-            for k in range(len(chunk)):
-                options = self.options(chunk, k)
-                apart = self.step(apart, options) if apart else apart
-                if repeats and k == 0:
-                    options = [*((letter, cost + KEEP_REPEAT) for letter, cost in options), ("", DROP_REPEAT)]
-                joined = self.step(joined, options)
-            found = [(at, score, written(path)) for paths in (joined, apart) for at, (score, path) in paths.items()]
-            remember(self.ways, key, found, WAYS)
-            return found
-        return self.ways[key]
+    def through(self, state: int, chunk: str, gap: int) -> Ways:
+        """The best ways from a state through a gap, one of ``GAP_COSTS`` or none, and a chunk.
+        ``REPEATS`` is added to ``gap`` where the chunk begins with the symbol before the gap."""
+        joined: dict[int, tuple[float, tuple | None]] = {state: (0.0, None)}
+        apart: dict[int, tuple[float, tuple | None]] = {}
+        repeats = gap >= REPEATS and state % CLASSES > 0
+        if gap % REPEATS:
+            nothing, word_break = GAP_COSTS[gap % REPEATS]
+            joined = {state: (nothing, None)}
+            if state % CLASSES:
+                # a break leads to states that nothing else leads to
+                apart = {state * CLASSES % STATES: (word_break + self.model[state * CLASSES], (" ", None))}
+        for k in range(len(chunk)):
+            options = self.options(chunk, k)
+            apart = self.step(apart, options) if apart else apart
+            if repeats and k == 0:
+                options = [*((letter, cost + KEEP_REPEAT) for letter, cost in options), ("", DROP_REPEAT)]
+            joined = self.step(joined, options)
+        found = [(at, score, written(path)) for paths in (joined, apart) for at, (score, path) in paths.items()]
+        ends, scores, letters = zip(*found)
+        if self.known_ways >= WAYS:
+            self.ways.clear()
+            self.shared.clear()
+            self.known_ways = 0
+        self.known_ways += 1
+        ends, letters = self.shared.setdefault(ends, ends), self.shared.setdefault(letters, letters)
+        ways = self.ways.setdefault((chunk, gap), {})[state] = (ends, scores, letters)
+        return ways
 
     def restore_run(self, run: str) -> str:
         """A run of chunks: every gap is nothing or a break, every chunk a lattice."""
@@ -397,9 +402,10 @@ class Restorer:
         if before:
             kind = 2 if len(before) + len(chunk) > 2 and gap.isspace() else 1
             kind += REPEATS * (before[-1] == chunk[0])
-        known, reached = self.ways, {}
+        known, reached = self.ways.get((chunk, kind), {}), {}
         for state, (score, path) in paths.items():
-            for at, more, letters in known.get((state, chunk, kind)) or self.through(state, chunk, kind):
+            ends, scores, written_ = known.get(state) or self.through(state, chunk, kind)
+            for at, more, letters in zip(ends, scores, written_):
                 total = score + more
                 if at not in reached or total > reached[at][0]:
                     reached[at] = (total, (letters, path))
@@ -572,8 +578,8 @@ class Evidence(dict):
 
 # What one task finds out about words and tokens serves the later tasks of its worker process
 # as well, for one model at a time.
-_WORDS: dict[str, Words] = {}
-_EVIDENCE: dict[tuple[str, str | None], Evidence] = {}
+_WORDS: dict[str, Words] = kept_by_worker()
+_EVIDENCE: dict[tuple[str, str | None], Evidence] = kept_by_worker()
 
 
 def words_of(model: np.ndarray) -> Words:
@@ -585,6 +591,14 @@ def words_of(model: np.ndarray) -> Words:
     return _WORDS[key]
 
 
+def packed(parts: list[str], odds: np.ndarray) -> Callable[[], dict[str, float]]:
+    """Gives the positive odds of parts; what a task is sent are one text and numbers. Only
+    positive odds count as evidence, and parts are made of letters."""
+    above = odds > 0
+    names, values = "\n".join(part for part, more in zip(parts, above) if more), odds[above]
+    return lambda: dict(zip(names.split("\n"), values.tolist()))
+
+
 def evidence_of(
     key: str, model: np.ndarray, odds: Callable[[], dict[str, float]], of: str | None = None
 ) -> Evidence:
@@ -610,7 +624,7 @@ def part_counts(sample: DataFrame, model: np.ndarray, only: frozenset[str] | Non
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = words_of(model), Counter()
         known: dict[str, tuple[str, ...]] = {}
-        for (text,) in rows(sliced(parts), "text"):
+        for (text,) in rows(parts, "text"):
             own: set[str] = set()
             for token in words.tokens(text):
                 found = known.get(token)
@@ -675,11 +689,12 @@ def learn(
     fit_schema = pa.schema([("y", pa.int32()), ("top", pa.float64()), ("next", pa.float64())])
 
     key = uuid.uuid4().hex  # of this fit
+    without_toxic, without_other = packed(parts, if_toxic), packed(parts, if_other)
 
     def run(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scorer(y: int) -> Evidence:
-            kind, values = ("toxic", if_toxic) if y == 1 else ("other", if_other)
-            return evidence_of(key, model, lambda: dict(zip(parts, values.tolist())), kind)
+            kind, odds_ = ("toxic", without_toxic) if y == 1 else ("other", without_other)
+            return evidence_of(key, model, odds_, kind)
 
         for part in sliced(parts_):
             made = ((y, *scorer(y).strongest(text)) for text, y in rows(iter([part]), "text", "toxic"))
@@ -707,20 +722,25 @@ def toxicity(
     learnt = learn(docs, labels, model, id_col, text_col, **options)
     if learnt is None:
         return docs.withColumn(name, F.lit(0.0))
-    odds, weights = learnt
+    found, weights = learnt
+    odds = packed(list(found), np.array(list(found.values())))
     key = uuid.uuid4().hex  # of this fit
+    # the column itself where it is a string under that name, else a last one made of it
+    fields, wide = docs.schema.fields, len(docs.columns)
+    named = [k for k, f in enumerate(fields) if f.name == text_col and isinstance(f.dataType, T.StringType)]
+    at = named[0] if named else wide
+    given = docs if named else docs.withColumn(name, F.col(text_col).cast("string"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = evidence_of(key, model, lambda: odds)
+        evidence = evidence_of(key, model, odds)
         for part in sliced(parts):
             scores = []
-            for text in part.column(part.num_columns - 1).to_pylist():
+            for text in part.column(at).to_pylist():
                 top, rest = evidence.strongest(text or "")
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, weights @ (1.0, top, rest))))))
-            columns = [*part.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], name])
+            columns = [*part.columns[:wide], pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:wide], name])
 
-    given = docs.withColumn(name, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return given.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingloom.llm import (
+    common,
     decontamination,
     importance,
     language,
@@ -252,6 +254,66 @@ def test_evidence_is_remembered_in_bounds_and_shared_by_a_fits_tasks(monkeypatch
     assert list(toxicity._EVIDENCE) == [("next", None)]
 
 
+def test_what_a_worker_remembers_is_small(monkeypatch):
+    rnd = random.Random(8)
+    model = np.random.default_rng(8).normal(-3, 1, toxicity.GRAMS).astype(np.float32)
+    ways = [(rnd.randrange(toxicity.STATES), "".join(rnd.choices("ab1$", k=2)), rnd.randrange(3)) for _ in range(20_000)]
+    restorer = toxicity.Restorer(model)
+    tracemalloc.start()
+    for way in ways:
+        restorer.through(*way)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # by way, with what leads to it
+    assert held < 400 * len(set(ways)), held / len(set(ways))
+    # in bounds, and the same with and without what is remembered
+    monkeypatch.setattr(toxicity, "WAYS", 7)
+    small = toxicity.Restorer(model)
+    for run in ("a b 1 $", "ab 1a $$ b a", "a1 1a a1 a1", "b$.b$ 1 1 1 b"):
+        assert small.restore_run(run) == restorer.restore_run(run)
+        assert sum(map(len, small.ways.values())) <= 7
+
+
+def test_a_task_is_sent_positive_odds_as_one_text():
+    some = ["=abc", "^abc", "$é", "=x"]
+    sent = toxicity.packed(some, np.array([0.5, -1.0, 2.0, 0.0]))
+    assert sent() == {"=abc": 0.5, "$é": 2.0} and toxicity.packed([], np.zeros(0))() == {}
+    # what is not positive is no evidence
+    odds = {f"{kind}{'abcdefg'[:n]}": float((n * 5 + k) % 7 - 3) for k, kind in enumerate("=^$") for n in range(3, 8)}
+    model = np.zeros(toxicity.GRAMS, np.float32)
+    whole = toxicity.Evidence(model, odds)
+    positive = toxicity.Evidence(model, toxicity.packed(list(odds), np.array(list(odds.values())))())
+    for word in ("abc", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "xabcdefg", "zz"):
+        assert whole.strongest(word) == positive.strongest(word)
+
+
+def test_a_worker_keeps_nothing_for_an_operator_that_is_done():
+    toxicity.evidence_of("fit", np.zeros(toxicity.GRAMS, np.float32), lambda: {"=abc": 1.0})
+    assert toxicity._EVIDENCE and toxicity._WORDS
+    common.forget()
+    assert not toxicity._EVIDENCE and not toxicity._WORDS
+
+
+def test_few_rows_are_python_values_at_a_time():
+    part = pa.RecordBatch.from_pydict({"n": range(4_000), "text": [f"{k}" * 2_500 for k in range(1_000, 5_000)]})
+    tracemalloc.start()
+    read = [n for n, text in common.rows(iter([part, part.slice(7, 3)]), "n", "text") if len(text) == 10_000]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == [*range(4_000), 7, 8, 9] and peak < 15_000_000, peak
+
+
+def test_a_text_goes_to_python_once(spark, toxic_corpus):
+    docs, labels = toxic_corpus
+    scored = toxicity.toxicity(docs, labels)
+    given = scored._jdf.queryExecution().analyzed().children().apply(0).output().size()
+    assert given == len(docs.columns)
+    # a text that is no string column, or is asked for in another case, comes out the same
+    other = docs.select("doc_id", F.col("text").cast("binary").alias("Text"), F.lit(1).alias("n"))
+    again = toxicity.toxicity(other, labels)
+    assert dict(again.select("doc_id", "score").collect()) == dict(scored.select("doc_id", "score").collect())
+
+
 def test_texts_are_read_a_few_at_a_time():
     part = pa.RecordBatch.from_pydict({"text": [str(k) for k in range(1_300)]})
     pieces = list(toxicity.sliced(iter([part, part.slice(0, 0)])))
