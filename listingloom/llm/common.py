@@ -48,6 +48,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+# Short rows that a task writes at least, where there are so many.
+TASK_ROWS = 1 << 18
+
+
+def in_few_tasks(df: DataFrame, n: int) -> DataFrame:
+    """A table of about ``n`` short rows in no more tasks than that takes: a task's file costs
+    far more than a few rows, and a shuffle may have any number of tasks."""
+    return df.coalesce(1 + n // TASK_ROWS)
+
+
 # Rows that are turned into Python values at a time.
 SLICE = 512
 

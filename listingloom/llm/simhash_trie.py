@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import forget, free_names, rows, texts
+from listingloom.llm.common import forget, free_names, in_few_tasks, rows, texts
 from listingloom.llm.components import connected_components
 from listingloom.session import stored
 
@@ -250,14 +250,25 @@ def near_groups(
     ``component_id`` only where its group has no other. Repeated rows are rows of one
     group. An empty table gives no rows.
     """
+    return _counted_groups(docs, id_col, text_col, budget)[0]
+
+
+def _counted_groups(
+    docs: DataFrame, id_col: str, text_col: str, budget: int = BUDGET
+) -> tuple[DataFrame, int]:
+    """:func:`near_groups` and the number of its rows."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    links = stored(near_links(distinct.select("fp"), distinct.count(), budget), "near-links")
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    n_rows = marked.count()
+    distinct = stored(in_few_tasks(first, n_rows), "distinct-fps")
+    n = distinct.count()
+    links = stored(near_links(distinct.select("fp"), n, budget), "near-links")
     linked = connected_components(links).withColumnRenamed("node", "fp")
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = stored(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp-groups")
-    return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    of_fp = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    of_fp = stored(in_few_tasks(of_fp, n), "fp-groups")
+    return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id"), n_rows
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +281,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     they are, whatever their names; an empty table stays empty.
     """
     text_hash, near_id, near_hash = free_names(docs, "_text_hash", "_near_id", "_near_hash")
-    groups = stored(near_groups(docs, id_col, text_col), "near-groups")
+    found, n = _counted_groups(docs, id_col, text_col)
+    groups = stored(in_few_tasks(found, n), "near-groups")
     leaders = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     )
@@ -278,12 +290,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("text_hash") == F.col("first.text_hash")
     )
     placed = groups.join(leaders, "root").withColumn("leads", leads)
-    gone = stored(
-        placed.filter(~F.col("leads"))
-        .select(F.col("doc_id").alias(near_id), F.col("text_hash").alias(near_hash))
-        .distinct(),
-        "near-copies",
-    )
+    copies = placed.filter(~F.col("leads")).select(F.col("doc_id").alias(near_id), F.col("text_hash").alias(near_hash))
+    gone = stored(in_few_tasks(copies.distinct(), n), "near-copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same_row = F.col(id_col).cast("long").eqNullSafe(F.col(near_id)) & (
         F.col(text_hash) == F.col(near_hash)

@@ -141,6 +141,22 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def test_few_rows_are_written_by_few_tasks(spark):
+    """However many tasks a shuffle has."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 300, 3)], "a LONG, b LONG")
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("false", "40")):
+            spark.conf.set(name, value)
+        found = components.connected_components(links)
+        assert len(found.inputFiles()) == 1
+        assert {r.node: r.root for r in found.collect()} == {k + i: k for k in range(0, 300, 3) for i in (0, 1)}
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def test_near_edges(spark):
     docs = edge_docs(spark)
     rows = simhash_trie.near_groups(docs).collect()
