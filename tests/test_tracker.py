@@ -4,6 +4,7 @@ import random
 import uuid
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,133 @@ def test_results_meet_their_events(spark, tmp_path):
     ]
     rows = K.result_payload_events(*tables).collect()
     assert sorted((r.job_id, r.name, r.has_result) for r in rows) == sorted(o[1:] for o in out)
+
+
+class SliceHandle(CountingHandle):
+    """With the timers that are set."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers = set()
+
+    def registerTimer(self, at):
+        self._counted()
+        assert at not in self.timers
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._counted()
+        self.timers.remove(at)
+
+    def clear(self):
+        self.value = self._counted()
+
+
+class At:
+    """A watermark and a timer's moment, for all that a processor asks of them."""
+
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def frame(*rows):
+    """Rows of ``events_of`` as a slice gets them."""
+    return pd.DataFrame([(b, j, e, K._micros(t)) for b, j, e, t in rows], columns=["batch_id", "job_id", "event", "at"])
+
+
+def slice_told(frames):
+    return [tuple(r) for f in frames for r in f.itertuples(index=False)]
+
+
+def test_a_slice_is_read_and_written_once():
+    """Whatever the number of its jobs, a slice's rows take three calls: read, write, timer."""
+    tracker, handle = K.SliceTracker(30_000, 3_600_000), SliceHandle()
+    tracker.init(handle)
+    rows = frame(*events_of(*(("b", f"j{i}", "active", i) for i in range(500))))
+    told = slice_told(tracker.handleInputRows((0,), iter([rows[:200], rows[200:]]), None))
+    assert len(told) == 500 and handle.calls == 3
+    # later news of some: the first job due is the same, so its timer stays
+    more = frame(*events_of(*(("b", f"j{i}", "completed", 20 + i) for i in range(100, 200))))
+    told = slice_told(tracker.handleInputRows((0,), iter([more]), None))
+    assert len(told) == 200 and handle.calls == 5
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_slices_as_jobs(seed):
+    """A slice tells of its jobs what a tracker of each tells, whatever the watermark."""
+    rng = random.Random(seed)
+    kinds = list(S.EVENT_STATES)
+    whole, handle = K.SliceTracker(60_000, 600_000), SliceHandle()
+    whole.init(handle)
+    jobs = {}
+    got, want, seconds, mark = [], [], 0, 0
+    for _ in range(40):
+        names = [(rng.choice(["b", None]), f"j{rng.randrange(12)}") for _ in range(rng.randrange(1, 15))]
+        # no event is later than the watermark lets through, and some moments are shared
+        rows = events_of(*((*n, rng.choice(kinds), seconds + rng.randrange(0, 200, 5)) for n in names))
+        got += slice_told(whole.handleInputRows((0,), iter([frame(*rows)]), None))
+        for name in set(names):
+            tracker, _ = jobs.setdefault(name, (K.JobTracker(60_000, 600_000), SliceHandle()))
+            jobs[name][1].timers.clear()
+            tracker.init(jobs[name][1])
+            some = [{"event_ts": t, "event": e} for b, j, e, t in rows if (b, j) == name]
+            want += [(*r[:4], K._micros(r.at)) for r in tracker.handleInputRows(name, iter(some), None)]
+        seconds += rng.randrange(0, 120)
+        mark = K._micros(T0 + timedelta(seconds=seconds)) // 1000
+        while due := sorted(t for t in handle.timers if t <= mark):
+            got += slice_told(whole.handleExpiredTimer((0,), At(mark), At(due[0])))
+            handle.timers.discard(due[0])
+        for name, (tracker, _) in jobs.items():
+            want += [(*r[:4], K._micros(r.at)) for r in tracker.handleExpiredTimer(name, At(mark), At(mark))]
+        assert len(handle.timers) <= 1
+        left = dict(zip(zip(*handle.value[:2]), zip(*handle.value[2:]))) if handle.value else {}
+        kept = {name: h.value for name, (_, h) in jobs.items() if h.value is not None}
+        assert {n: (*j[:5], dict(zip(*j[5:]))) for n, j in left.items()} == {
+            n: (*j[:5], dict(zip(*j[5:]))) for n, j in kept.items()
+        }
+    order = lambda r: [str(x) for x in r]
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert {r[2] for r in got} == {"state", "result", "stall"}
+
+
+def test_jobs_share_slices(spark, follow):
+    """With two slices for all jobs a stream tells what the table has, and keeps two values."""
+    _, rows = some_events(150, 25, 2)
+    rows = sorted(rows, key=lambda r: r[3])
+    mixed = [rows[0::2], rows[1::2], events_of(("end", "end", "waiting", 20_000))]
+    table = spark.createDataFrame([r for p in mixed for r in p], SCHEMA)
+    job = lambda e: K.track_jobs(e, silence_ms=60_000, keep_ms=10**9, late="2 hours", slices=2)
+    out, checkpoint = follow(mixed, job)
+    got = {r.job_id: (r.state, r.at) for r in out if r.kind == "state"}
+    assert got == {r.job_id: (r.state, r.last_event_at) for r in S.job_states(table).collect()}
+    first = {r.job_id: (r.event, r.event_ts) for r in S.finished_once(table).collect()}
+    results = {r.job_id: (r.state, r.at) for r in out if r.kind == "result"}
+    assert results.keys() == first.keys() and len(results) == sum(r.kind == "result" for r in out)
+    stalls = {(r.job_id, r.stalled_at) for r in S.stalled_spells(table, silence="60 seconds").collect()}
+    found = [(r.job_id, r.at) for r in out if r.kind == "stall"]
+    assert set(found) == stalls and len(found) == len(stalls) and len(stalls) > 5
+    states = spark.read.format("statestore").option("stateVarName", "standing").option("flattenCollectionTypes", "false")
+    assert states.load(checkpoint).count() == 2
+
+
+def test_known_jobs_share_slices(spark, follow):
+    """Jobs of one slice taken over from a table: all of them are known, those without news too."""
+    known = spark.createDataFrame(
+        [("b", "a", "active", T0), ("b", "d", "completed", T0), ("b", "s", "active", T0), ("c", None, "waiting", T0)],
+        "batch_id STRING, job_id STRING, state STRING, at TIMESTAMP",
+    )
+    far = 250_000_000_000  # in the year 9947, which nanoseconds do not reach
+    parts = [events_of(("b", "a", "failed", 9), ("b", "d", "failed", 9)), events_of(("b", "n", "waiting", far))]
+    out, _ = follow(parts, lambda e: K.track_jobs(e, known=known, slices=1))
+    told = sorted((r.job_id, r.kind, r.state, r.at) for r in out)
+    assert told == [
+        ("a", "result", "failed", T0 + timedelta(seconds=9)), ("a", "state", "failed", T0 + timedelta(seconds=9)),
+        ("d", "state", "failed", T0 + timedelta(seconds=9)), ("n", "state", "waiting", T0 + timedelta(seconds=far)),
+        ("s", "stall", "active", T0 + timedelta(seconds=30)),
+    ]
