@@ -259,6 +259,21 @@ def test_a_slice_is_read_and_written_once():
     assert len(told) == 200 and handle.calls == 5
 
 
+def test_a_slice_is_woken_once():
+    """All that a watermark has passed in a slice is told by one timer, in one frame."""
+    tracker, handle = K.SliceTracker(30_000, 3_600_000), SliceHandle()
+    tracker.init(handle)
+    rows = frame(*events_of(*(("b", f"j{i}", "active", i) for i in range(500))))
+    list(tracker.handleInputRows((0,), iter([rows]), None))
+    first = K._micros(T0) // 1000 + 30_000
+    assert handle.timers == {first}
+    handle.calls = 0
+    told = list(tracker.handleExpiredTimer((0,), At(first + 399_000), At(first)))
+    assert len(told) == 1 and [r[1:4] for r in slice_told(told)] == [(f"j{i}", "stall", "active") for i in range(400)]
+    # read, write, and the timer of the first job whose silence is not over
+    assert handle.calls == 3 and handle.timers == {first, first + 400_000}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_slices_as_jobs(seed):
     """A slice tells of its jobs what a tracker of each tells, whatever the watermark."""
